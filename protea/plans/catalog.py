@@ -8,17 +8,24 @@ Floating outputs are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from protea.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn
@@ -32,4 +39,4 @@ def load_all() -> None:
         importlib.import_module(f"protea.plans.{m}")
 
 
-PLAN_MODULES = ["homology", "metrics_q", "sequences_q", "labels_q", "embed_q"]
+PLAN_MODULES = ["homology", "metrics_q", "sequences_q", "labels_q", "embed_q", "training_q"]

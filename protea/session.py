@@ -38,6 +38,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in executor Python workers (idempotent
+    per SparkContext): zip it once and hand it to ``addPyFile``, which
+    distributes it with the job like any --py-files dependency."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, zpath = tempfile.mkstemp(prefix="protea-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared scratch root: the session's checkpoint dir, set only if absent."""
     sc = spark.sparkContext

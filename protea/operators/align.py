@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protea.operators.common import dense_index, one_row_join
+from protea.operators.common import dense_index
 
 MISSING_TAXON = -1
 
@@ -98,4 +98,4 @@ def labels_array(aligned: DataFrame, pos_idx: DataFrame) -> DataFrame:
 
 
 __all__ = ["key_report", "assert_aligned", "with_taxonomy", "taxonomy_vocab", "index_taxonomy",
-           "ia_weights", "align_training", "labels_array", "one_row_join"]
+           "ia_weights", "align_training", "labels_array"]

@@ -44,9 +44,8 @@ def label_counts(pos: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     counts = pos.groupBy("term").agg(F.count("*").alias("pos"))
     if entries is None:
         return counts.withColumn("neg", F.lit(None).cast("long"))
-    n = entries.select("EntryID").distinct().agg(F.count("*").alias("_n")).withColumn("_k", F.lit(1))
-    return (counts.withColumn("_k", F.lit(1)).join(n, "_k")
-            .select("term", "pos", (F.col("_n") - F.col("pos")).alias("neg")))
+    n = entries.select("EntryID").distinct().agg(F.count("*")).scalar()
+    return counts.select("term", "pos", (n - F.col("pos")).alias("neg"))
 
 
 def top_k_labels(pos: DataFrame, k: int | None, entries: DataFrame | None = None) -> DataFrame:
@@ -80,9 +79,9 @@ def class_weights(pos: DataFrame, entries: DataFrame, vocab: DataFrame,
     if method not in ("inverse_freq", "balanced"):
         raise ValueError("method must be 'inverse_freq' or 'balanced'")
     cnt = label_counts(pos, entries)
-    n_entries = entries.select("EntryID").distinct().agg(F.count("*").alias("N")).withColumn("_k", F.lit(1))
+    n_entries = entries.select("EntryID").distinct().agg(F.count("*")).scalar()
     v = (vocab.select("term", "rank").join(cnt, "term", "left")
-         .withColumn("_k", F.lit(1)).join(n_entries, "_k").drop("_k"))
+         .withColumn("N", n_entries))
     p = F.coalesce(F.col("pos"), F.lit(0))
     ng = F.col("N") - p
     if method == "inverse_freq":

@@ -133,12 +133,10 @@ def weighted_focal_loss(cells: DataFrame, term_weights: DataFrame | None = None,
     vocab = cells.select("term").distinct()
     w = (vocab.join(term_weights.select("term", F.col("score").cast("double").alias("_w")), "term", "left")
          .select("term", F.coalesce(F.col("_w"), F.lit(1.0)).alias("w")))
-    num = (cells.join(w, "term").agg(F.sum(fl * F.col("w")).alias("num"),
-                                     F.count_distinct("EntryID").alias("B"))
-           .withColumn("_k", F.lit(1)))
-    sw = w.agg(F.sum("w").alias("sw")).withColumn("_k", F.lit(1))
-    # both sides are single aggregate rows; keyed join of 1 x 1
-    return num.join(sw, "_k").select((F.col("num") / (F.col("B") * F.col("sw"))).alias("loss"))
+    sw = w.agg(F.sum("w")).scalar()  # scalar subquery over the vocabulary
+    num = cells.join(w, "term").agg(F.sum(fl * F.col("w")).alias("num"),
+                                    F.count_distinct("EntryID").alias("B"))
+    return num.select((F.col("num") / (F.col("B") * sw)).alias("loss"))
 
 
 def summarize_folds(per_fold: DataFrame, metric: str = "f1") -> DataFrame:

@@ -17,9 +17,8 @@ def dedupe(df: DataFrame, keys=("EntryID", "seq")) -> DataFrame:
 
 def dedupe_report(df: DataFrame, keys=("EntryID", "seq")) -> DataFrame:
     """One row (n_in, n_out, has_duplicates); computed in a single pass per side."""
-    n_in = df.agg(F.count("*").alias("n_in")).withColumn("_k", F.lit(1))
-    n_out = dedupe(df, keys).agg(F.count("*").alias("n_out")).withColumn("_k", F.lit(1))
-    return (n_in.join(n_out, "_k").drop("_k")
+    n_out = dedupe(df, keys).agg(F.count("*")).scalar()
+    return (df.agg(F.count("*").alias("n_in")).withColumn("n_out", n_out)
             .withColumn("has_duplicates", F.col("n_in") != F.col("n_out")))
 
 

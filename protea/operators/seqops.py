@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protea.functions import seq as S
 
 
 def dedupe(df: DataFrame, keys=("EntryID", "seq")) -> DataFrame:
@@ -27,8 +26,11 @@ def explode_chunks(df: DataFrame, seq_col: str = "seq", size: int = 2048,
     """(keep..., chunk_idx, n_chunks, chunk): one row per fixed-stride chunk.
     Rows stay in their partition (no shuffle); chunks of one long text spread
     the following per-chunk work evenly."""
-    arr = S.chunk_array(F.col(seq_col), size)
-    return (df.select(*keep, arr.alias("_chunks"))
-            .select(*keep, F.size("_chunks").alias("n_chunks"), F.explode("_chunks").alias("_c"))
-            .select(*keep, F.col("_c.chunk_idx").alias("chunk_idx"), "n_chunks",
-                    F.col("_c.chunk").alias("chunk")))
+    # explode chunk indices, then cut: codegen'd, and the generator does not
+    # carry an array of all chunks next to every output row
+    s = F.col(seq_col)
+    last = F.floor(F.greatest(F.length(s) - 1, F.lit(0)) / F.lit(size)).cast("int")
+    x = df.select(*keep, s.alias("_s"), (last + 1).alias("n_chunks"),
+                  F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx"))
+    return x.select(*keep, "chunk_idx", "n_chunks",
+                    F.col("_s").substr(F.col("chunk_idx") * F.lit(size) + F.lit(1), F.lit(size)).alias("chunk"))

@@ -58,7 +58,7 @@ def read_strict_tsv3(spark: SparkSession, path: str,
     A line with another field count fails the job; an empty third field fails
     too (stripping the line would have removed it)."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("_a", "_b", "_c")])
-    df = _csv(spark, "\t", True, schema, mode="FAILFAST").option("enforceSchema", "false").csv(path)
+    df = _csv(spark, "\t", True, schema, mode="FAILFAST").csv(path)
     c = F.col("_c")
     return df.select(
         F.col("_a").alias(names[0]),
@@ -122,7 +122,7 @@ def read_ia(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sinks
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fmt6(s: pd.Series) -> pd.Series:
     # Python/C printf rounding of the exact binary value; Spark's
     # format_string rounds the decimal rendering half-up, which differs.

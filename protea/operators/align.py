@@ -98,4 +98,13 @@ def labels_array(aligned: DataFrame, pos_idx: DataFrame) -> DataFrame:
 
 
 __all__ = ["key_report", "assert_aligned", "with_taxonomy", "taxonomy_vocab", "index_taxonomy",
-           "ia_weights", "align_training", "labels_array"]
+           "ia_weights", "align_training", "labels_array", "id_column"]
+
+
+def id_column(df: DataFrame) -> str:
+    """The entry-id column: ``EntryID``, else ``id``, else the first column."""
+    if "EntryID" in df.columns:
+        return "EntryID"
+    if "id" in df.columns:
+        return "id"
+    return df.columns[0]

@@ -276,3 +276,9 @@ def test_focal_reduces_to_bce_at_gamma0(spark):
     assert a == pytest.approx(b)
     exp = (math.log1p(math.exp(-0.3)) + math.log1p(math.exp(-2.0))) / 2
     assert a == pytest.approx(exp)
+
+
+def test_id_column_autodetect(spark):
+    assert align.id_column(spark.createDataFrame([("a", 1)], "x string, EntryID int")) == "EntryID"
+    assert align.id_column(spark.createDataFrame([("a", 1)], "x string, id int")) == "id"
+    assert align.id_column(spark.createDataFrame([("a", 1)], "x string, y int")) == "x"

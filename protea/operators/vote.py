@@ -14,9 +14,9 @@ null (``try_divide``) instead of an error.
 Plan shape (all partial/map-side aggregations, so a hot query or a hot
 subject collapses before any shuffle):
 
-    kept hits --agg(src,q,s)--> pair bits --agg(src,q)--> total
-                     \\--join terms on s (AQE skew split / runtime broadcast)
-                         --agg(src,q,t)--> term bits --join total on (src,q)
+    kept hits --agg(src,q,s)--> pair bits --join terms on s (AQE skew split /
+              runtime broadcast) --agg(src,q,t)--> term bits --join totals
+    kept hits --agg(src,q)--> totals (one partial row per query per task)
 """
 
 from __future__ import annotations
@@ -42,10 +42,7 @@ def weighted_vote(hits: DataFrame, terms: DataFrame, evalue_threshold: float = 1
     pass ``by=()`` for a single hit table."""
     by = list(by)
     kept = filter_hits(hits, evalue_threshold).select(*by, "query_id", "subject_id", "bitscore")
-    # one row per (set, query, subject): several HSPs to one subject are
-    # additive in both numerator and denominator, so pre-summing is exact
-    pair = kept.groupBy(*by, "query_id", "subject_id").agg(F.sum("bitscore").alias("bits"))
-    total = pair.groupBy(*by, "query_id").agg(F.sum("bits").alias("total_bits"))
+    pair, total = _pair_and_total(kept, by)
     ann = terms.select(F.col(subject_key).alias("subject_id"), F.col("term"))
     term_bits = (pair.join(ann, "subject_id", "inner")
                  .groupBy(*by, "query_id", "term").agg(F.sum("bits").alias("term_bits")))
@@ -54,6 +51,18 @@ def weighted_vote(hits: DataFrame, terms: DataFrame, evalue_threshold: float = 1
                     F.try_divide(F.col("term_bits"), F.col("total_bits")).alias("score")))
 
 
+def _pair_and_total(kept: DataFrame, by: list[str]):
+    """Per (set, query, subject) bits and per (set, query) totals. Both are
+    map-side partial aggregations of the (pruned, filtered) hit scan; the
+    totals branch shrinks to one partial row per query per task before its
+    shuffle. Several HSPs to one subject are additive in numerator and
+    denominator, so pre-summing per pair is exact."""
+    keys = [*by, "query_id"]
+    pair = kept.groupBy(*keys, "subject_id").agg(F.sum("bitscore").alias("bits"))
+    total = kept.groupBy(*keys).agg(F.sum("bitscore").alias("total_bits"))
+    return pair, total
+
+
 def max_merge(votes: DataFrame, keys: Sequence[str] = ("query_id", "term"),
               score: str = "score") -> DataFrame:
     """Max over reference sets per (query, term). NaN is filtered first: Spark
@@ -73,8 +82,7 @@ def vote_and_merge(hit_sets: DataFrame, terms: DataFrame, evalue_threshold: floa
         # per-set annotations: join on (set, subject)
         by = [source_col]
         kept = filter_hits(hit_sets, evalue_threshold).select(*by, "query_id", "subject_id", "bitscore")
-        pair = kept.groupBy(*by, "query_id", "subject_id").agg(F.sum("bitscore").alias("bits"))
-        total = pair.groupBy(*by, "query_id").agg(F.sum("bits").alias("total_bits"))
+        pair, total = _pair_and_total(kept, by)
         ann = terms.select(source_col, F.col("EntryID").alias("subject_id"), "term")
         tb = (pair.join(ann, [source_col, "subject_id"])
               .groupBy(*by, "query_id", "term").agg(F.sum("bits").alias("term_bits")))

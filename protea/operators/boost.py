@@ -107,6 +107,13 @@ def _mix(h: np.ndarray, t: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def _list_column(mat: np.ndarray, typ) -> pa.Array:
+    """(n, d) matrix -> Arrow list<typ> column without Python objects."""
+    n, d = mat.shape
+    offs = pa.array(np.arange(0, (n + 1) * d, d, dtype=np.int32))
+    return pa.ListArray.from_arrays(offs, pa.array(mat.ravel(), type=typ))
+
+
 def quantile_cuts(df: DataFrame, features: str, max_bin: int) -> np.ndarray:
     """(D, max_bin-1) cut points from per-feature approximate quantiles."""
     probs = [i / max_bin for i in range(1, max_bin)]
@@ -137,6 +144,8 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     p = params or BoostParams()
     spark = train.sparkSession
     checkpoint_root(spark)
+    # several setup passes read the training table: compute it once
+    train = train.select(key, features, labels, val_col).persist()
     cuts = quantile_cuts(train.where(~F.col(val_col)), features, p.max_bin)
     D = cuts.shape[0]
     pos = train.where(~F.col(val_col)).select(F.explode(labels).alias("j")).groupBy("j").count().collect()
@@ -156,8 +165,8 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
             codes = bin_features(X, cuts)
             Fm = np.tile(base, (rb.num_rows, 1))
             yield pa.RecordBatch.from_arrays(
-                [rb.column(key), rb.column("_h"), pa.array(list(codes.astype(np.int16)), type=pa.list_(pa.int16())),
-                 rb.column(labels), pa.array(list(Fm), type=pa.list_(pa.float32())), rb.column(val_col)],
+                [rb.column(key), rb.column("_h"), _list_column(codes.astype(np.int16), pa.int16()),
+                 rb.column(labels), _list_column(Fm.astype(np.float32), pa.float32()), rb.column(val_col)],
                 names=[key, "_h", "codes", labels, "F", val_col])
 
     state_schema = T.StructType([
@@ -167,19 +176,35 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     src = train.select(key, F.xxhash64(F.col(key).cast("string"), F.lit(p.seed)).alias("_h"),
                        features, labels, val_col)
     state = src.mapInArrow(init, state_schema).persist()
+    n_val = train.where(F.col(val_col)).count()
+    state.count()
+    train.unpersist()
     history: list[dict] = []
     best_f1, best_n, since = -1.0, 0, 0
     rng = np.random.default_rng(p.seed)
     n_nodes = 2 ** p.max_depth - 1
     B = p.max_bin
 
+    stopped = False
+    prev = None
     for t in range(p.ntrees):
         P = rng.standard_normal((n_labels, p.sketch_dim)).astype(np.float32)
         cols = np.sort(rng.choice(D, max(1, int(round(D * p.colsample))), replace=False))
         feat = np.full(n_nodes, -1, dtype=np.int64)
         thr = np.zeros(n_nodes, dtype=np.int64)
         for level in range(p.max_depth):
-            hist = _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels)
+            # the level-0 pass also counts validation tp/fp/fn of the model so
+            # far (same scan of the cached state, no extra job)
+            hist, val = _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels,
+                                         with_val=(level == 0 and t > 0))
+            if prev is not None:  # the new state is materialised now
+                prev.unpersist()
+                prev = None
+            if val is not None:
+                stop, best_f1, best_n, since = _early_stop(history, t - 1, val, n_val, best_f1, best_n, since, p)
+                if stop:
+                    stopped = True
+                    break
             first = 2 ** level - 1
             for r in range(2 ** level):
                 h = hist.get(r)
@@ -188,6 +213,8 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
                 f, b = _best_split(h, p)
                 if f is not None:
                     feat[first + r], thr[first + r] = cols[f], b
+        if stopped:
+            break
         leaf_g, leaf_n = _leaf_sums(state, t, feat, thr, n_labels, p, labels)
         values = (-p.lr * leaf_g / (leaf_n[:, None] + p.lambda_l2)).astype(np.float32)
         tree = Tree(feat.copy(), thr.copy(), values)
@@ -195,21 +222,29 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
         new_state = _apply_tree(state, tree, state_schema).persist()
         if (t + 1) % p.checkpoint_every == 0:
             new_state = new_state.checkpoint(eager=True)
-        f1 = _val_f1(new_state, n_labels, labels, val_col)
-        state.unpersist()
-        state = new_state
-        history.append({"tree": t, "val_f1": f1})
-        if f1 > best_f1:
-            best_f1, best_n, since = f1, t + 1, 0
-        else:
-            since += 1
-            if since >= p.es_rounds:
-                break
+        prev, state = state, new_state
+    if not stopped and model.trees:
+        val = _val_counts(state, n_labels, labels, val_col)
+        _, best_f1, best_n, since = _early_stop(history, len(model.trees) - 1, val, n_val,
+                                                best_f1, best_n, since, p)
     state.unpersist()
-    model.trees = model.trees[:best_n]
+    if prev is not None:
+        prev.unpersist()
+    model.trees = model.trees[:best_n] if n_val else model.trees
     return model, history
 
 
+def _early_stop(history, tree_idx, val, n_val, best_f1, best_n, since, p):
+    tp, fp, fn = val
+    den = 2 * tp + fp + fn
+    f1 = 2 * tp / den if den else 0.0
+    history.append({"tree": tree_idx, "val_f1": f1})
+    if f1 > best_f1:
+        return False, f1, tree_idx + 1, 0
+    since += 1
+    return bool(n_val) and since >= p.es_rounds, best_f1, best_n, since
+
+
 def _route(codes: np.ndarray, feat, thr, depth: int) -> np.ndarray:
     node = np.zeros(codes.shape[0], dtype=np.int64)
     rows = np.arange(codes.shape[0])
@@ -230,16 +265,23 @@ def _batch_arrays(rb, n_labels, labels):
     return codes, Fm, Y
 
 
-def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels):
+def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels, with_val=False):
     depth, Dc, k = level, len(cols), P.shape[1]
     subsample = p.subsample
 
     def part(batches):
         acc = None
+        vc = np.zeros(3)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            keep = ~rb.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
+            isval = rb.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
+            if with_val and isval.any():
+                _, Fv, Yv = _batch_arrays(rb, n_labels, labels)
+                pr = sigmoid_np(Fv[isval]).astype(np.float32) > np.float32(0.5)
+                yv = Yv[isval] > 0
+                vc += [(pr & yv).sum(), (pr & ~yv).sum(), (~pr & yv).sum()]
+            keep = ~isval
             h = rb.column("_h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             keep &= _mix(h, t) < subsample
             if not keep.any():
@@ -256,6 +298,11 @@ def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels
                 cur[j] = np.bincount(flat, weights=np.repeat(G[:, j], Dc), minlength=size)
             cur[k] = np.bincount(flat, minlength=size)
             acc = cur if acc is None else acc + cur
+        if with_val:  # validation counts ride along as cells -1, -2, -3
+            zeros = [pa.array(np.zeros(3)) for _ in range(k - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array([-1, -2, -3], dtype=np.int64)), pa.array(vc)] + zeros + [pa.array(np.zeros(3))],
+                names=["cell"] + [f"g{j}" for j in range(k)] + ["n"])
         if acc is None:
             return
         nz = np.nonzero(acc[k])[0]
@@ -270,14 +317,18 @@ def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels
               .agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(k)], F.sum("n").alias("n"))
               .collect())  # <= nodes x features x bins rows
     out: dict[int, np.ndarray] = {}
+    val = [0, 0, 0] if with_val else None
     for r in merged:
         cell = r["cell"]
+        if cell < 0:
+            val[-cell - 1] = int(round(r["g0"]))
+            continue
         node, rest = divmod(cell, Dc * B)
         d, b = divmod(rest, B)
         h = out.setdefault(node, np.zeros((Dc, B, k + 1)))
         h[d, b, :k] = [r[f"g{j}"] for j in range(k)]
         h[d, b, k] = r["n"]
-    return out
+    return out, val
 
 
 def _best_split(h: np.ndarray, p: BoostParams):
@@ -346,12 +397,12 @@ def _apply_tree(state: DataFrame, tree: Tree, schema) -> DataFrame:
             Fm = features_matrix(rb.column("F")) + tree.values[tree.leaf_of(codes)]
             cols = [rb.column(i) for i in range(rb.num_columns)]
             fi = rb.schema.get_field_index("F")
-            cols[fi] = pa.array(list(Fm.astype(np.float32)), type=pa.list_(pa.float32()))
+            cols[fi] = _list_column(Fm.astype(np.float32), pa.float32())
             yield pa.RecordBatch.from_arrays(cols, schema=rb.schema)
     return state.mapInArrow(part, schema)
 
 
-def _val_f1(state: DataFrame, n_labels: int, labels: str, val_col: str) -> float:
+def _val_counts(state: DataFrame, n_labels: int, labels: str, val_col: str) -> tuple[int, int, int]:
     def part(batches):
         tp = fp = fn = 0
         for rb in batches:
@@ -366,9 +417,7 @@ def _val_f1(state: DataFrame, n_labels: int, labels: str, val_col: str) -> float
                                          names=["tp", "fp", "fn"])
     r = state.mapInArrow(part, "tp long, fp long, fn long").agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).first()
-    tp, fp, fn = (r["tp"] or 0), (r["fp"] or 0), (r["fn"] or 0)
-    den = 2 * tp + fp + fn
-    return 2 * tp / den if den else 0.0
+    return (r["tp"] or 0), (r["fp"] or 0), (r["fn"] or 0)
 
 
 def model_table(spark, model: BoostModel, terms) -> DataFrame:

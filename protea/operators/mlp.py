@@ -172,6 +172,7 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
     p = params or MLPParams()
     spark = train.sparkSession
     sc = spark.sparkContext
+    train = train.select(key, features, labels, tax_col, val_col).persist()
     D = len(train.select(features).first()[0])
     P = init_params(D, max(n_tax, 1), n_labels, p)
     state_keys = list(P.keys())
@@ -256,6 +257,7 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
                 break
     tr.unpersist()
     va.unpersist()
+    train.unpersist()
     return MLPModel(best_P if best_P is not None else P), history
 
 

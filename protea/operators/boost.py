@@ -50,6 +50,7 @@ class BoostParams:
     sketch_dim: int = 3
     es_rounds: int = 5           # early stopping patience (trees) on val F1
     checkpoint_every: int = 10
+    rows_per_partition: int = 50_000
     seed: int = 42
 
 
@@ -175,8 +176,12 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
         T.StructField("F", T.ArrayType(T.FloatType())), T.StructField(val_col, T.BooleanType())])
     src = train.select(key, F.xxhash64(F.col(key).cast("string"), F.lit(p.seed)).alias("_h"),
                        features, labels, val_col)
-    state = src.mapInArrow(init, state_schema).persist()
+    # one partition per ``rows_per_partition`` rows (capped by the cluster's
+    # parallelism): every level is one job, so tiny tasks are pure overhead
     n_val = train.where(F.col(val_col)).count()
+    n_parts = max(1, min(spark.sparkContext.defaultParallelism,
+                         -(-(n_train + n_val) // p.rows_per_partition)))
+    state = src.repartition(n_parts).mapInArrow(init, state_schema).persist()
     state.count()
     train.unpersist()
     history: list[dict] = []

@@ -282,3 +282,22 @@ def test_id_column_autodetect(spark):
     assert align.id_column(spark.createDataFrame([("a", 1)], "x string, EntryID int")) == "EntryID"
     assert align.id_column(spark.createDataFrame([("a", 1)], "x string, id int")) == "id"
     assert align.id_column(spark.createDataFrame([("a", 1)], "x string, y int")) == "x"
+
+
+def test_search_exact_runs_and_masking(spark):
+    from protea.operators import simsearch
+    q = spark.createDataFrame([("q", "ABCDEFGHIJKLMNOP")], "EntryID string, seq string")
+    refs = spark.createDataFrame([("s1", "ZZABCDEFGHIJKLMNZZ"), ("s2", "ABCDEFGHIJKQQQQQ"), ("s3", "QQQQQQQ")],
+                                 "EntryID string, seq string")
+    h = {r["subject_id"]: r for r in simsearch.search(q, refs, K=4, max_freq=5, max_targets=16).collect()}
+    assert set(h) == {"s1", "s2"}
+    assert (h["s1"]["aln_len"], h["s1"]["qstart"], h["s1"]["sstart"]) == (14, 1, 3)
+    assert (h["s2"]["aln_len"], h["s2"]["qstart"], h["s2"]["sstart"]) == (11, 1, 1)
+    assert h["s1"]["bitscore"] > h["s2"]["bitscore"] and h["s1"]["evalue"] < h["s2"]["evalue"]
+    # a seed occurring more often than max_freq in the references is masked
+    many = spark.createDataFrame([(f"r{i}", "ABCDXYZW") for i in range(6)], "EntryID string, seq string")
+    assert simsearch.search(q, many, K=4, max_freq=5).count() == 0
+    assert simsearch.search(q, many, K=4, max_freq=6).count() == 6
+    # no query k-mer at all
+    short = spark.createDataFrame([("q", "AB")], "EntryID string, seq string")
+    assert simsearch.search(short, refs, K=4).count() == 0

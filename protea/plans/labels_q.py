@@ -169,7 +169,7 @@ def kfold(spark, sf):
 l AS (SELECT EntryID, count(*) AS cl FROM seqs GROUP BY EntryID),
 r AS (SELECT vec_id AS EntryID, count(*) AS cr FROM embeddings GROUP BY vec_id),
 j AS (SELECT l.cl, r.cr FROM l FULL OUTER JOIN r ON l.EntryID = r.EntryID)
-SELECT coalesce(sum(cl), 0) AS n_left, coalesce(sum(cr), 0) AS n_right,
+SELECT CAST(coalesce(sum(cl), 0) AS BIGINT) AS n_left, CAST(coalesce(sum(cr), 0) AS BIGINT) AS n_right,
        count(*) FILTER (WHERE cl > 1) AS dup_left, count(*) FILTER (WHERE cr > 1) AS dup_right,
        count(*) FILTER (WHERE cr IS NULL) AS left_only, count(*) FILTER (WHERE cl IS NULL) AS right_only
 FROM j""")

@@ -4,8 +4,8 @@
   26^k letter k-mers (k = 1 or 2) among valid windows, indexed by letter
   arithmetic (A=0 .. Z=25, base 26). Arrow-batched numpy per row; no shuffle.
 * ``embed``: any user model through ``predict_batch_udf`` (model loaded once
-  per Python worker, fed fixed-size batches). Rows are range-partitioned and
-  sorted by length inside partitions so batches hold similar lengths.
+  per Python worker, fed fixed-size batches). Rows are sorted by length
+  inside their partitions (no shuffle) so batches hold similar lengths.
 * ``embed_long``: fixed-stride chunks, embed every chunk (chunks of all rows
   batch together), unweighted mean of chunk vectors per entry (a partial
   aggregate, so one long sequence spreads over tasks).
@@ -66,14 +66,13 @@ def kmer_composition(seq: str | Column, k: int = 1, dtype: str = "float") -> Col
     return _composition_udf(k, dtype)(c)
 
 
-def length_sorted(df: DataFrame, seq_col: str = "seq", n_partitions: int | None = None) -> DataFrame:
-    """Range-partition by length and sort each partition longest-first, so a
-    model batch holds similar lengths (less padding). One shuffle; no global
-    single-task sort."""
-    n = n_partitions or df.sparkSession.sparkContext.defaultParallelism
-    ln = F.length(F.col(seq_col))
-    return (df.withColumn("_len", ln).repartitionByRange(n, "_len")
-            .sortWithinPartitions(F.desc("_len")).drop("_len"))
+def length_sorted(df: DataFrame, seq_col: str = "seq") -> DataFrame:
+    """Sort each partition longest-first, so consecutive model batches hold
+    similar lengths (little padding). No shuffle: a partition holds many
+    batches' worth of rows at scale, so a local sort captures the benefit of
+    the single-machine global sort without moving the texts or creating a
+    skewed range partition."""
+    return df.sortWithinPartitions(F.desc(F.length(F.col(seq_col))))
 
 
 def embed(df: DataFrame, make_predict_fn: Callable, dim: int, batch_size: int = 64,

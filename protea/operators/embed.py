@@ -16,11 +16,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from protea.operators.common import spread
 from protea.operators.seqops import explode_chunks
 
 
@@ -46,14 +47,20 @@ def kmer_counts(s: str, k: int) -> tuple[np.ndarray, int]:
 def _composition_udf(k: int, dtype: str):
     el = T.DoubleType() if dtype == "double" else T.FloatType()
     np_t = np.float64 if dtype == "double" else np.float32
+    pa_t = pa.float64() if dtype == "double" else pa.float32()
+    dim = 26 ** k
 
-    @F.pandas_udf(T.ArrayType(el))
-    def comp(seqs: pd.Series) -> pd.Series:
-        out = []
-        for s in seqs:
+    @F.arrow_udf(T.ArrayType(el))
+    def comp(seqs: pa.Array) -> pa.Array:
+        # one (n, dim) matrix per Arrow batch, emitted as a list column by
+        # offsets (no per-row Python objects on the way out)
+        out = np.zeros((len(seqs), dim), dtype=np_t)
+        for i, s in enumerate(seqs.to_pylist()):
             c, n = kmer_counts(s, k)
-            out.append((c / n if n else c).astype(np_t))
-        return pd.Series(out)
+            if n:
+                out[i] = c / n
+        offs = pa.array(np.arange(0, (len(seqs) + 1) * dim, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offs, pa.array(out.ravel(), type=pa_t))
 
     return comp
 
@@ -66,6 +73,12 @@ def kmer_composition(seq: str | Column, k: int = 1, dtype: str = "float") -> Col
     return _composition_udf(k, dtype)(c)
 
 
+def composition(df: DataFrame, k: int = 1, seq_col: str = "seq", out_col: str = "embedding",
+                dtype: str = "float") -> DataFrame:
+    """Default embedder as an operator: k-mer composition of every sequence."""
+    return spread(df).withColumn(out_col, kmer_composition(seq_col, k, dtype))
+
+
 def length_sorted(df: DataFrame, seq_col: str = "seq") -> DataFrame:
     """Sort each partition longest-first, so consecutive model batches hold
     similar lengths (little padding). No shuffle: a partition holds many
@@ -83,7 +96,8 @@ def embed(df: DataFrame, make_predict_fn: Callable, dim: int, batch_size: int =
 
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                             batch_size=batch_size)
-    src = length_sorted(df, seq_col) if sort_by_length else df
+    src = spread(df)
+    src = length_sorted(src, seq_col) if sort_by_length else src
     return src.withColumn(out_col, udf(F.col(seq_col)))
 
 
@@ -100,7 +114,7 @@ def embed_long(df: DataFrame, embedder: Callable[[Column], Column], seq_col: str
                chunk: int = 2048, key: str = "EntryID", out_col: str = "embedding") -> DataFrame:
     """Chunk -> embed each chunk -> mean over chunks. A short text is a single
     chunk, so its vector is its own embedding."""
-    ch = explode_chunks(df, seq_col, chunk, keep=(key,))
+    ch = explode_chunks(spread(df), seq_col, chunk, keep=(key,))
     ch = ch.withColumn("_v", embedder(F.col("chunk")))
     return mean_vectors(ch, key, "_v", out_col)
 

@@ -32,9 +32,8 @@ SELECT v.EntryID,
 FROM v JOIN n ON v.EntryID = n.EntryID
 GROUP BY v.EntryID, km""")
 def kmer_embed(spark, sf):
-    s = driver.seqs(spark, sf)
-    e = s.select("EntryID", embed.kmer_composition(S.clean("seq"), k=2, dtype="double").alias("embedding"))
-    return _long_nonzero(e)
+    s = driver.seqs(spark, sf).select("EntryID", S.clean("seq").alias("seq"))
+    return _long_nonzero(embed.composition(s, k=2, dtype="double"))
 
 
 @register("chunk_mean", f"""WITH {SQL_SEQS},

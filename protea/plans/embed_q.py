@@ -98,3 +98,39 @@ def fold_mean(spark, sf):
     models = [_shift_model(f) for f in range(5)]
     p = score.score(driver.emb(spark, sf), models, TERMS_D, 0.01, dtype=np.float64)
     return p.select("EntryID", "term", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@register("predictions_parquet", f"""WITH {SQL_SIG},
+p AS (SELECT vec_id AS EntryID, 'D' || CAST(j AS VARCHAR) AS term,
+             CAST(1.0 / (1.0 + exp(-CAST(v AS DOUBLE))) AS FLOAT) AS score FROM ex)
+SELECT CAST(EntryID AS VARCHAR) AS EntryID, term, round(CAST(score AS DOUBLE), 6) AS score
+FROM p WHERE score > CAST(0.01 AS FLOAT)""")
+def predictions_parquet(spark, sf):
+    """Score, write the long prediction table (snappy Parquet), read it back."""
+    from protea.session import scratch_path
+    from protea.sources import tables
+    p = score.score(driver.emb(spark, sf), [_shift_model(0)], TERMS_D, 0.01, dtype=np.float64)
+    path = scratch_path(spark, "predictions")
+    tables.write_predictions(p.withColumn("EntryID", F.col("EntryID").cast("string")), path)
+    back = spark.read.parquet(path)
+    return back.select("EntryID", "term", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@register("embeddings_parquet", f"""WITH {SQL_SEQS},
+c AS (SELECT EntryID, {SQL_CLEAN} AS s FROM seqs),
+pos AS (SELECT EntryID, unnest(generate_series(1, length(s))) AS i, s FROM c),
+let AS (SELECT EntryID, substring(s, CAST(i AS BIGINT), 1) AS ch FROM pos),
+v AS (SELECT * FROM let WHERE ch BETWEEN 'A' AND 'Z'),
+n AS (SELECT EntryID, count(*) AS total FROM v GROUP BY EntryID)
+SELECT v.EntryID, CAST(ascii(ch) - 65 AS INTEGER) AS dim,
+       round(CAST(CAST(count(*) / max(n.total) AS FLOAT) AS DOUBLE), 6) AS value
+FROM v JOIN n ON v.EntryID = n.EntryID GROUP BY v.EntryID, ch""")
+def embeddings_parquet(spark, sf):
+    """Default embedder (letter composition, float32 at rest) -> embedding
+    Parquet sink -> read back."""
+    from protea.session import scratch_path
+    from protea.sources import tables
+    s = driver.seqs(spark, sf).select("EntryID", S.clean("seq").alias("seq"))
+    path = scratch_path(spark, "embeddings")
+    tables.write_embeddings(embed.composition(s, k=1), path)
+    return _long_nonzero(spark.read.parquet(path))

@@ -9,10 +9,11 @@ early stopping on validation micro F1; the best epoch's weights are kept.
 
 One Spark job per epoch: the training table is hash-partitioned by key and
 sorted inside partitions (so the layout, and therefore the result, is
-reproducible); each partition starts from the broadcast weights, runs its
-shuffled mini-batches, and emits its weights in fixed-size slices; a grouped
-weighted mean (weights = rows seen) merges the slices, so the driver only
-ever receives one model's worth of numbers.
+reproducible); each partition starts from the broadcast weights, scores its
+validation rows with them, runs its shuffled mini-batches, and emits its
+weights in fixed-size slices; a grouped weighted mean (weights = rows seen)
+merges the slices, so the driver only ever receives one model's worth of
+numbers.
 """
 
 from __future__ import annotations
@@ -179,12 +180,31 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
     adam_m = {k: np.zeros_like(P[k]) for k in TRAINABLE}
     adam_v = {k: np.zeros_like(P[k]) for k in TRAINABLE}
     step = 0
-    tr = (train.where(~F.col(val_col)).select(key, features, tax_col, labels)
-          .repartition(p.n_partitions, key).sortWithinPartitions(key).persist())
-    va = train.where(F.col(val_col)).select(features, tax_col, labels).persist()
+    # one key-partitioned table holds train and validation rows: each epoch's
+    # job trains on its train rows and scores its validation rows with the
+    # incoming weights, so validation costs no extra job per epoch
+    data = (train.select(key, features, tax_col, labels, val_col)
+            .repartition(p.n_partitions, key).sortWithinPartitions(key).persist())
     lr, best, best_P, since, since_lr = p.lr, -1.0, None, 0, 0
     history = []
     all_keys = state_keys + [f"m_{k}" for k in TRAINABLE] + [f"v_{k}" for k in TRAINABLE]
+
+    def record(epoch_idx, counts, params):
+        nonlocal lr, best, best_P, since, since_lr
+        tp, fp, fn = counts
+        den = 2 * tp + fp + fn
+        f1 = 2 * tp / den if den else 0.0
+        history.append({"epoch": epoch_idx, "val_f1": f1, "lr": lr})
+        if f1 > best:
+            best, best_P, since, since_lr = f1, {k: v.copy() for k, v in params.items()}, 0, 0
+            return False
+        since += 1
+        since_lr += 1
+        if since_lr > p.lr_patience:
+            lr, since_lr = max(lr * 0.5, p.min_lr), 0
+        return since >= p.patience
+
+    stopped = False
     for epoch in range(p.epochs):
         full = dict(P, **{f"m_{k}": adam_m[k] for k in TRAINABLE}, **{f"v_{k}": adam_v[k] for k in TRAINABLE})
         bc = sc.broadcast((full, step, lr))
@@ -193,19 +213,27 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
             import pyspark
             pid = pyspark.TaskContext.get().partitionId()
             S, st, lr_ = _bc.value
+            P0 = {k: S[k] for k in state_keys}
             Pl = {k: S[k].copy() for k in state_keys}
             m = {k: S[f"m_{k}"].copy() for k in TRAINABLE}
             v = {k: S[f"v_{k}"].copy() for k in TRAINABLE}
             rng = np.random.default_rng([p.seed, _epoch, pid])
             b1, b2, eps = 0.9, 0.999, 1e-8
             nrow = 0.0
+            vc = np.zeros(3, dtype=np.int64)
             # stream Arrow batches (bounded memory); shuffle inside each batch
             for rb in batches:
                 if rb.num_rows == 0:
                     continue
-                X = features_matrix(rb.column(features))
-                T_ = rb.column(tax_col).to_numpy(zero_copy_only=False).astype(np.int64)
-                Y = _dense_labels(rb.column(labels), n_labels)
+                Xa = features_matrix(rb.column(features))
+                Ta = rb.column(tax_col).to_numpy(zero_copy_only=False).astype(np.int64)
+                Ya = _dense_labels(rb.column(labels), n_labels)
+                isv = rb.column(val_col).to_numpy(zero_copy_only=False).astype(bool)
+                if isv.any():
+                    pr = predict_params(P0, Xa[isv], Ta[isv]).astype(np.float32) > np.float32(0.5)
+                    yv = Ya[isv] > 0
+                    vc += [(pr & yv).sum(), (pr & ~yv).sum(), (~pr & yv).sum()]
+                X, T_, Y = Xa[~isv], Ta[~isv], Ya[~isv]
                 nrow += X.shape[0]
                 order = rng.permutation(X.shape[0])
                 for s in range(0, len(order), p.batch_size):
@@ -221,22 +249,31 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
                         v[k] = b2 * v[k] + (1 - b2) * g[k] ** 2
                         mh, vh = m[k] / (1 - b1 ** st), v[k] / (1 - b2 ** st)
                         Pl[k] -= (lr_ * mh / (np.sqrt(vh) + eps)).astype(np.float32)
-            if nrow == 0:
-                return
             out = dict(Pl, **{f"m_{k}": m[k] for k in TRAINABLE}, **{f"v_{k}": v[k] for k in TRAINABLE})
             flat = _flatten(out, all_keys)
             sl = list(range(0, flat.size, SLICE))
+            zero = [0] * (len(sl) - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(sl), dtype=np.int64)),
                  pa.array([flat[o:o + SLICE] for o in sl], type=pa.list_(pa.float64())),
-                 pa.array([nrow] * len(sl)), pa.array([float(st)] * len(sl))],
-                names=["slice", "w", "n", "steps"])
+                 pa.array([max(nrow, 1e-9)] * len(sl)), pa.array([float(st)] * len(sl)),
+                 pa.array([int(vc[0])] + zero, type=pa.int64()), pa.array([int(vc[1])] + zero, type=pa.int64()),
+                 pa.array([int(vc[2])] + zero, type=pa.int64())],
+                names=["slice", "w", "n", "steps", "tp", "fp", "fn"])
 
-        parts = tr.mapInArrow(run, "slice long, w array<double>, n double, steps double")
+        parts = data.mapInArrow(
+            run, "slice long, w array<double>, n double, steps double, tp long, fp long, fn long")
         merged = (parts.groupBy("slice")
-                  .agg(Summarizer.mean(array_to_vector("w"), F.col("n")).alias("w"), F.max("steps").alias("steps"))
-                  .select("slice", vector_to_array("w").alias("w"), "steps").orderBy("slice").collect())
+                  .agg(Summarizer.mean(array_to_vector("w"), F.col("n")).alias("w"), F.max("steps").alias("steps"),
+                       F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+                  .select("slice", vector_to_array("w").alias("w"), "steps", "tp", "fp", "fn")
+                  .orderBy("slice").collect())  # one model's worth of numbers
         bc.unpersist()
+        if epoch > 0:  # validation of the weights this epoch started from
+            counts = (merged[0]["tp"], merged[0]["fp"], merged[0]["fn"])
+            if record(epoch - 1, counts, P):
+                stopped = True
+                break
         flat = np.concatenate([np.asarray(r["w"]) for r in merged])
         step = int(merged[0]["steps"])
         full_like = dict(P, **{f"m_{k}": adam_m[k] for k in TRAINABLE}, **{f"v_{k}": adam_v[k] for k in TRAINABLE})
@@ -244,24 +281,15 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
         P = {k: new[k] for k in state_keys}
         adam_m = {k: new[f"m_{k}"] for k in TRAINABLE}
         adam_v = {k: new[f"v_{k}"] for k in TRAINABLE}
-        f1 = _val_f1(va, P, n_labels, features, tax_col, labels)
-        history.append({"epoch": epoch, "val_f1": f1, "lr": lr})
-        if f1 > best:
-            best, best_P, since, since_lr = f1, {k: v.copy() for k, v in P.items()}, 0, 0
-        else:
-            since += 1
-            since_lr += 1
-            if since_lr > p.lr_patience:
-                lr, since_lr = max(lr * 0.5, p.min_lr), 0
-            if since >= p.patience:
-                break
-    tr.unpersist()
-    va.unpersist()
+    if not stopped:
+        va = data.where(F.col(val_col))
+        record(p.epochs - 1, _val_counts(va, P, n_labels, features, tax_col, labels), P)
+    data.unpersist()
     train.unpersist()
     return MLPModel(best_P if best_P is not None else P), history
 
 
-def _val_f1(va: DataFrame, P, n_labels, features, tax_col, labels) -> float:
+def _val_counts(va: DataFrame, P, n_labels, features, tax_col, labels) -> tuple[int, int, int]:
     model = MLPModel(P)
 
     def part(batches):
@@ -279,9 +307,7 @@ def _val_f1(va: DataFrame, P, n_labels, features, tax_col, labels) -> float:
 
     r = va.mapInArrow(part, "tp long, fp long, fn long").agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).first()
-    tp, fp, fn = (r["tp"] or 0), (r["fp"] or 0), (r["fn"] or 0)
-    den = 2 * tp + fp + fn
-    return 2 * tp / den if den else 0.0
+    return (r["tp"] or 0), (r["fp"] or 0), (r["fn"] or 0)
 
 
 def model_table(spark, model: MLPModel) -> DataFrame:

@@ -17,7 +17,9 @@ Distribution (one Spark job per tree level, rows never leave their task):
   it to pick the splits;
 * leaf sums (leaf, label) -> (g, count) are merged the same way;
 * raw scores ``F`` live as a column; each tree writes a new cached table and
-  lineage is cut with a reliable checkpoint every ``checkpoint_every`` trees.
+  lineage is cut with a reliable checkpoint every ``checkpoint_every`` trees
+  (a deep lineage makes every later job slower to plan, and a lost executor
+  would replay all trees).
 
 Row subsampling hashes (row key, tree), so it does not depend on partitioning.
 """
@@ -49,7 +51,7 @@ class BoostParams:
     max_bin: int = 64
     sketch_dim: int = 3
     es_rounds: int = 5           # early stopping patience (trees) on val F1
-    checkpoint_every: int = 10
+    checkpoint_every: int = 2
     rows_per_partition: int = 50_000
     seed: int = 42
 
@@ -224,9 +226,13 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
         values = (-p.lr * leaf_g / (leaf_n[:, None] + p.lambda_l2)).astype(np.float32)
         tree = Tree(feat.copy(), thr.copy(), values)
         model.trees.append(tree)
-        new_state = _apply_tree(state, tree, state_schema).persist()
+        applied = _apply_tree(state, tree, state_schema)
         if (t + 1) % p.checkpoint_every == 0:
-            new_state = new_state.checkpoint(eager=True)
+            # reliable checkpoint: a flat plan again (planning cost grows with
+            # every nested pass) and recovery without replaying all trees
+            new_state = applied.checkpoint(eager=True).persist()
+        else:
+            new_state = applied.persist()
         prev, state = state, new_state
     if not stopped and model.trees:
         val = _val_counts(state, n_labels, labels, val_col)

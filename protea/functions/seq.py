@@ -23,8 +23,9 @@ def clean(seq: str | Column) -> Column:
 
 
 def spaced(seq: str | Column) -> Column:
-    """clean, then one space between residues ('AXY' -> 'A X Y')."""
-    return F.regexp_replace(clean(seq), "(.)(?=.)", "$1 ")
+    """clean, then one space between residues ('AXY' -> 'A X Y'): split into
+    characters and join (cheaper than a look-ahead regex per character)."""
+    return F.array_join(F.split(clean(seq), ""), " ")
 
 
 def prefixed(seq: str | Column, prefix: str = PREFIX_NLU) -> Column:

@@ -301,3 +301,12 @@ def test_search_exact_runs_and_masking(spark):
     # no query k-mer at all
     short = spark.createDataFrame([("q", "AB")], "EntryID string, seq string")
     assert simsearch.search(short, refs, K=4).count() == 0
+
+
+def test_dense_index_across_partitions(spark):
+    from protea.operators.common import dense_index
+    df = spark.range(0, 5000).selectExpr("id * 7 % 5003 AS k").repartition(17)
+    got = dense_index(df, [F.desc("k")], "r").collect()
+    ranks = sorted((r["k"], r["r"]) for r in got)
+    exp = sorted(zip(sorted((r["k"] for r in got), reverse=True), range(1, 5001)))
+    assert ranks == sorted(exp)

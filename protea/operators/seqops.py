@@ -15,9 +15,11 @@ def dedupe(df: DataFrame, keys=("EntryID", "seq")) -> DataFrame:
 
 
 def dedupe_report(df: DataFrame, keys=("EntryID", "seq")) -> DataFrame:
-    """One row (n_in, n_out, has_duplicates); computed in a single pass per side."""
-    n_out = dedupe(df, keys).agg(F.count("*")).scalar()
-    return (df.agg(F.count("*").alias("n_in")).withColumn("n_out", n_out)
+    """One row (n_in, n_out, has_duplicates) from one grouped pass: the group
+    sizes sum to n_in, the number of groups is n_out."""
+    g = df.groupBy(*keys).agg(F.count("*").alias("_c"))
+    return (g.agg(F.sum("_c").alias("n_in"), F.count("*").alias("n_out"))
+            .select(F.coalesce("n_in", F.lit(0)).cast("long").alias("n_in"), "n_out")
             .withColumn("has_duplicates", F.col("n_in") != F.col("n_out")))
 
 

@@ -35,6 +35,22 @@ PREDICTION_SCHEMA = T.StructType([
 ])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path (local, HDFS,
+    object stores alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def _missing(path: str, what: str, required: bool):
+    if required:
+        raise FileNotFoundError(f"{what} not found: {path}")
+    print(f"SKIP: missing {what} {path}")
+    return None
+
+
 def _csv(spark: SparkSession, sep: str, header: bool, schema=None, null_value: str = "",
          mode: str = "PERMISSIVE"):
     r = (spark.read.option("sep", sep).option("header", str(header).lower())
@@ -84,23 +100,33 @@ def read_terms(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str, id_col: str = "EntryID",
-                   seq_col: str = "seq") -> DataFrame:
+                   seq_col: str = "seq", required: bool = True) -> DataFrame | None:
     """Parquet sequence table projected to (EntryID, seq); column pruning and
-    any later filter reach the scan. The sequence column may be ``Seq``."""
+    any later filter reach the scan. The sequence column may be ``Seq``.
+    A missing input is skipped (None) unless ``required``."""
+    if not path_exists(spark, path):
+        return _missing(path, "sequence file", required)
     df = spark.read.parquet(path)
     if seq_col not in df.columns and seq_col.capitalize() in df.columns:
         seq_col = seq_col.capitalize()
     return df.select(F.col(id_col).alias("EntryID"), F.col(seq_col).alias("seq"))
 
 
-def read_test_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Test entry list (CSV with header); ``id`` is renamed to ``EntryID``."""
+def read_test_ids(spark: SparkSession, path: str) -> DataFrame | None:
+    """Test entry list (CSV with header); ``id`` is renamed to ``EntryID``.
+    No file -> None (nothing to predict)."""
+    if not path_exists(spark, path):
+        return _missing(path, "test file", False)
     df = _csv(spark, ",", True).csv(path)
     return df.withColumnRenamed("id", "EntryID") if "id" in df.columns else df
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """Taxonomy CSV; ``EntryID`` and ``taxonomyID`` are required."""
+def read_taxonomy(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
+    """Taxonomy CSV; ``EntryID`` and ``taxonomyID`` are required columns. The
+    training taxonomy is mandatory; a missing optional one (test side) gives
+    None, which ``align.with_taxonomy`` turns into -1 for every entry."""
+    if not path_exists(spark, path):
+        return _missing(path, "taxonomy file", required)
     df = _csv(spark, ",", True).csv(path)
     if "EntryID" not in df.columns or "taxonomyID" not in df.columns:
         raise ValueError(f"taxonomy file {path} must have columns 'EntryID' and 'taxonomyID'")
@@ -116,7 +142,10 @@ def normalise_ia(df: DataFrame) -> DataFrame:
                      F.col(score).cast("double").alias("score"))
 
 
-def read_ia(spark: SparkSession, path: str) -> DataFrame:
+def read_ia(spark: SparkSession, path: str) -> DataFrame | None:
+    """IA weights (term, score); no file -> None (equal weights downstream)."""
+    if not path_exists(spark, path):
+        return _missing(path, "IA file", False)
     return normalise_ia(_csv(spark, ",", True).csv(path))
 
 

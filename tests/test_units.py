@@ -310,3 +310,19 @@ def test_dense_index_across_partitions(spark):
     ranks = sorted((r["k"], r["r"]) for r in got)
     exp = sorted(zip(sorted((r["k"] for r in got), reverse=True), range(1, 5001)))
     assert ranks == sorted(exp)
+
+
+def test_optional_inputs(spark, tmpdir_path):
+    nowhere = os.path.join(tmpdir_path, "absent")
+    assert tables.read_sequences(spark, nowhere, required=False) is None
+    assert tables.read_test_ids(spark, nowhere) is None
+    assert tables.read_ia(spark, nowhere) is None
+    assert tables.read_taxonomy(spark, nowhere, required=False) is None
+    with pytest.raises(FileNotFoundError):
+        tables.read_taxonomy(spark, nowhere)
+    ents = spark.createDataFrame([("a",)], "EntryID string")
+    assert align.with_taxonomy(ents, None).first()["taxonomyID"] == -1
+    t = os.path.join(tmpdir_path, "test.csv")
+    with open(t, "w") as f:
+        f.write("id\nP1\nP2\n")
+    assert sorted(r["EntryID"] for r in tables.read_test_ids(spark, t).collect()) == ["P1", "P2"]

@@ -144,8 +144,10 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     """Train on rows with ``is_val`` false; early-stop on micro F1 (threshold
     0.5) of rows with ``is_val`` true. Returns (model, per-tree history)."""
     from protea.session import checkpoint_root
+    from protea.session import ship
     p = params or BoostParams()
     spark = train.sparkSession
+    ship(spark)
     checkpoint_root(spark)
     # several setup passes read the training table: compute it once
     train = train.select(key, features, labels, val_col).persist()
@@ -199,11 +201,12 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
         cols = np.sort(rng.choice(D, max(1, int(round(D * p.colsample))), replace=False))
         feat = np.full(n_nodes, -1, dtype=np.int64)
         thr = np.zeros(n_nodes, dtype=np.int64)
+        hist = None
         for level in range(p.max_depth):
             # the level-0 pass also counts validation tp/fp/fn of the model so
             # far (same scan of the cached state, no extra job)
             hist, val = _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels,
-                                         with_val=(level == 0 and t > 0))
+                                         with_val=(level == 0 and t > 0), parent=hist)
             if prev is not None:  # the new state is materialised now
                 prev.unpersist()
                 prev = None
@@ -276,9 +279,16 @@ def _batch_arrays(rb, n_labels, labels):
     return codes, Fm, Y
 
 
-def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels, with_val=False):
+def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels, with_val=False,
+                     parent: dict | None = None):
+    """Histograms of every node at ``level``. Below the root only LEFT
+    children are accumulated by the tasks; each right child is its parent's
+    histogram (kept on the driver from the previous level) minus its
+    sibling's, which halves the per-level work and shuffle volume."""
     depth, Dc, k = level, len(cols), P.shape[1]
     subsample = p.subsample
+    halve = level > 0 and parent is not None
+    n_slots = 2 ** (level - 1) if halve else 2 ** level
 
     def part(batches):
         acc = None
@@ -301,8 +311,11 @@ def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels
             codes, Fm, Y = codes[keep], Fm[keep], Y[keep]
             G = (sigmoid_np(Fm) - Y) @ P                       # sketched gradients (n, k)
             node = _route(codes, feat, thr, depth)             # 0..2^level-1
+            if halve:  # left children only, slot = sibling pair
+                left = node % 2 == 0
+                node, codes, G = node[left] // 2, codes[left], G[left]
             idx = (node[:, None] * Dc + np.arange(Dc)[None, :]) * B + codes[:, cols]
-            size = (2 ** level) * Dc * B
+            size = n_slots * Dc * B
             cur = np.zeros((k + 1, size))
             flat = idx.ravel()
             for j in range(k):
@@ -339,7 +352,14 @@ def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels
         h = out.setdefault(node, np.zeros((Dc, B, k + 1)))
         h[d, b, :k] = [r[f"g{j}"] for j in range(k)]
         h[d, b, k] = r["n"]
-    return out, val
+    if not halve:
+        return out, val
+    full: dict[int, np.ndarray] = {}
+    for slot, ph in parent.items():
+        lh = out.get(slot, np.zeros_like(ph))
+        full[2 * slot] = lh
+        full[2 * slot + 1] = ph - lh
+    return full, val
 
 
 def _best_split(h: np.ndarray, p: BoostParams):

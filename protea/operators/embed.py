@@ -69,6 +69,8 @@ def kmer_composition(seq: str | Column, k: int = 1, dtype: str = "float") -> Col
     """array<float|double> of 26^k k-mer frequencies (zeros if no valid k-mer)."""
     if k not in (1, 2):
         raise ValueError("k must be 1 or 2 (26 or 676 dimensions)")
+    from protea.session import ship_active
+    ship_active()
     c = F.col(seq) if isinstance(seq, str) else seq
     return _composition_udf(k, dtype)(c)
 

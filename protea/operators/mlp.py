@@ -170,8 +170,10 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
+    from protea.session import ship
     p = params or MLPParams()
     spark = train.sparkSession
+    ship(spark)
     sc = spark.sparkContext
     train = train.select(key, features, labels, tax_col, val_col).persist()
     D = len(train.select(features).first()[0])

@@ -49,6 +49,8 @@ def score(df: DataFrame, models: Sequence, terms: Sequence[str], threshold: floa
     ``models``: objects with ``predict(X, tax) -> (n, len(terms))``
     probabilities; several are averaged elementwise (fold ensemble).
     """
+    from protea.session import ship
+    ship(df.sparkSession)
     models = list(models)
     names = np.asarray(list(terms), dtype=object)
     thr = None if threshold is None else np.float32(threshold)

@@ -64,6 +64,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(id(sc))
 
 
+def ship_active() -> None:
+    """``ship`` for column-level helpers that only see Columns."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared scratch root: the session's checkpoint dir, set only if absent."""
     sc = spark.sparkContext

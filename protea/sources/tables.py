@@ -164,6 +164,8 @@ def _fmt6(s: pd.Series) -> pd.Series:
 def format_scores(scores: DataFrame, query_col: str = "query_id", term_col: str = "term",
                   score_col: str = "score") -> DataFrame:
     """(query_id, GO_term, score '%.6f') rows, the submission format."""
+    from protea.session import ship
+    ship(scores.sparkSession)
     return scores.select(F.col(query_col).cast("string").alias("query_id"),
                          F.col(term_col).alias("GO_term"),
                          _fmt6(F.col(score_col)).alias("score"))

@@ -6,6 +6,7 @@ with the sequence vector -> [Linear -> BatchNorm -> ReLU -> Dropout] x 2
 (h, h/2) -> Linear -> one logit per label. Loss: BCE-with-logits (mean).
 Optimiser: AdamW; ReduceLROnPlateau (factor 0.5, patience 2, floor 1e-6) and
 early stopping on validation micro F1; the best epoch's weights are kept.
+``loss="focal"`` trains with the focal loss instead (gamma, optional alpha).
 
 One Spark job per epoch: the training table is hash-partitioned by key and
 sorted inside partitions (so the layout, and therefore the result, is
@@ -45,6 +46,9 @@ class MLPParams:
     lr_patience: int = 2
     min_lr: float = 1e-6
     n_partitions: int = 8
+    loss: str = "bce"            # or "focal": alpha * (1 - pt)^gamma * bce
+    gamma: float = 2.0
+    alpha: float | None = None
     seed: int = 42
 
 
@@ -102,9 +106,23 @@ def forward(P, X, tax, train: bool, rng=None, dropout: float = 0.0):
     return logits, cache
 
 
-def backward(P, cache, logits, Y, tax):
+def loss_grad(logits, Y, loss: str = "bce", gamma: float = 2.0, alpha: float | None = None):
+    """d(mean loss)/d(logit) per cell. Focal: with pt = exp(-bce),
+    d/dx [a (1-pt)^g bce] = a (p-y) (1-pt)^(g-1) [g pt bce + (1-pt)]."""
     n, L = logits.shape
-    d = (sigmoid_np(logits) - Y) / (n * L)          # mean BCE over all cells
+    p = sigmoid_np(logits)
+    if loss == "bce":
+        return (p - Y) / (n * L)
+    if loss != "focal":
+        raise ValueError("loss must be 'bce' or 'focal'")
+    bce = np.maximum(logits, 0) - logits * Y + np.log1p(np.exp(-np.abs(logits)))
+    pt = np.exp(-bce)
+    d = (p - Y) * (1 - pt) ** (gamma - 1) * (gamma * pt * bce + (1 - pt))
+    return (1.0 if alpha is None else alpha) * d / (n * L)
+
+
+def backward(P, cache, logits, Y, tax, loss: str = "bce", gamma: float = 2.0, alpha: float | None = None):
+    d = loss_grad(logits, Y, loss, gamma, alpha)
     g = {"W3": cache["h2"].T @ d, "b3": d.sum(0)}
     dh = d @ P["W3"].T
     for i, W, b in ((2, "W2", "b2"), (1, "W1", "b1")):
@@ -243,7 +261,7 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
                     if len(idx) < 2:
                         continue
                     logits, cache = forward(Pl, X[idx], T_[idx], True, rng, p.dropout)
-                    g = backward(Pl, cache, logits, Y[idx], T_[idx])
+                    g = backward(Pl, cache, logits, Y[idx], T_[idx], p.loss, p.gamma, p.alpha)
                     st += 1
                     for k in TRAINABLE:
                         Pl[k] *= (1 - lr_ * p.weight_decay)

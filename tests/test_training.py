@@ -77,3 +77,22 @@ def test_score_melts_and_thresholds_in_batch(spark):
     m2 = score.LinearModel(np.zeros((2, 2)), np.zeros(2))
     got2 = {(r["EntryID"], r["term"]): r["score"] for r in score.score(df, [m, m2], ["x", "y"], None).collect()}
     assert got2[("a", "y")] == pytest.approx((1 / (1 + np.exp(-10)) + 0.5) / 2, rel=1e-6)
+
+
+@pytest.mark.parametrize("alpha", [None, 0.25])
+def test_focal_loss_gradient(alpha):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((5, 3)) * 3
+    y = (rng.random((5, 3)) > 0.5).astype(float)
+
+    def fl(z):
+        b = np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))
+        return ((1.0 if alpha is None else alpha) * (1 - np.exp(-b)) ** 2 * b).mean()
+
+    g = mlp.loss_grad(x, y, "focal", 2.0, alpha)
+    num = np.zeros_like(x)
+    for i in np.ndindex(x.shape):
+        e = np.zeros_like(x)
+        e[i] = 1e-6
+        num[i] = (fl(x + e) - fl(x - e)) / 2e-6
+    assert np.allclose(num, g, atol=1e-8)

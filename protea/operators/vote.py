@@ -26,10 +26,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIT_COLUMNS = ["query_id", "subject_id", "pid", "aln_len", "mismatch", "gap",
-               "qstart", "qend", "sstart", "send", "evalue", "bitscore"]
-
-
 def filter_hits(hits: DataFrame, evalue_threshold: float = 1e-3) -> DataFrame:
     """Strict e-value filter; pushed into the scan by Catalyst when possible."""
     e = F.col("evalue")
@@ -91,3 +87,9 @@ def vote_and_merge(hit_sets: DataFrame, terms: DataFrame, evalue_threshold: floa
     else:
         votes = weighted_vote(hit_sets, terms, evalue_threshold, by=[source_col])
     return max_merge(votes)
+
+
+def term_lists(terms: DataFrame, key: str = "EntryID") -> DataFrame:
+    """(EntryID, terms array) with duplicates kept, for display only; the
+    vote itself stays on the long table."""
+    return terms.groupBy(key).agg(F.collect_list("term").alias("terms"))

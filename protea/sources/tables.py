@@ -28,13 +28,6 @@ HITS_SCHEMA = T.StructType([
     T.StructField("bitscore", T.DoubleType()),
 ])
 
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("EntryID", T.StringType()),
-    T.StructField("term", T.StringType()),
-    T.StructField("score", T.FloatType()),
-])
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop FileSystem of the path (local, HDFS,
     object stores alike)."""

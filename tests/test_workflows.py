@@ -69,3 +69,16 @@ def test_train_and_score_files(spark, tmpdir_path):
     p2 = workflows.train_and_score(spark, seq, emb, lab, test, emb, out2, "mlp", top_k=3,
                                    params=mlp.MLPParams(epochs=2, hidden=16, n_partitions=2))
     assert p2.select("term").distinct().count() <= 3
+
+
+def test_embed_with_batch_model(spark, tmpdir_path):
+    from protea.operators import embed
+    src = os.path.join(tmpdir_path, "seq.parquet")
+    driver.seqs(spark, SF_SMALL).write.parquet(src)
+    n = driver.seqs(spark, SF_SMALL).count()
+    for style in ("t5", "ankh"):
+        out = os.path.join(tmpdir_path, f"m-{style}")
+        e = workflows.embed_sequences(spark, src, out, style=style,
+                                      make_predict_fn=embed.projection_model(8), dim=8)
+        rows = e.collect()
+        assert len(rows) == n and all(len(r["embedding"]) == 8 for r in rows)

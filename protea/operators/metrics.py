@@ -7,14 +7,14 @@ score-0 cell, so it counts as a false negative).
 
 F-max is computed in one pass instead of one pass per threshold: every cell
 is assigned the highest threshold index it passes, tp/fp weights are summed
-per index (map-side partial aggregation -> at most 100 groups), and a reverse
-running sum over those <= 100 rows gives tp/fp at every threshold.
+per index (map-side partial aggregation -> at most 100 groups), and each of
+those rows feeds every lower threshold (<= 5,050 rows) to give tp/fp at every
+threshold without an ordered window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from protea.functions.math import bce_with_logits, f32, focal, safe_ratio, sigmoid
@@ -57,15 +57,16 @@ def threshold_curve(cells: DataFrame, ia: DataFrame | None = None, n: int = 99)
                     F.when(yv, F.col("_w")).otherwise(0.0).alias("tp_w"),
                     F.when(yv, 0.0).otherwise(F.col("_w")).alias("fp_w"))
            .groupBy("b").agg(F.sum("tp_w").alias("tp_b"), F.sum("fp_w").alias("fp_b")))
-    grid = spark.range(0, n + 1).select(F.col("id").cast("int").alias("b"))
-    # <= 100 rows: one ordered window partition is fine here
-    w = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = (grid.join(per, "b", "left").fillna(0.0, ["tp_b", "fp_b"])
-           .select("b", F.sum("tp_b").over(w).alias("tp"), F.sum("fp_b").over(w).alias("fp"),
-                   F.sum("tp_b").over(Window.partitionBy()).alias("pos")))
-    cur = (cum.where(F.col("b") >= 1)
-           .select(F.col("b").alias("tau_idx"), (F.col("b") / 100.0).alias("tau"),
-                   "tp", "fp", (F.col("pos") - F.col("tp")).alias("fn")))
+    # tp(k) = sum over buckets b >= k: each (<= 100) bucket row feeds every
+    # threshold at or below it -> <= 5,050 rows, one equi-aggregation, no
+    # ordered window; k = 0 collects every cell, i.e. all positives
+    fed = (per.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("b"), "tp_b", "fp_b")
+           .groupBy("b").agg(F.sum("tp_b").alias("tp"), F.sum("fp_b").alias("fp")))
+    pos = fed.where(F.col("b") == 0).select("tp").scalar()
+    grid = spark.range(1, n + 1).select(F.col("id").cast("int").alias("b"))
+    cur = (grid.join(fed, "b", "left").fillna(0.0, ["tp", "fp"])
+           .select(F.col("b").alias("tau_idx"), (F.col("b") / 100.0).alias("tau"), "tp", "fp",
+                   (F.coalesce(pos, F.lit(0.0)) - F.col("tp")).alias("fn")))
     p = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     r = safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     cur = cur.withColumn("precision", p).withColumn("recall", r)

@@ -82,3 +82,12 @@ def test_embed_with_batch_model(spark, tmpdir_path):
                                       make_predict_fn=embed.projection_model(8), dim=8)
         rows = e.collect()
         assert len(rows) == n and all(len(r["embedding"]) == 8 for r in rows)
+
+
+def test_cli_embed(spark, tmpdir_path):
+    from protea.__main__ import main
+    src = os.path.join(tmpdir_path, "seq.parquet")
+    driver.seqs(spark, SF_SMALL).write.parquet(src)
+    out = os.path.join(tmpdir_path, "emb")
+    main(["embed", "--input", src, "--output", out, "--style", "esm"])
+    assert spark.read.parquet(out).count() == driver.seqs(spark, SF_SMALL).count()

@@ -52,7 +52,9 @@ def terms(spark, sf_dir) -> DataFrame:
 
 
 def seqs(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    from protea.operators.common import spread
+    # few large row groups -> few scan tasks; rebalance before the regex work
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("doc_id").alias("EntryID"), letters_upper(F.col("text")).alias("seq"))
 
 

@@ -1,7 +1,7 @@
 """Command line over the workflows (run with spark-submit or python -m).
 
     python -m protea vote   --queries test.fasta --ref NAME:TERMS:FASTA ... --out submission.tsv
-    python -m protea embed  --input sequence.parquet --output emb.parquet --style t5
+    python -m protea embed  --input sequence.parquet --output emb.parquet --style spaced
     python -m protea train  --model boost --sequences seq.parquet --embeddings emb.parquet \\
                             --labels label.parquet --test test.csv --test-embeddings temb.parquet \\
                             --output pred.parquet [--top-k 3000]
@@ -36,7 +36,7 @@ def main(argv=None) -> None:
     e = sub.add_parser("embed", help="sequence Parquet -> embedding Parquet")
     e.add_argument("--input", required=True)
     e.add_argument("--output", required=True)
-    e.add_argument("--style", choices=["esm", "t5", "ankh"], default="esm")
+    e.add_argument("--style", choices=["truncated", "spaced", "chunked"], default="truncated")
     e.add_argument("--k", type=int, default=1)
     t = sub.add_parser("train", help="train and score")
     t.add_argument("--model", choices=["boost", "mlp"], default="boost")

@@ -6,8 +6,8 @@ jobs:
 * ``homology_vote``: query FASTA + per-reference-set FASTA (or precomputed
   hit tables) and term tables -> similarity hits -> weighted vote per set ->
   max-merge -> submission TSV.
-* ``embed_sequences``: sequence Parquet -> model-specific preprocessing
-  (plain / spaced / prefixed+chunked) -> batch embedder -> embedding Parquet.
+* ``embed_sequences``: sequence Parquet -> preprocessing style
+  (truncated / spaced / prefixed+chunked) -> batch embedder -> embedding Parquet.
 * ``train_and_score``: sequence, embedding and wide-label Parquet (+ optional
   taxonomy files) -> aligned training table -> booster or MLP -> scored test
   entries -> prediction Parquet. (IA weights feed the metrics and the
@@ -77,32 +77,33 @@ def homology_vote(spark: SparkSession, query_fasta: str, refs: Sequence[Referenc
     return merged
 
 
-# fixed values: per model family, tokens per sequence (incl. specials),
-# special tokens added, and the chunk length of the chunked family
+# fixed values: per preprocessing style, tokens per sequence (incl. specials),
+# special tokens added, and the chunk length of the chunked style
 PREPROCESS = {
-    "esm": dict(max_tokens=1024, n_special=2),
-    "t5": dict(max_tokens=1024, n_special=1),
-    "ankh": dict(chunk=2048),
+    "truncated": dict(max_tokens=1024, n_special=2),
+    "spaced": dict(max_tokens=1024, n_special=1),
+    "chunked": dict(chunk=2048),
 }
 
 
 def _prepare(seq: str, style: str):
     cfg = PREPROCESS[style]
-    if style == "esm":
+    if style == "truncated":
         return S.truncate(S.clean(seq), cfg["max_tokens"], cfg["n_special"])
-    if style == "t5":  # limit residues first, then space them
+    if style == "spaced":  # limit residues first, then space them
         return S.spaced(S.truncate(S.clean(seq), cfg["max_tokens"], cfg["n_special"]))
     return S.prefixed(seq)
 
 
-def embed_sequences(spark: SparkSession, in_parquet: str, out_parquet: str, style: str = "esm",
+def embed_sequences(spark: SparkSession, in_parquet: str, out_parquet: str, style: str = "truncated",
                     make_predict_fn: Callable | None = None, dim: int | None = None,
                     batch_size: int = 64, k: int = 1) -> DataFrame | None:
     """Embed a sequence Parquet file. ``make_predict_fn`` is a batch model
     (strings -> (n, dim)); without one, the k-mer composition embedder is
-    used. ``style`` picks the preprocessing of the three model families:
-    esm = clean + truncate, t5 = spaced + truncate, ankh = prefix + 2048-chunks
-    with the chunk mean."""
+    used. ``style`` picks the preprocessing: truncated = clean + truncate to
+    1024 tokens with 2 specials; spaced = clean + truncate (1 special) + one
+    space between residues; chunked = '[NLU]' prefix + 2048-letter chunks with
+    the chunk mean."""
     ship(spark)
     seqs = tables.read_sequences(spark, in_parquet, required=False)
     if seqs is None:
@@ -116,8 +117,8 @@ def embed_sequences(spark: SparkSession, in_parquet: str, out_parquet: str, styl
             from pyspark.sql import types as T
             return predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                                      batch_size=batch_size)(c)
-    if style == "ankh":
-        out = embed.embed_long(s, embedder, "seq", PREPROCESS["ankh"]["chunk"])
+    if style == "chunked":
+        out = embed.embed_long(s, embedder, "seq", PREPROCESS["chunked"]["chunk"])
     else:
         out = embed.length_sorted(s).select("EntryID", embedder(F.col("seq")).alias("embedding"))
     tables.write_embeddings(out, out_parquet)

@@ -41,7 +41,7 @@ def test_homology_vote_from_fasta_and_hits(spark, tmpdir_path):
 def test_embed_styles(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "seq.parquet")
     driver.seqs(spark, SF_SMALL).write.parquet(src)
-    for style in ("esm", "t5", "ankh"):
+    for style in ("truncated", "spaced", "chunked"):
         out = os.path.join(tmpdir_path, f"emb-{style}")
         e = workflows.embed_sequences(spark, src, out, style=style)
         assert e.count() == driver.seqs(spark, SF_SMALL).count()
@@ -76,7 +76,7 @@ def test_embed_with_batch_model(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "seq.parquet")
     driver.seqs(spark, SF_SMALL).write.parquet(src)
     n = driver.seqs(spark, SF_SMALL).count()
-    for style in ("t5", "ankh"):
+    for style in ("spaced", "chunked"):
         out = os.path.join(tmpdir_path, f"m-{style}")
         e = workflows.embed_sequences(spark, src, out, style=style,
                                       make_predict_fn=embed.projection_model(8), dim=8)
@@ -89,5 +89,5 @@ def test_cli_embed(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "seq.parquet")
     driver.seqs(spark, SF_SMALL).write.parquet(src)
     out = os.path.join(tmpdir_path, "emb")
-    main(["embed", "--input", src, "--output", out, "--style", "esm"])
+    main(["embed", "--input", src, "--output", out, "--style", "truncated"])
     assert spark.read.parquet(out).count() == driver.seqs(spark, SF_SMALL).count()

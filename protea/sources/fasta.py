@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed value: FASTA sequence lines wrap at this width
 LINE_WIDTH = 60
 
 

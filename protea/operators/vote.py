@@ -16,7 +16,8 @@ subject collapses before any shuffle):
 
     kept hits --agg(src,q,s)--> pair bits --join terms on s (AQE skew split /
               runtime broadcast) --agg(src,q,t)--> term bits --join totals
-    kept hits --agg(src,q)--> totals (one partial row per query per task)
+                                  pair bits --agg(src,q)--> totals
+    (one scan and one shuffle of the hit table, reused by both branches)
 """
 
 from __future__ import annotations
@@ -39,8 +40,11 @@ def weighted_vote(hits: DataFrame, terms: DataFrame, evalue_threshold: float = 1
     by = list(by)
     kept = filter_hits(hits, evalue_threshold).select(*by, "query_id", "subject_id", "bitscore")
     pair, total = _pair_and_total(kept, by)
-    ann = terms.select(F.col(subject_key).alias("subject_id"), F.col("term"))
-    term_bits = (pair.join(ann, "subject_id", "inner")
+    ann = (terms.where(F.col(subject_key).isNotNull())
+           .select(F.col(subject_key).alias("_subj"), F.col("term")))
+    # null-safe key: no inferred not-null filter on the pair side, so both
+    # consumers of ``pair`` share one scan and one shuffle of the hit table
+    term_bits = (pair.join(ann, pair["subject_id"].eqNullSafe(ann["_subj"]), "inner")
                  .groupBy(*by, "query_id", "term").agg(F.sum("bits").alias("term_bits")))
     return (term_bits.join(total, [*by, "query_id"], "inner")
             .select(*by, "query_id", "term",
@@ -48,14 +52,13 @@ def weighted_vote(hits: DataFrame, terms: DataFrame, evalue_threshold: float = 1
 
 
 def _pair_and_total(kept: DataFrame, by: list[str]):
-    """Per (set, query, subject) bits and per (set, query) totals. Both are
-    map-side partial aggregations of the (pruned, filtered) hit scan; the
-    totals branch shrinks to one partial row per query per task before its
-    shuffle. Several HSPs to one subject are additive in numerator and
-    denominator, so pre-summing per pair is exact."""
+    """Per (set, query, subject) bits, and per (set, query) totals summed from
+    those pairs (the same aggregated table feeds both). Several HSPs to one
+    subject are additive in numerator and denominator, so pre-summing per
+    pair is exact; a hot query or subject collapses map-side."""
     keys = [*by, "query_id"]
     pair = kept.groupBy(*keys, "subject_id").agg(F.sum("bitscore").alias("bits"))
-    total = kept.groupBy(*keys).agg(F.sum("bitscore").alias("total_bits"))
+    total = pair.groupBy(*keys).agg(F.sum("bits").alias("total_bits"))
     return pair, total
 
 

@@ -8,8 +8,8 @@ score-0 cell, so it counts as a false negative).
 F-max is computed in one pass instead of one pass per threshold: every cell
 is assigned the highest threshold index it passes, tp/fp weights are summed
 per index (map-side partial aggregation -> at most 100 groups), and each of
-those rows feeds every lower threshold (<= 5,050 rows) to give tp/fp at every
-threshold without an ordered window.
+those rows feeds every threshold (tp/fp at or below its index, fn above it),
+<= 9,900 rows, to give tp/fp/fn at every threshold without an ordered window.
 """
 
 from __future__ import annotations
@@ -57,16 +57,18 @@ def threshold_curve(cells: DataFrame, ia: DataFrame | None = None, n: int = 99)
                     F.when(yv, F.col("_w")).otherwise(0.0).alias("tp_w"),
                     F.when(yv, 0.0).otherwise(F.col("_w")).alias("fp_w"))
            .groupBy("b").agg(F.sum("tp_w").alias("tp_b"), F.sum("fp_w").alias("fp_b")))
-    # tp(k) = sum over buckets b >= k: each (<= 100) bucket row feeds every
-    # threshold at or below it -> <= 5,050 rows, one equi-aggregation, no
-    # ordered window; k = 0 collects every cell, i.e. all positives
-    fed = (per.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("b"), "tp_b", "fp_b")
-           .groupBy("b").agg(F.sum("tp_b").alias("tp"), F.sum("fp_b").alias("fp")))
-    pos = fed.where(F.col("b") == 0).select("tp").scalar()
-    grid = spark.range(1, n + 1).select(F.col("id").cast("int").alias("b"))
-    cur = (grid.join(fed, "b", "left").fillna(0.0, ["tp", "fp"])
-           .select(F.col("b").alias("tau_idx"), (F.col("b") / 100.0).alias("tau"), "tp", "fp",
-                   (F.coalesce(pos, F.lit(0.0)) - F.col("tp")).alias("fn")))
+    # every (<= 100) bucket row b feeds every threshold k = 1..n: to tp/fp when
+    # k <= b (predicted at k), to fn when k > b -> <= 9,900 rows and one
+    # equi-aggregation; the cells are aggregated once, no ordered window
+    k = F.col("tau_idx")
+    fed = (per.select("b", "tp_b", "fp_b", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("tau_idx"))
+           .groupBy("tau_idx")
+           .agg(F.sum(F.when(k <= F.col("b"), F.col("tp_b")).otherwise(0.0)).alias("tp"),
+                F.sum(F.when(k <= F.col("b"), F.col("fp_b")).otherwise(0.0)).alias("fp"),
+                F.sum(F.when(k > F.col("b"), F.col("tp_b")).otherwise(0.0)).alias("fn")))
+    grid = spark.range(1, n + 1).select(F.col("id").cast("int").alias("tau_idx"))
+    cur = (grid.join(fed, "tau_idx", "left").fillna(0.0, ["tp", "fp", "fn"])
+           .select("tau_idx", (F.col("tau_idx") / 100.0).alias("tau"), "tp", "fp", "fn"))
     p = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     r = safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     cur = cur.withColumn("precision", p).withColumn("recall", r)

@@ -128,18 +128,19 @@ def focal_loss(cells: DataFrame, gamma: float = 2.0, alpha=None, reduction: str
 
 def weighted_focal_loss(cells: DataFrame, term_weights: DataFrame | None = None,
                         gamma: float = 2.0, alpha: float | None = None) -> DataFrame:
-    """sum(focal * w) / (B * sum_vocab(w)), B = entries in the batch; w from
-    (term, score) with missing terms at 1.0. Without weights: plain mean."""
+    """sum(focal * w) / (B * sum_vocab(w)) over a dense (B entries x C labels)
+    cell table; w from (term, score), missing terms at 1.0. Without weights:
+    plain mean. One pass over the cells: a per-term partial aggregate (focal
+    sum, cell count) -> C term rows joined with the IA table -> B = cells / C."""
     fl = focal(F.col("logit"), F.col("y").cast("double"), gamma, alpha)
     if term_weights is None:
         return cells.agg(F.avg(fl).alias("loss"))
-    vocab = cells.select("term").distinct()
-    w = (vocab.join(term_weights.select("term", F.col("score").cast("double").alias("_w")), "term", "left")
-         .select("term", F.coalesce(F.col("_w"), F.lit(1.0)).alias("w")))
-    sw = w.agg(F.sum("w")).scalar()  # scalar subquery over the vocabulary
-    num = cells.join(w, "term").agg(F.sum(fl * F.col("w")).alias("num"),
-                                    F.count_distinct("EntryID").alias("B"))
-    return num.select((F.col("num") / (F.col("B") * sw)).alias("loss"))
+    per = cells.groupBy("term").agg(F.sum(fl).alias("_f"), F.count("*").alias("_n"))
+    w = term_weights.select("term", F.col("score").cast("double").alias("_w"))
+    j = per.join(w, "term", "left").withColumn("_w", F.coalesce(F.col("_w"), F.lit(1.0)))
+    agg = j.agg(F.sum(F.col("_f") * F.col("_w")).alias("num"), F.sum("_w").alias("sw"),
+                F.sum("_n").alias("n"), F.count("*").alias("c"))
+    return agg.select((F.col("num") / ((F.col("n") / F.col("c")) * F.col("sw"))).alias("loss"))
 
 
 def summarize_folds(per_fold: DataFrame, metric: str = "f1") -> DataFrame:

@@ -39,24 +39,22 @@ def _threshold_bucket(score, n: int = 99):
     return F.when(s.isNull() | F.isnan(s), F.lit(0)).otherwise(b)
 
 
-def _weighted(cells: DataFrame, ia: DataFrame | None, term: str = "term") -> DataFrame:
-    if ia is None:
-        return cells.withColumn("_w", F.lit(1.0))
-    w = ia.select(F.col("term").alias(term), F.col("score").cast("double").alias("_w_ia"))
-    # IA tables are per label (vocabulary-sized); AQE broadcasts at run time
-    return (cells.join(w, term, "left")
-            .withColumn("_w", F.coalesce(F.col("_w_ia"), F.lit(1.0))).drop("_w_ia"))
-
-
 def threshold_curve(cells: DataFrame, ia: DataFrame | None = None, n: int = 99) -> DataFrame:
     """(tau_idx, tau, tp, fp, fn, precision, recall, f) for tau = k/100, k=1..n."""
     spark = cells.sparkSession
-    c = _weighted(cells, ia)
     yv = F.col("y").cast("boolean")
-    per = (c.select(_threshold_bucket(F.col("score"), n).alias("b"),
-                    F.when(yv, F.col("_w")).otherwise(0.0).alias("tp_w"),
-                    F.when(yv, 0.0).otherwise(F.col("_w")).alias("fp_w"))
-           .groupBy("b").agg(F.sum("tp_w").alias("tp_b"), F.sum("fp_w").alias("fp_b")))
+    # cells -> (term, bucket) counts first (map-side, <= labels x 100 rows);
+    # IA weights then apply to those rows, so the cell table is never joined
+    tb = (cells.select("term", _threshold_bucket(F.col("score"), n).alias("b"), yv.alias("_y"))
+          .groupBy("term", "b").agg(F.count_if(F.col("_y")).alias("_tp"),
+                                    F.count_if(~F.col("_y")).alias("_fp")))
+    if ia is None:
+        tb = tb.withColumn("_w", F.lit(1.0))
+    else:
+        w = ia.select("term", F.col("score").cast("double").alias("_w"))
+        tb = tb.join(w, "term", "left").withColumn("_w", F.coalesce(F.col("_w"), F.lit(1.0)))
+    per = tb.groupBy("b").agg(F.sum(F.col("_tp") * F.col("_w")).alias("tp_b"),
+                              F.sum(F.col("_fp") * F.col("_w")).alias("fp_b"))
     # every (<= 100) bucket row b feeds every threshold k = 1..n: to tp/fp when
     # k <= b (predicted at k), to fn when k > b -> <= 9,900 rows and one
     # equi-aggregation; the cells are aggregated once, no ordered window

@@ -108,20 +108,26 @@ def bce_loss(cells: DataFrame) -> DataFrame:
 
 def focal_loss(cells: DataFrame, gamma: float = 2.0, alpha=None, reduction: str = "mean") -> DataFrame:
     """Focal loss. ``alpha``: None, a scalar, or a (term, alpha) DataFrame
-    (per-class factor, joined on term). reduction: mean | sum | none."""
-    c = cells
-    a = None
+    (per-class factor). reduction: mean | sum | none. With a per-class table
+    and a reducing mode, the cells are summed per term first and the factors
+    applied to those rows (the cell table is never joined)."""
+    y = F.col("y").cast("double")
     if isinstance(alpha, DataFrame):
-        c = c.join(alpha.select("term", F.col("alpha").cast("double").alias("_alpha")), "term", "left")
-        a = F.col("_alpha")
-    elif alpha is not None:
-        a = float(alpha)
-    fl = focal(F.col("logit"), F.col("y").cast("double"), gamma, a)
+        a = alpha.select("term", F.col("alpha").cast("double").alias("_alpha"))
+        if reduction == "none":
+            return cells.join(a, "term", "left").withColumn(
+                "loss", focal(F.col("logit"), y, gamma, F.col("_alpha"))).drop("_alpha")
+        per = cells.groupBy("term").agg(F.sum(focal(F.col("logit"), y, gamma)).alias("_f"),
+                                        F.count("*").alias("_n"))
+        j = per.join(a, "term", "left")
+        tot = F.sum(F.col("_alpha") * F.col("_f"))
+        return j.agg((tot if reduction == "sum" else tot / F.sum("_n")).alias("loss"))
+    fl = focal(F.col("logit"), y, gamma, None if alpha is None else float(alpha))
     if reduction == "none":
-        return c.withColumn("loss", fl).drop("_alpha")
+        return cells.withColumn("loss", fl)
     if reduction == "sum":
-        return c.agg(F.sum(fl).alias("loss"))
-    return c.agg(F.avg(fl).alias("loss"))
+        return cells.agg(F.sum(fl).alias("loss"))
+    return cells.agg(F.avg(fl).alias("loss"))
 
 
 def weighted_focal_loss(cells: DataFrame, term_weights: DataFrame | None = None,

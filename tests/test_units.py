@@ -326,3 +326,14 @@ def test_optional_inputs(spark, tmpdir_path):
     with open(t, "w") as f:
         f.write("id\nP1\nP2\n")
     assert sorted(r["EntryID"] for r in tables.read_test_ids(spark, t).collect()) == ["P1", "P2"]
+
+
+def test_focal_per_class_alpha(spark):
+    c = spark.createDataFrame([("e", "t", 0.3, 1.0), ("e", "u", -2.0, 0.0), ("f", "t", 1.5, 0.0)],
+                              "EntryID string, term string, logit double, y double")
+    a = spark.createDataFrame([("t", 0.25), ("u", 0.75)], "term string, alpha double")
+    per_cell = {(r["EntryID"], r["term"]): r["loss"] for r in metrics.focal_loss(c, 2.0, a, "none").collect()}
+    mean = metrics.focal_loss(c, 2.0, a, "mean").first()["loss"]
+    total = metrics.focal_loss(c, 2.0, a, "sum").first()["loss"]
+    assert total == pytest.approx(sum(per_cell.values()))
+    assert mean == pytest.approx(total / 3)

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -78,7 +79,8 @@ def score(df: DataFrame, models: Sequence, terms: Sequence[str], threshold: floa
                  pa.array(P[r, c], type=pa.float32())],
                 names=[key, "term", "score"])
 
-    return df.select(*cols).mapInArrow(run, out_schema)
+    # an entry without a feature vector gets no prediction
+    return df.select(*cols).where(F.col(features).isNotNull()).mapInArrow(run, out_schema)
 
 
 def melt_scores(wide: DataFrame, key: str = "EntryID", threshold: float | None = None) -> DataFrame:

@@ -96,3 +96,9 @@ def test_focal_loss_gradient(alpha):
         e[i] = 1e-6
         num[i] = (fl(x + e) - fl(x - e)) / 2e-6
     assert np.allclose(num, g, atol=1e-8)
+
+
+def test_score_skips_missing_features(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "EntryID string, embedding array<float>")
+    m = score.LinearModel(np.eye(2), np.zeros(2))
+    assert {r["EntryID"] for r in score.score(df, [m], ["x", "y"], None).collect()} == {"a"}

@@ -154,7 +154,9 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     cuts = quantile_cuts(train.where(~F.col(val_col)), features, p.max_bin)
     D = cuts.shape[0]
     pos = train.where(~F.col(val_col)).select(F.explode(labels).alias("j")).groupBy("j").count().collect()
-    n_train = train.where(~F.col(val_col)).count()
+    sizes = train.agg(F.count_if(~F.col(val_col)).alias("n_train"),
+                      F.count_if(F.col(val_col)).alias("n_val")).first()
+    n_train, n_val = sizes["n_train"], sizes["n_val"]
     rate = np.full(n_labels, 0.5)
     for r in pos:
         rate[r["j"]] = r["count"] / max(n_train, 1)
@@ -182,7 +184,6 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
                        features, labels, val_col)
     # one partition per ``rows_per_partition`` rows (capped by the cluster's
     # parallelism): every level is one job, so tiny tasks are pure overhead
-    n_val = train.where(F.col(val_col)).count()
     n_parts = max(1, min(spark.sparkContext.defaultParallelism,
                          -(-(n_train + n_val) // p.rows_per_partition)))
     state = src.repartition(n_parts).mapInArrow(init, state_schema).persist()

@@ -87,3 +87,22 @@ def test_weighted_fmax_equals_brute_force(spark, cells):
     w = np.array([{"t1": 2.0, "t2": 0.5}.get(r[1], 1.0) for r in rows])
     r = metrics.fmax(c, ia).first()
     assert (r["fmax"], r["precision"], r["recall"]) == pytest.approx(brute_fmax(s, y, w), rel=1e-9)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["e1", "e2", "e3", "e4"]), st.sampled_from(list("abcdefg"))),
+                min_size=1, max_size=40), st.integers(1, 8))
+def test_top_k_and_dedupe_equal_brute_force(spark, pairs, k):
+    from collections import Counter
+
+    from protea.operators import labels, seqops
+    df = spark.createDataFrame(pairs, "EntryID string, term string")
+    counts = Counter(t for _, t in pairs)
+    exp = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:k]
+    got = [(r["term"], r["n"]) for r in labels.top_k_labels(df, k).orderBy("rank").collect()]
+    assert got == exp
+    ranks = [r["rank"] for r in labels.top_k_labels(df, k).orderBy("rank").collect()]
+    assert ranks == list(range(1, len(exp) + 1))
+    rep = seqops.dedupe_report(df.withColumnRenamed("term", "seq")).first()
+    assert (rep["n_in"], rep["n_out"]) == (len(pairs), len(set(pairs)))
+    assert rep["has_duplicates"] == (len(pairs) != len(set(pairs)))

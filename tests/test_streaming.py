@@ -23,3 +23,17 @@ def test_stream_scores_like_batch(spark, tmpdir_path):
     a = sorted(map(tuple, streamed.select("vec_id", "term", "score").collect()))
     b = sorted(map(tuple, batch.collect()))
     assert a == b and len(a) > 0
+
+
+def test_stream_restart_is_exactly_once(spark, tmpdir_path):
+    m = score.LinearModel(np.eye(64)[:2], np.zeros(2))
+    out = os.path.join(tmpdir_path, "pred")
+    ckpt = os.path.join(tmpdir_path, "ckpt")
+    schema = "vec_id long, embedding array<float>, label int"
+    for _ in range(2):  # second start resumes from the checkpoint: nothing new
+        q = start_prediction_stream(spark, SF_SMALL, schema, [m], ["a", "b"], out,
+                                    checkpoint=ckpt, glob="embeddings.parquet", key="vec_id")
+        q.awaitTermination(120)
+        n = spark.read.parquet(out).count()
+    first = spark.read.parquet(out).select("vec_id", "term").distinct().count()
+    assert n == first > 0

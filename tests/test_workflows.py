@@ -91,3 +91,13 @@ def test_cli_embed(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "emb")
     main(["embed", "--input", src, "--output", out, "--style", "truncated"])
     assert spark.read.parquet(out).count() == driver.seqs(spark, SF_SMALL).count()
+
+
+def test_cli_reference_specs():
+    from protea.__main__ import _ref
+    a = _ref("setA:terms.tsv:meta=train.fasta")
+    b = _ref("setB:t.tsv:hits=h.tsv")
+    c = _ref("setC:t.tsv:plain.fasta")
+    assert (a.name, a.terms, a.fasta, a.has_metadata) == ("setA", "terms.tsv", "train.fasta", True)
+    assert (b.hits, b.fasta) == ("h.tsv", None)
+    assert (c.fasta, c.has_metadata) == ("plain.fasta", False)

@@ -1,7 +1,7 @@
 """Scoring: feature rows -> long thresholded predictions (EntryID, term, score).
 
-Models travel to tasks with the function closure (their size is fixed by
-their parameters, not by the data). Each Arrow batch is scored in numpy,
+Models travel to executors as one broadcast (their size is fixed by their
+parameters, not by the data). Each Arrow batch is scored in numpy,
 averaged across fold models, melted and thresholded *inside* the batch, so
 the dense entries x labels matrix is never materialised or shuffled. The same
 function works on a streaming DataFrame (``mapInArrow`` is stateless).
@@ -52,7 +52,9 @@ def score(df: DataFrame, models: Sequence, terms: Sequence[str], threshold: floa
     """
     from protea.session import ship
     ship(df.sparkSession)
-    models = list(models)
+    # one copy per executor (cached), not one per task closure: models grow
+    # with labels x features and there can be thousands of scoring tasks
+    bc = df.sparkSession.sparkContext.broadcast(list(models))
     names = np.asarray(list(terms), dtype=object)
     thr = None if threshold is None else np.float32(threshold)
     cols = [key, features] + ([tax_col] if tax_col else [])
@@ -61,6 +63,7 @@ def score(df: DataFrame, models: Sequence, terms: Sequence[str], threshold: floa
                                T.StructField("score", T.FloatType())])
 
     def run(batches):
+        models = bc.value
         for rb in batches:
             if rb.num_rows == 0:
                 continue

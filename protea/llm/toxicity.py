@@ -13,10 +13,11 @@ it). Labels are learnt only from rows outside the held-out fold.
 Features are saturating rates: how many of each hundred words of the text are
 a given word, or begin with a given prefix of 4 to 6 letters, at most 1. They
 do not grow with the length of a text. Which features exist is decided from
-counts over *all* training texts: a feature must be active (rate of half a
-per cent or more) in a share ``min_share`` of the positives, which bounds the
-candidates by texts' lengths and not by the size of the corpus, and the
-``n_features`` with the highest likelihood ratio are kept.
+counts: a feature must be active (rate of half a per cent or more) in a share
+``min_share`` of the positives, which bounds the candidates by texts' lengths
+and not by the size of the corpus, and the ``n_features`` with the highest
+likelihood ratio between the positives and *all* training texts are kept. Of
+the confirmed toxic rows at most ``max_positive`` are used, picked by hash.
 
 Cases: a null or empty text has no features and gets the score of the bias;
 with no confirmed toxic row in the training fold every score is 0.0; repeated
@@ -179,8 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, **params) -> Model:
         return Model([], np.zeros((0, 0)), np.zeros(0))
     prior = sizes["p"] / sizes["n"]
     base = docs.select("doc_id", text_of(docs).alias("text")).where(~held_out(F.col("doc_id")))
-    pos_ids = lab.where("toxic = 1").select("doc_id")
-    pos = base.join(pos_ids, "doc_id", "left_semi").withColumn("pos", F.lit(1))
+    # a bounded sample of the labelled rows, so it may be broadcast
+    pos_ids = (lab.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p["max_positive"]).select("doc_id"))
+    pos = base.join(F.broadcast(pos_ids), "doc_id", "left_semi").withColumn("pos", F.lit(1))
     n_pos = pos.count()
     if not n_pos:
         return Model([], np.zeros((0, 0)), np.zeros(0))
@@ -204,9 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, **params) -> Model:
 
     # the sample: distinct texts, chosen by hash
     h = F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(1 << 30))
-    rate_p = min(1.0, p["max_positive"] / n_pos)
     rate_u = min(1.0, p["max_unlabelled"] / n_unl)
-    sample = (pos.where(h < int(rate_p * (1 << 30))).select("text", "pos")
+    sample = (pos.select("text", "pos")
               .unionByName(unl.where(h < int(rate_u * (1 << 30))).select("text", "pos"))
               .withColumn("h", F.xxhash64("text")))
     index = sc.broadcast({n: i for i, n in enumerate(names)})

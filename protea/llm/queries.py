@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protea.llm import toxicity
+from protea.llm import bpe, decontaminate, minmax, pii, quality, secrets, token_counts, toxicity
 from protea.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,38 @@ def _query(name: str, sql: str | None = None):
 @_query("op8_toxicity")
 def op8(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query("op6_minmax")
+def op6(spark, sf_dir):
+    return minmax.near_duplicates(read(spark, sf_dir, "documents"), threshold=0.85)
+
+
+@_query("op5_decontaminate", decontaminate.ORACLE)
+def op5(spark, sf_dir):
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query("op7_secrets")
+def op7(spark, sf_dir):
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
+@_query("op1_pii")
+def op1(spark, sf_dir):
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+@_query("op2_bpe")
+def op2(spark, sf_dir):
+    return bpe.report(read(spark, sf_dir, "documents"))
+
+
+@_query("op3_quality")
+def op3(spark, sf_dir):
+    return quality.report(read(spark, sf_dir, "documents"))
+
+
+@_query("op9_token_counts")
+def op9(spark, sf_dir):
+    return token_counts.report(read(spark, sf_dir, "documents"))

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from protea.llm.common import saved, ship
@@ -308,3 +308,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_perm:
     return out.unionByName(alone).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id",
         (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", **params) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, and of
+    rows that repeat that id any one. Rows without an id all stay."""
+    keep = (near_duplicates(docs, threshold, id_col=id_col, **params).where("kept and doc_id is not null")
+            .select(F.col("doc_id").alias(id_col)).distinct())
+    name = "_copy" + "_" * sum(c.startswith("_copy") for c in docs.columns)
+    order = Window.partitionBy(id_col).orderBy(id_col)  # as the join has dealt and sorted the rows
+    one = (docs.withColumn(id_col, F.col(id_col).cast("long")).join(keep, id_col)
+           .withColumn(name, F.row_number().over(order)).where(F.col(name) == 1))
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

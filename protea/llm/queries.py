@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protea.llm import bpe, decontaminate, minmax, pii, quality, secrets, token_counts, toxicity
+from protea.llm import (bpe, decontaminate, html_text, minmax, pii, quality, secrets, token_counts, toxicity,
+                        warc)
 from protea.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,13 @@ def op3(spark, sf_dir):
 @_query("op9_token_counts")
 def op9(spark, sf_dir):
     return token_counts.report(read(spark, sf_dir, "documents"))
+
+
+@_query("op4_warc")
+def op4(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+@_query("op10_html_text")
+def op10(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"))

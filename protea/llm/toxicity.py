@@ -260,3 +260,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     score = scorer(docs, fit(docs, labels, **params))
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **params) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more."""
+    name = "_toxicity" + "_" * sum(c.startswith("_toxicity") for c in docs.columns)
+    score = scorer(docs, fit(docs, labels, **params))
+    return docs.withColumn(name, score(text_of(docs))).where(F.col(name) < threshold).drop(name)

@@ -169,6 +169,9 @@ class PageLines(HTMLParser):
 
 
 def read_lines(html: str) -> PageLines:
+    cut = html.rfind("<")
+    if cut > html.rfind(">") and (html[cut + 1:cut + 2].isalpha() or html[cut + 1:cut + 2] in ("/", "!")):
+        html = html[:cut]  # the page ends within a tag
     page = PageLines()
     page.feed(html)
     page.close()

@@ -20,7 +20,8 @@ likelihood ratio between the positives and *all* training texts are kept. Of
 the confirmed toxic rows at most ``max_positive`` are used, picked by hash.
 
 Cases: a null or empty text has no features and gets the score of the bias;
-with no confirmed toxic row in the training fold every score is 0.0; repeated
+with no confirmed toxic row in the training fold, or too few texts to choose a
+feature, every score is 0.0; repeated
 label rows of a document count once, and any 1 among them makes it positive;
 a null doc_id has no label and is not held out.
 """
@@ -235,11 +236,14 @@ def fit(docs: DataFrame, labels: DataFrame, **params) -> Model:
             x[r, np.asarray(ids, dtype=int)] = vals
         is_pos = rows["pos"].to_numpy() == 1
         if not is_pos.any() or is_pos.all():
-            return pd.DataFrame({"m": [], "w": [], "b": []})
+            return pd.DataFrame({"m": [int(key[0])], "w": [[]], "b": [0.0]})  # nothing to tell apart
         w, b = train_nnpu(x[is_pos], x[~is_pos], prior, p["l2"], p["steps"], p["rate"])
         return pd.DataFrame({"m": [int(key[0])], "w": [w.tolist()], "b": [b]})
 
-    got = sorted(dealt.groupBy("m").applyInPandas(learn, "m int, w array<double>, b double").collect())
+    got = sorted(r for r in dealt.groupBy("m").applyInPandas(learn, "m int, w array<double>, b double").collect()
+                 if len(r["w"]) == width)
+    if not got or not width:
+        return Model([], np.zeros((0, 0)), np.zeros(0))
     return Model(names, np.array([r["w"] for r in got]), np.array([r["b"] for r in got]))
 
 

@@ -35,14 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protea.llm.common import ship, text_of
+from protea.llm.common import saved, ship, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_WORDS = 60_000
-CACHED = 400_000
+CACHED = 400_000          # words and pieces that a task remembers
+COUNTED = 400_000
+LEAST = 8                 # a word seen less often is not frequent
 SLICE_BYTES = 4 << 20
 LONG = 48
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without letters, digits and space
 NONE = 1 << 60
 
 
@@ -62,11 +65,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Vocabulary:
+class WordSplitter:
+    """Texts -> pre-tokens."""
+
+    def __init__(self):
+        self.pretoken = regex.compile(PRETOKEN)
+
+    def words_of(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece; most pieces are one word."""
+        if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
+            return [piece]
+        return self.pretoken.findall(piece)
+
+
+class Vocabulary(WordSplitter):
     """Ranks, ids and bytes of a byte-level BPE file."""
 
     def __init__(self, tokenizer: str):
-        spec = json.load(open(tokenizer_path(tokenizer), encoding="utf-8"))
+        super().__init__()
+        with open(tokenizer_path(tokenizer), encoding="utf-8") as f:
+            spec = json.load(f)
         letters = byte_letters()
         ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -75,48 +93,91 @@ class Vocabulary:
             self.bytes[i] = bytes(letters[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.byte_id = [0] * 256
+        self.byte_id = np.zeros(256, np.int64)
         for c, b in letters.items():
             self.byte_id[b] = ids[c]
-        # (left id, right id) in one number -> rank; rank -> merged id
-        self.ranks: dict[int, int] = {}
-        self.merged: list[int] = []
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((ids[a] << 20) | ids[b], rank)
-            self.merged.append(ids[a + b])
-        self.pretoken = regex.compile(PRETOKEN)
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+        # pairs in one number (left id, right id), sorted, with their ranks;
+        # rank -> merged id
+        key = np.array([(ids[x] << 20) | ids[y] for x, y in pairs], np.int64)
+        self.pair, self.pair_rank = np.unique(key, return_index=True)
+        self.merged = np.array([ids[x + y] for x, y in pairs], np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ids = [self.byte_id[b] for b in word]
-        if len(ids) > LONG:
-            return self._merge_long(ids)
-        get, merged = self.ranks.get, self.merged
-        ranks = [get((a << 20) | b, NONE) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == NONE:
-                break
-            i = ranks.index(low)
-            ids[i:i + 2] = [merged[low]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((ids[i] << 20) | ids[i + 1], NONE)
-            if i:
-                ranks[i - 1] = get((ids[i - 1] << 20) | ids[i], NONE)
-        return ids
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NONE where there is no merge; ids below 0 stand for
+        nothing."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.pair_rank[at], NONE)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after the other, and where each starts."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        counts = np.zeros(len(words), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # numbers of words, their ids
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = np.cumsum(length) - length
+        low = 0
+        for high in (4, 8, 12, 16, 24, LONG):
+            some = np.flatnonzero((length > low) & (length <= high))
+            low = high
+            if len(some):
+                row, ids = self._merge_together(data, first[some], length[some], high)
+                counts[some] = np.bincount(row, minlength=len(some))
+                found.append((some[row], ids))
+        for i in np.flatnonzero(length > LONG).tolist():
+            ids = self._merge_long([int(self.byte_id[b]) for b in words[i]])
+            counts[i] = len(ids)
+            found.append((np.full(len(ids), i), np.array(ids, np.int64)))
+        start = np.concatenate([[0], np.cumsum(counts)])
+        if not found:
+            return np.zeros(0, np.int64), start
+        order = np.argsort(np.concatenate([r for r, _ in found]), kind="stable")
+        return np.concatenate([x for _, x in found])[order], start
+
+    def _merge_together(self, data, first, length, width) -> tuple[np.ndarray, np.ndarray]:
+        """Words of at most ``width`` bytes, a merge of each per round: the
+        lowest rank, and of equal ones the leftmost. A column beyond the last
+        stands for nothing."""
+        n, cols = len(first), np.arange(width)
+        inside = cols < length[:, None]
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[:, :width] = np.where(inside, self.byte_id[data[np.minimum(first[:, None] + cols, len(data) - 1)]], -1)
+        after = np.tile(np.append(cols + 1, width), (n, 1))
+        after[:, :width][cols + 1 >= length[:, None]] = width
+        before = np.tile(np.append(cols - 1, width), (n, 1))
+        before[:, 0] = width
+        rank = np.full((n, width + 1), NONE, np.int64)
+        rank[:, :width] = self.ranks(ids[:, :width], ids[:, 1:])
+        row = np.arange(n)
+        while len(row):
+            r = rank[row]
+            i = r.argmin(axis=1)
+            low = r[np.arange(len(row)), i]
+            go = low < NONE
+            row, i, low = row[go], i[go], low[go]
+            j = after[row, i]
+            k, h = after[row, j], before[row, i]
+            new = self.merged[low]
+            ids[row, i], ids[row, j] = new, -1
+            after[row, i], before[row, k] = k, i
+            rank[row, j] = NONE
+            rank[row, i] = self.ranks(new, ids[row, k])
+            rank[row, h] = self.ranks(ids[row, h], new)
+        live = ids >= 0
+        return np.nonzero(live)[0], ids[live]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap over a linked list, for words without end."""
+        """The same with a heap over a linked list, for a word without end."""
         n = len(ids)
+        known = dict(zip(self.pair.tolist(), self.pair_rank.tolist()))
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = right[i]
-            if j < n and (rank := self.ranks.get((ids[i] << 20) | ids[j])) is not None:
+            if j < n and (rank := known.get((ids[i] << 20) | ids[j])) is not None:
                 heapq.heappush(heap, (rank, i, ids[i], ids[j]))
         for i in range(n - 1):
             offer(i)
@@ -125,7 +186,7 @@ class Vocabulary:
             j = right[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue  # one of the two has gone meanwhile
-            ids[i], ids[j] = self.merged[rank], -1
+            ids[i], ids[j] = int(self.merged[rank]), -1
             right[i] = right[j]
             if right[j] < n:
                 left[right[j]] = i
@@ -134,10 +195,10 @@ class Vocabulary:
                 offer(left[i])
         return [i for i in ids if i >= 0]
 
-
-def compile_lexicon(words: Iterable[tuple[bytes, list[int]]], path: str) -> None:
+def compile_lexicon(words: Iterable[bytes], vocabulary: Vocabulary, path: str) -> None:
     """Write the minimal automaton of ``words`` (any order) to ``path``."""
-    words = sorted(dict(words).items())
+    words = sorted(set(words))
+    ids, start = vocabulary.merge(words)
     final: list[bool] = [False]
     edges: list[dict[int, int]] = [{}]
     register: dict[tuple, int] = {}
@@ -151,7 +212,7 @@ def compile_lexicon(words: Iterable[tuple[bytes, list[int]]], path: str) -> None
             same = register.setdefault(key, state)
             if same != state:
                 edges[chain[-1]][last[len(chain) - 1]] = same
-    for word, _ in words:
+    for word in words:
         common = next((i for i, (x, y) in enumerate(zip(word, last)) if x != y), min(len(word), len(last)))
         settle(common)
         for b in word[common:]:
@@ -197,8 +258,7 @@ def compile_lexicon(words: Iterable[tuple[bytes, list[int]]], path: str) -> None
     for s, k in number.items():
         ends[k] = final[s]
     arrays = [np.array([r[i] for r in rows], np.int64) for i in range(3)] + [ends]
-    arrays.append(np.cumsum([0, *(len(i) for _, i in words)], dtype=np.int64))
-    arrays.append(np.array([i for _, ids in words for i in ids], np.int64))
+    arrays += [start, ids]
     with open(path, "wb") as f:
         f.write(np.array([len(a) for a in arrays], np.int64).tobytes())
         for a in arrays:
@@ -248,53 +308,84 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
         self.words: dict[str, bytes] = {}
-        # pieces between single spaces, the first of a text and the others
+        # pieces between single spaces: the first of a text, and the others
         # (which stand for the piece with its space); None: not on its own
-        self.first: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes | None] = {}
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words: from the automaton, or merged."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        at = self.lexicon.numbers(raw) if self.lexicon is not None else np.full(len(raw), -1)
+        known, unseen = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        ids, start = self.v.merge([raw[i] for i in unseen.tolist()])
+        out: list[bytes] = [b""] * len(words)
+        found = [(unseen, ids, start)]
+        if len(known):
+            a, b = self.lexicon.offsets[at[known]], self.lexicon.offsets[at[known] + 1]
+            start = np.concatenate([[0], np.cumsum(b - a)])
+            found.append((known, self.lexicon.ids[np.repeat(a - start[:-1], b - a) + np.arange(start[-1])], start))
+        for which, ids, start in found:
+            data, cuts = ids.astype("<u4").tobytes(), (4 * start).tolist()
+            for i, x, y in zip(which.tolist(), cuts, cuts[1:]):
+                out[i] = data[x:y]
+        return out
+
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        raw = [w.encode() for w in new]
-        at = self.lexicon.numbers(raw) if self.lexicon is not None and new else np.full(len(new), -1)
-        for w, b, k in zip(new, raw, at.tolist()):
-            if k >= 0:
-                ids = self.lexicon.ids[self.lexicon.offsets[k]:self.lexicon.offsets[k + 1]]
-            else:
-                ids = self.v.merge(b)
-            self.words[w] = np.asarray(ids, "<u4").tobytes()
+        new = list(words.difference(self.words))
+        self.words.update(zip(new, self._ids(new)))
 
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """Split texts at single spaces, and encode pieces not met before. A
         new pre-token starts before a space after a non-space; a piece that
-        begins with more white space, or is empty, sends its text the long way."""
+        begins with more white space, or is empty, sends its text the long way.
+        Most pieces are a word, or a word and ASCII marks, which are a
+        pre-token of their own."""
         split = [t.split(" ") for t in texts]
         if len(self.later) + len(self.words) > CACHED:
             self.later.clear()
             self.first.clear()
             self.words.clear()
-        met: set[str] = set()
-        for x in split:
-            met.update(x[1:])
-        findall = self.v.pretoken.findall
-        new = met.difference(self.later)
-        later = {p: findall(" " + p) for p in new if p and not p[0].isspace()}
-        first = {x[0]: findall(x[0]) for x in split if x[0] not in self.first}
-        self._learn({w for ws in (*later.values(), *first.values()) for w in ws})
+        later = self.later
+        new = set().union(*(x[1:] for x in split)).difference(later)
+        plain, marked, other = set(), [], {}
+        for p in new:
+            if p.isalpha():
+                plain.add(p)
+                continue
+            core = p.rstrip(MARKS)
+            if core.isalpha():
+                marked.append((p, core))
+                if core not in later:
+                    plain.add(core)
+            elif not p or p[0].isspace():
+                later[p] = None
+            else:
+                other[p] = self.v.pretoken.findall(" " + p)
+        names = list(plain)
+        later.update(zip(names, self._ids([" " + p for p in names])))
+        first = {p: self.v.words_of(p) for p in {x[0] for x in split}.difference(self.first)}
+        need = {p[len(core):] for p, core in marked}
+        for ws in (*other.values(), *first.values()):
+            need.update(ws)
+        self._learn(need)
         words = self.words
-        for memory, found in ((self.later, later), (self.first, first)):
+        for p, core in marked:
+            later[p] = later[core] + words[p[len(core):]]
+        for memory, found in ((later, other), (self.first, first)):
             for p, ws in found.items():
                 memory[p] = b"".join([words[w] for w in ws])
-        self.later.update(dict.fromkeys(new.difference(later)))
         return split
 
     def _plain(self, split: list[str]) -> bytes:
-        pieces = [self.first[split[0]], *map(self.later.__getitem__, split[1:])]
-        if None not in pieces:
-            return b"".join(pieces)
-        words = self.v.pretoken.findall(" ".join(split))
-        self._learn(set(words))
-        return b"".join([self.words[w] for w in words])
+        try:
+            return b"".join([self.first[split[0]], *map(self.later.__getitem__, split[1:])])
+        except TypeError:  # a piece that does not stand on its own
+            words = self.v.pretoken.findall(" ".join(split))
+            self._learn(set(words))
+            return b"".join([self.words[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -337,42 +428,57 @@ def _slices(batch: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all texts."""
-    pretoken = PRETOKEN
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall = regex.compile(pretoken).findall
+        words_of = WordSplitter().words_of
 
-        def emit(pieces: Counter) -> pa.RecordBatch:
+        def emit() -> pa.RecordBatch:
             words: Counter = Counter()
-            for p, n in pieces.items():
-                for w in findall(p):
-                    words[w] += n
+            for space, pieces in (("", first), (" ", later)):
+                for p, n in pieces.items():
+                    for w in words_of(space + p):
+                        words[w] += n
+                pieces.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()),
                                                pa.array(list(words.values()), pa.int64())], ["word", "n"])
-        pieces: Counter = Counter()
+        first: Counter = Counter()
+        later: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                first, *rest = t.split(" ")
-                pieces[first] += 1
-                pieces.update([" " + p for p in rest])
-                if len(pieces) > CACHED:
-                    yield emit(pieces)
-                    pieces.clear()
-        if pieces:
-            yield emit(pieces)
+                p, *rest = t.split(" ")
+                first[p] += 1
+                later.update(rest)
+                if len(later) > COUNTED:
+                    yield emit()
+        yield emit()
     ship(docs.sparkSession)
     return (docs.select(text_of(docs, text_col).alias("text")).mapInArrow(run, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+def frequent_words(counts: DataFrame, size: int, least: int = LEAST) -> list[str]:
+    """At most ``size`` of the most frequent words, of those with ``least``
+    occurrences. Counts are put into classes (an eighth of a doubling each);
+    the classes from the top that fit are taken whole, so that no task sends
+    more than it holds of them to the driver."""
+    counts = saved(counts.where((F.col("n") >= least) & (F.col("word") != ""))
+                   .withColumn("c", F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")), "frequent-words")
+    taken, lowest = 0, None
+    for r in sorted(counts.groupBy("c").agg(F.count("*").alias("k")).collect(), reverse=True):  # some hundred classes
+        if taken + r["k"] > size:
+            break
+        taken, lowest = taken + r["k"], r["c"]
+    if lowest is None:
+        return []
+    return [r["word"] for r in counts.where(F.col("c") >= lowest).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compile the ``size`` most frequent words of ``docs`` and add the file to
-    the job. Returns its name there."""
-    top = count_words(docs, text_col).where("word <> ''").orderBy(F.desc("n"), "word").limit(size).collect()
-    v = Vocabulary(tokenizer)
+    """Compile up to ``size`` of the most frequent words of ``docs`` and add
+    the file to the job. Returns its name there."""
+    top = frequent_words(count_words(docs, text_col), size)
     folder = tempfile.mkdtemp(prefix="lexicon-")  # on the driver; the job's file service sends it out
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon(((r["word"].encode(), v.merge(r["word"].encode())) for r in top), os.path.join(folder, name))
+    compile_lexicon([w.encode() for w in top], Vocabulary(tokenizer), os.path.join(folder, name))
     docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
     return name
 

@@ -269,7 +269,7 @@ def test_codec_random_texts(tmp_path):
     texts += ["ab" * 3000, "<|endoftext|>" * 3, "x <|endoftext|> y", "\n \nfoo", "a  b   c", " lead", "trail "]
     v = bpe.Vocabulary(bpe.TOKENIZER)
     words = sorted({w.encode() for t in texts[:500] for w in v.pretoken.findall(t)})
-    bpe.compile_lexicon([(w, v.merge(w)) for w in words], str(tmp_path / "lex"))
+    bpe.compile_lexicon(words, v, str(tmp_path / "lex"))
     lexicon = bpe.Lexicon(str(tmp_path / "lex"))
     assert sorted(lexicon.numbers(words).tolist()) == list(range(len(words)))
     assert (lexicon.numbers([w + b"?!?" for w in words]) == -1).all()
@@ -282,7 +282,7 @@ def test_codec_random_texts(tmp_path):
 
 def test_lexicon_is_minimal(tmp_path):
     words = [f"{a}{b}ing".encode() for a in ("walk", "talk", "stalk") for b in ("", "s", "x")]
-    bpe.compile_lexicon([(w, [1]) for w in words], str(tmp_path / "lex"))
+    bpe.compile_lexicon(words, bpe.Vocabulary(bpe.TOKENIZER), str(tmp_path / "lex"))
     lexicon = bpe.Lexicon(str(tmp_path / "lex"))
     # the states of a minimal automaton are the distinct sets of what may follow
     follow = {frozenset(w[len(p):] for w in words if w.startswith(p)) for w in words for p in (w[:i] for i in range(len(w) + 1))}

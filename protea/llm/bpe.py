@@ -57,6 +57,18 @@ def tokenizer_path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def is_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind that this module encodes: plain
+    merges over byte letters, the pattern above, nothing normalised, special
+    strings taken as they are."""
+    model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
+                                           "byte_fallback", "ignore_merges"))
+    return (model.get("type") == "BPE" and plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+            and pre.get("use_regex", True) and spec.get("normalizer") is None
+            and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")))
+
+
 def byte_letters() -> dict[str, int]:
     """The letters by which vocabulary files of this kind write bytes: the
     printable ones stand for themselves, the others for 256, 257, ..."""
@@ -85,6 +97,8 @@ class Vocabulary(WordSplitter):
         super().__init__()
         with open(tokenizer_path(tokenizer), encoding="utf-8") as f:
             spec = json.load(f)
+        if not is_byte_level(spec):
+            raise ValueError(f"{tokenizer}: not a byte-level BPE file")
         letters = byte_letters()
         ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protea.llm.bpe import TOKENIZER, tokenizer_path
+from protea.llm.bpe import TOKENIZER, Codec, Vocabulary, is_byte_level, tokenizer_path
 from protea.llm.common import scratch_path, ship, text_of
 
 LIMIT = 512
@@ -53,6 +54,11 @@ def counter(tokenizer: str):
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+    with open(path, encoding="utf-8") as f:
+        byte_level = is_byte_level(json.load(f))
+    if byte_level:  # the same ids in half the library's time (tests compare them)
+        codec = Codec(Vocabulary(tokenizer))
+        return lambda texts: [len(ids) // 4 for ids in codec.encode(texts)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
     model = tokenizers.Tokenizer.from_file(path)

@@ -35,3 +35,14 @@ def focal(x: Column, y: Column, gamma: float = 2.0, alpha: Column | float | None
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den, 0 when den is 0 (precision/recall convention)."""
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
+
+
+def half_precision(x: Column) -> Column:
+    """The half-precision number nearest to ``x`` (11 significant bits, ties to
+    even; steps of 2^-24 below 2^-14; infinite from 65520)."""
+    x = x.cast("double")
+    split = x * F.lit(float(2 ** 42 + 1))
+    normal = split - (split - x)
+    small = F.rint(x * F.lit(float(2 ** 24))) / F.lit(float(2 ** 24))
+    return (F.when(F.abs(x) >= 65520.0, F.signum(x) * F.lit(float("inf")))
+            .when(F.abs(x) < 2.0 ** -14, small).otherwise(normal))

@@ -93,8 +93,7 @@ def align_training(seqs: DataFrame, label_entries: DataFrame, emb: DataFrame,
 def labels_array(aligned: DataFrame, pos_idx: DataFrame) -> DataFrame:
     """Attach ``label_idx array<int>``: the sorted vocabulary indices of each
     entry's positive labels (bounded by the vocabulary size per entry)."""
-    per = (pos_idx.select("EntryID", "label_idx").distinct()
-           .groupBy("EntryID").agg(F.array_sort(F.collect_list("label_idx")).alias("label_idx")))
+    per = pos_idx.groupBy("EntryID").agg(F.array_sort(F.collect_set("label_idx")).alias("label_idx"))
     j = aligned.join(per, "EntryID", "left")
     return j.withColumn("label_idx", F.coalesce(F.col("label_idx"), F.array().cast("array<int>")))
 

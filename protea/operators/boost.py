@@ -11,11 +11,12 @@ Distribution (one Spark job per tree level, rows never leave their task):
 * features are binned once by distributed quantile sketches
   (``percentile_approx`` per feature) into <= ``max_bin`` bins;
 * per level, every partition routes its rows through the tree so far and
-  emits histogram partials (node, feature, bin) -> (sketched g, count); a
-  ``groupBy().sum()`` merges them. The merged table is bounded by
-  nodes x features x bins (model parameters, not data), so the driver reads
-  it to pick the splits;
-* leaf sums (leaf, label) -> (g, count) are merged the same way;
+  emits histogram partials (node, feature, bin) -> (sketched g, count), in
+  blocks of features of a bounded size; a ``groupBy().sum()`` merges them, each
+  (node, feature) is searched for its best bin where its bins are, and the best
+  feature of each node is one more aggregate: the driver gets a row per node;
+* leaf sums (leaf, label) -> (g, count) are merged the same way and gathered
+  into one vector per leaf;
 * raw scores ``F`` live as a column; each tree writes a new cached table and
   lineage is cut with a reliable checkpoint every ``checkpoint_every`` trees
   (a deep lineage makes every later job slower to plan, and a lost executor
@@ -49,7 +50,7 @@ class BoostParams:
     subsample: float = 0.8
     colsample: float = 0.8
     max_bin: int = 64
-    sketch_dim: int = 3
+    sketch_dim: int | None = 3   # None: split on the whole gradient
     es_rounds: int = 5           # early stopping patience (trees) on val F1
     checkpoint_every: int = 2
     rows_per_partition: int = 50_000
@@ -84,7 +85,7 @@ class BoostModel:
 
     def raw(self, X: np.ndarray) -> np.ndarray:
         codes = self.bin(X)
-        out = np.tile(self.base.astype(np.float32), (X.shape[0], 1))
+        out = np.tile(self.base, (X.shape[0], 1))
         for t in self.trees:
             out += t.values[t.leaf_of(codes)]
         return out
@@ -140,9 +141,11 @@ def _labels_dense(col: pa.Array, n_labels: int) -> np.ndarray:
 
 def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
         features: str = "embedding", labels: str = "label_idx", key: str = "EntryID",
-        val_col: str = "is_val") -> tuple[BoostModel, list[dict]]:
+        val_col: str = "is_val", cuts: np.ndarray | None = None) -> tuple[BoostModel, list[dict]]:
     """Train on rows with ``is_val`` false; early-stop on micro F1 (threshold
-    0.5) of rows with ``is_val`` true. Returns (model, per-tree history)."""
+    0.5) of rows with ``is_val`` true. ``cuts``: (features, max_bin - 1) cut
+    points; quantiles of the training rows by default. Returns (model, per-tree
+    history)."""
     from protea.session import checkpoint_root
     from protea.session import ship
     p = params or BoostParams()
@@ -151,7 +154,8 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     checkpoint_root(spark)
     # several setup passes read the training table: compute it once
     train = train.select(key, features, labels, val_col).persist()
-    cuts = quantile_cuts(train.where(~F.col(val_col)), features, p.max_bin)
+    if cuts is None:
+        cuts = quantile_cuts(train.where(~F.col(val_col)), features, p.max_bin)
     D = cuts.shape[0]
     pos = train.where(~F.col(val_col)).select(F.explode(labels).alias("j")).groupBy("j").count().collect()
     sizes = train.agg(F.count_if(~F.col(val_col)).alias("n_train"),
@@ -161,16 +165,17 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     for r in pos:
         rate[r["j"]] = r["count"] / max(n_train, 1)
     rate = np.clip(rate, 1e-4, 1 - 1e-4)
-    model = BoostModel(cuts=cuts, base=np.log(rate / (1 - rate)).astype(np.float32))
+    model = BoostModel(cuts=cuts, base=np.log(rate / (1 - rate)))
 
-    # state table: key, row hash, binned codes, labels, raw scores, split flag
+    # state table: key, row hash, binned codes, labels, raw scores less the
+    # base, split flag
     base = model.base
 
     def init(batches):
         for rb in batches:
             X = features_matrix(rb.column(features))
             codes = bin_features(X, cuts)
-            Fm = np.tile(base, (rb.num_rows, 1))
+            Fm = np.zeros((rb.num_rows, n_labels), dtype=np.float32)
             yield pa.RecordBatch.from_arrays(
                 [rb.column(key), rb.column("_h"), _list_column(codes.astype(np.int16), pa.int16()),
                  rb.column(labels), _list_column(Fm.astype(np.float32), pa.float32()), rb.column(val_col)],
@@ -182,10 +187,9 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
         T.StructField("F", T.ArrayType(T.FloatType())), T.StructField(val_col, T.BooleanType())])
     src = train.select(key, F.xxhash64(F.col(key).cast("string"), F.lit(p.seed)).alias("_h"),
                        features, labels, val_col)
-    # one partition per ``rows_per_partition`` rows (capped by the cluster's
-    # parallelism): every level is one job, so tiny tasks are pure overhead
-    n_parts = max(1, min(spark.sparkContext.defaultParallelism,
-                         -(-(n_train + n_val) // p.rows_per_partition)))
+    # one partition per ``rows_per_partition`` rows, so a task's work is the
+    # same whatever the size of the table
+    n_parts = max(1, -(-(n_train + n_val) // p.rows_per_partition))
     state = src.repartition(n_parts).mapInArrow(init, state_schema).persist()
     state.count()
     train.unpersist()
@@ -195,56 +199,31 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     n_nodes = 2 ** p.max_depth - 1
     B = p.max_bin
 
-    stopped = False
-    prev = None
+    k = n_labels if p.sketch_dim is None else p.sketch_dim
     for t in range(p.ntrees):
-        P = rng.standard_normal((n_labels, p.sketch_dim)).astype(np.float32)
+        P = (np.eye(n_labels, dtype=np.float32) if p.sketch_dim is None
+             else rng.standard_normal((n_labels, k)).astype(np.float32))
         cols = np.sort(rng.choice(D, max(1, int(round(D * p.colsample))), replace=False))
         feat = np.full(n_nodes, -1, dtype=np.int64)
         thr = np.zeros(n_nodes, dtype=np.int64)
-        hist = None
         for level in range(p.max_depth):
-            # the level-0 pass also counts validation tp/fp/fn of the model so
-            # far (same scan of the cached state, no extra job)
-            hist, val = _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels,
-                                         with_val=(level == 0 and t > 0), parent=hist)
-            if prev is not None:  # the new state is materialised now
-                prev.unpersist()
-                prev = None
-            if val is not None:
-                stop, best_f1, best_n, since = _early_stop(history, t - 1, val, n_val, best_f1, best_n, since, p)
-                if stop:
-                    stopped = True
-                    break
-            first = 2 ** level - 1
-            for r in range(2 ** level):
-                h = hist.get(r)
-                if h is None:
-                    continue
-                f, b = _best_split(h, p)
-                if f is not None:
-                    feat[first + r], thr[first + r] = cols[f], b
-        if stopped:
-            break
-        leaf_g, leaf_n = _leaf_sums(state, t, feat, thr, n_labels, p, labels)
-        values = (-p.lr * leaf_g / (leaf_n[:, None] + p.lambda_l2)).astype(np.float32)
-        tree = Tree(feat.copy(), thr.copy(), values)
+            for node, f, b in _best_splits(state, t, level, feat, thr, P, cols, base, n_labels, B, p, labels, val_col):
+                feat[2 ** level - 1 + node], thr[2 ** level - 1 + node] = cols[f], b
+        leaf_g, leaf_n = _leaf_sums(state, t, feat, thr, base, n_labels, p, labels, val_col)
+        tree = Tree(feat, thr, -p.lr * leaf_g / (leaf_n[:, None] + p.lambda_l2))
         model.trees.append(tree)
-        applied = _apply_tree(state, tree, state_schema)
+        prev, state = state, _apply_tree(state, tree, state_schema)
         if (t + 1) % p.checkpoint_every == 0:
             # reliable checkpoint: a flat plan again (planning cost grows with
             # every nested pass) and recovery without replaying all trees
-            new_state = applied.checkpoint(eager=True).persist()
-        else:
-            new_state = applied.persist()
-        prev, state = state, new_state
-    if not stopped and model.trees:
-        val = _val_counts(state, n_labels, labels, val_col)
-        _, best_f1, best_n, since = _early_stop(history, len(model.trees) - 1, val, n_val,
-                                                best_f1, best_n, since, p)
-    state.unpersist()
-    if prev is not None:
+            state = state.checkpoint(eager=True)
+        state = state.persist()
+        val = _val_counts(state, base, n_labels, labels, val_col)  # materialises the new state
         prev.unpersist()
+        stop, best_f1, best_n, since = _early_stop(history, t, val, n_val, best_f1, best_n, since, p)
+        if stop:
+            break
+    state.unpersist()
     model.trees = model.trees[:best_n] if n_val else model.trees
     return model, history
 
@@ -270,151 +249,122 @@ def _route(codes: np.ndarray, feat, thr, depth: int) -> np.ndarray:
     return node - (2 ** depth - 1)
 
 
-def _batch_arrays(rb, n_labels, labels):
+def _batch_arrays(rb, base, n_labels, labels):
     codes_col = rb.column("codes")
     if isinstance(codes_col, pa.ChunkedArray):
         codes_col = codes_col.combine_chunks()
     codes = codes_col.flatten().to_numpy(zero_copy_only=False).reshape(rb.num_rows, -1)
-    Fm = features_matrix(rb.column("F"))
+    Fm = features_matrix(rb.column("F")) + base
     Y = _labels_dense(rb.column(labels), n_labels)
     return codes, Fm, Y
 
 
-def _level_histogram(state, t, level, feat, thr, P, cols, n_labels, B, p, labels, with_val=False,
-                     parent: dict | None = None):
-    """Histograms of every node at ``level``. Below the root only LEFT
-    children are accumulated by the tasks; each right child is its parent's
-    histogram (kept on the driver from the previous level) minus its
-    sibling's, which halves the per-level work and shuffle volume."""
-    depth, Dc, k = level, len(cols), P.shape[1]
-    subsample = p.subsample
-    halve = level > 0 and parent is not None
-    n_slots = 2 ** (level - 1) if halve else 2 ** level
+def _sampled(rb, t: int, subsample: float, val_col: str) -> np.ndarray:
+    """The training rows of a batch that tree ``t`` sees."""
+    keep = ~rb.column(val_col).to_numpy(zero_copy_only=False).astype(bool)
+    h = rb.column("_h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return keep & (_mix(h, t) < subsample)
+
+
+HIST_CELLS = 1 << 18  # cells of a task's histogram buffer at a time
+
+
+def _best_splits(state, t, level, feat, thr, P, cols, base, n_labels, B, p, labels, val_col) -> list[tuple[int, int, int]]:
+    """(node, feature column, bin) for every node of the level that splits."""
+    Dc, k, nodes = len(cols), P.shape[1], 2 ** level
+    block = max(1, HIST_CELLS // (nodes * B))
+    names = [f"g{j}" for j in range(k)] + ["n"]
 
     def part(batches):
-        acc = None
-        vc = np.zeros(3)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            isval = rb.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
-            if with_val and isval.any():
-                _, Fv, Yv = _batch_arrays(rb, n_labels, labels)
-                pr = sigmoid_np(Fv[isval]).astype(np.float32) > np.float32(0.5)
-                yv = Yv[isval] > 0
-                vc += [(pr & yv).sum(), (pr & ~yv).sum(), (~pr & yv).sum()]
-            keep = ~isval
-            h = rb.column("_h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            keep &= _mix(h, t) < subsample
+            keep = _sampled(rb, t, p.subsample, val_col)
             if not keep.any():
                 continue
-            codes, Fm, Y = _batch_arrays(rb, n_labels, labels)
-            codes, Fm, Y = codes[keep], Fm[keep], Y[keep]
-            G = (sigmoid_np(Fm) - Y) @ P                       # sketched gradients (n, k)
-            node = _route(codes, feat, thr, depth)             # 0..2^level-1
-            if halve:  # left children only, slot = sibling pair
-                left = node % 2 == 0
-                node, codes, G = node[left] // 2, codes[left], G[left]
-            idx = (node[:, None] * Dc + np.arange(Dc)[None, :]) * B + codes[:, cols]
-            size = n_slots * Dc * B
-            cur = np.zeros((k + 1, size))
-            flat = idx.ravel()
-            for j in range(k):
-                cur[j] = np.bincount(flat, weights=np.repeat(G[:, j], Dc), minlength=size)
-            cur[k] = np.bincount(flat, minlength=size)
-            acc = cur if acc is None else acc + cur
-        if with_val:  # validation counts ride along as cells -1, -2, -3
-            zeros = [pa.array(np.zeros(3)) for _ in range(k - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([-1, -2, -3], dtype=np.int64)), pa.array(vc)] + zeros + [pa.array(np.zeros(3))],
-                names=["cell"] + [f"g{j}" for j in range(k)] + ["n"])
-        if acc is None:
-            return
-        nz = np.nonzero(acc[k])[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nz.astype(np.int64))] + [pa.array(acc[j, nz]) for j in range(k + 1)],
-            names=["cell"] + [f"g{j}" for j in range(k)] + ["n"])
-
-    schema = T.StructType([T.StructField("cell", T.LongType())]
-                          + [T.StructField(f"g{j}", T.DoubleType()) for j in range(k)]
-                          + [T.StructField("n", T.DoubleType())])
-    merged = (state.mapInArrow(part, schema).groupBy("cell")
-              .agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(k)], F.sum("n").alias("n"))
-              .collect())  # <= nodes x features x bins rows
-    out: dict[int, np.ndarray] = {}
-    val = [0, 0, 0] if with_val else None
-    for r in merged:
-        cell = r["cell"]
-        if cell < 0:
-            val[-cell - 1] = int(round(r["g0"]))
-            continue
-        node, rest = divmod(cell, Dc * B)
-        d, b = divmod(rest, B)
-        h = out.setdefault(node, np.zeros((Dc, B, k + 1)))
-        h[d, b, :k] = [r[f"g{j}"] for j in range(k)]
-        h[d, b, k] = r["n"]
-    if not halve:
-        return out, val
-    full: dict[int, np.ndarray] = {}
-    for slot, ph in parent.items():
-        lh = out.get(slot, np.zeros_like(ph))
-        full[2 * slot] = lh
-        full[2 * slot + 1] = ph - lh
-    return full, val
-
-
-def _best_split(h: np.ndarray, p: BoostParams):
-    """h: (features, bins, k+1). Returns (feature column, bin) or (None, None)."""
-    k = h.shape[2] - 1
-    cum = np.cumsum(h, axis=1)
-    tot = cum[:, -1:, :]
-    GL, nL = cum[..., :k], cum[..., k]
-    GR, nR = tot[..., :k] - GL, tot[..., k] - nL
+            codes, Fm, Y = _batch_arrays(rb, base, n_labels, labels)
+            codes, G = codes[keep], (sigmoid_np(Fm[keep]) - Y[keep]) @ P
+            node = _route(codes, feat, thr, level)
+            for f0 in range(0, Dc, block):
+                use = cols[f0:f0 + block]
+                w = len(use)
+                idx = ((node[:, None] * w + np.arange(w)[None, :]) * B + codes[:, use]).ravel()
+                n = np.bincount(idx, minlength=nodes * w * B)
+                at = np.flatnonzero(n)
+                g = [np.bincount(idx, weights=np.repeat(G[:, j], w), minlength=nodes * w * B)[at] for j in range(k)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at // (w * B)), pa.array(at // B % w + f0), pa.array(at % B),
+                     *(pa.array(x) for x in g), pa.array(n[at].astype(np.float64))],
+                    names=["node", "d", "b", *names])
+
+    def best(batches):
+        for rb in batches:
+            out = []
+            for node, d, bins in zip(*(c.to_pylist() for c in rb.columns)):
+                h = np.zeros((B, k + 1))
+                for x in bins:
+                    h[x["b"]] = x["v"]
+                found = _best_bin(h, p)
+                if found is not None:
+                    out.append((node, d, *found))
+            cs = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(
+                cs, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["node", "d", "b", "gain"])
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "d", "b")]
+                          + [T.StructField(c, T.DoubleType()) for c in names])
+    merged = state.mapInArrow(part, schema).groupBy("node", "d", "b").agg(*[F.sum(c).alias(c) for c in names])
+    per = (merged.groupBy("node", "d")  # at most max_bin rows each
+           .agg(F.collect_list(F.struct("b", F.array(*names).alias("v"))).alias("bins")))
+    top = F.max(F.struct("gain", (-F.col("d")).alias("d"), (-F.col("b")).alias("b"))).alias("x")
+    rows = (per.mapInArrow(best, "node long, d long, b long, gain double").groupBy("node").agg(top).collect())
+    return [(r["node"], -r["x"]["d"], -r["x"]["b"]) for r in rows]  # a row per node at most
+
+
+def _best_bin(h: np.ndarray, p: BoostParams) -> tuple[int, float] | None:
+    """(bins, k + 1) histogram -> (bin, gain) of the best split, if any."""
+    k = h.shape[1] - 1
+    cum = np.cumsum(h, axis=0)
+    tot = cum[-1]
+    GL, nL = cum[:, :k], cum[:, k]
+    GR, nR = tot[:k] - GL, tot[k] - nL
     lam = p.lambda_l2
-    parent = (tot[..., :k] ** 2).sum(-1) / (tot[..., k] + lam)
-    gain = (GL ** 2).sum(-1) / (nL + lam) + (GR ** 2).sum(-1) / (nR + lam) - parent
-    ok = (nL >= p.min_data_in_leaf) & (nR >= p.min_data_in_leaf)
-    gain = np.where(ok, gain, -np.inf)
-    f, b = np.unravel_index(np.argmax(gain), gain.shape)
-    if not np.isfinite(gain[f, b]) or gain[f, b] <= p.min_gain_to_split:
-        return None, None
-    return int(f), int(b)
+    gain = ((GL ** 2).sum(-1) / (nL + lam) + (GR ** 2).sum(-1) / (nR + lam)
+            - (tot[:k] ** 2).sum() / (tot[k] + lam))
+    gain[(nL < p.min_data_in_leaf) | (nR < p.min_data_in_leaf)] = -np.inf
+    b = int(np.argmax(gain))
+    return (b, float(gain[b])) if np.isfinite(gain[b]) and gain[b] > p.min_gain_to_split else None
 
 
-def _leaf_sums(state, t, feat, thr, n_labels, p, labels):
+def _leaf_sums(state, t, feat, thr, base, n_labels, p, labels, val_col):
     depth = p.max_depth
     n_leaves = 2 ** depth
-    subsample = p.subsample
 
     def part(batches):
-        g = np.zeros((n_leaves, n_labels))
-        n = np.zeros(n_leaves)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            keep = ~rb.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
-            h = rb.column("_h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            keep &= _mix(h, t) < subsample
+            keep = _sampled(rb, t, p.subsample, val_col)
             if not keep.any():
                 continue
-            codes, Fm, Y = _batch_arrays(rb, n_labels, labels)
-            codes, Fm, Y = codes[keep], Fm[keep], Y[keep]
-            leaf = _route(codes, feat, thr, depth)
-            np.add.at(g, leaf, sigmoid_np(Fm) - Y)
-            n += np.bincount(leaf, minlength=n_leaves)
-        rows = np.repeat(np.arange(n_leaves), n_labels)
-        labs = np.tile(np.arange(n_labels), n_leaves)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), pa.array(labs), pa.array(g.ravel()), pa.array(np.repeat(n, n_labels))],
-            names=["leaf", "label", "g", "n"])
-
-    schema = "leaf long, label long, g double, n double"
-    merged = (state.mapInArrow(part, schema).groupBy("leaf", "label")
-              .agg(F.sum("g").alias("g"), F.sum("n").alias("n")).collect())  # leaves x labels
+            codes, Fm, Y = _batch_arrays(rb, base, n_labels, labels)
+            leaf = _route(codes[keep], feat, thr, depth)
+            G = sigmoid_np(Fm[keep]) - Y[keep]
+            for x in np.unique(leaf):
+                mine = leaf == x
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n_labels, x)), pa.array(np.arange(n_labels)),
+                     pa.array(G[mine].sum(axis=0, dtype=np.float64)), pa.array(np.full(n_labels, float(mine.sum())))],
+                    names=["leaf", "label", "g", "n"])
+
+    rows = (state.mapInArrow(part, "leaf long, label long, g double, n double").groupBy("leaf", "label")
+            .agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+            .groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("label", "g"))).alias("gs"), F.max("n").alias("n"))
+            .select("leaf", F.col("gs.g").alias("g"), "n").collect())  # a vector per leaf
     G = np.zeros((n_leaves, n_labels))
     N = np.zeros(n_leaves)
-    for r in merged:
-        G[r["leaf"], r["label"]] = r["g"]
+    for r in rows:
+        G[r["leaf"]] = r["g"]
         N[r["leaf"]] = r["n"]
     return G, N
 
@@ -434,14 +384,14 @@ def _apply_tree(state: DataFrame, tree: Tree, schema) -> DataFrame:
     return state.mapInArrow(part, schema)
 
 
-def _val_counts(state: DataFrame, n_labels: int, labels: str, val_col: str) -> tuple[int, int, int]:
+def _val_counts(state: DataFrame, base, n_labels: int, labels: str, val_col: str) -> tuple[int, int, int]:
     def part(batches):
         tp = fp = fn = 0
         for rb in batches:
             m = rb.column(val_col).to_numpy(zero_copy_only=False).astype(bool)
             if not m.any():
                 continue
-            _, Fm, Y = _batch_arrays(rb, n_labels, labels)
+            _, Fm, Y = _batch_arrays(rb, base, n_labels, labels)
             pred = sigmoid_np(Fm[m]).astype(np.float32) > np.float32(0.5)
             y = Y[m] > 0
             tp += int((pred & y).sum()); fp += int((pred & ~y).sum()); fn += int((~pred & y).sum())
@@ -452,13 +402,32 @@ def _val_counts(state: DataFrame, n_labels: int, labels: str, val_col: str) -> t
     return (r["tp"] or 0), (r["fp"] or 0), (r["fn"] or 0)
 
 
+MODEL = "kind string, tree int, node int, feature int, bin int, term string, values array<double>"
+
+
 def model_table(spark, model: BoostModel, terms) -> DataFrame:
-    """Persist a model as rows (K5): one row per tree node / leaf value."""
-    rows = []
+    """A model as rows (K5): cut points, base logits, terms, splits, leaves."""
+    rows = [("cuts", None, d, None, None, None, [float(x) for x in c]) for d, c in enumerate(model.cuts)]
+    rows += [("base", None, j, None, None, str(t), [float(model.base[j])]) for j, t in enumerate(terms)]
     for ti, t in enumerate(model.trees):
-        for i, (f, b) in enumerate(zip(t.feat, t.thr)):
-            rows.append((ti, "split", i, int(f), int(b), None))
-        for i, v in enumerate(t.values):
-            rows.append((ti, "leaf", i, -1, -1, [float(x) for x in v]))
-    schema = "tree int, kind string, node int, feature int, bin int, values array<double>"
-    return spark.createDataFrame(rows, schema)
+        rows += [("split", ti, i, int(f), int(b), None, None) for i, (f, b) in enumerate(zip(t.feat, t.thr))]
+        rows += [("leaf", ti, i, None, None, None, [float(x) for x in v]) for i, v in enumerate(t.values)]
+    return spark.createDataFrame(rows, MODEL)
+
+
+def save_model(spark, model: BoostModel, terms, path: str) -> None:
+    model_table(spark, model, terms).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark, path: str) -> tuple[BoostModel, list[str]]:
+    """The model and its terms, as ``save_model`` wrote them."""
+    rows = spark.read.schema(MODEL).parquet(path).collect()  # one model's worth
+    by = {k: sorted((r for r in rows if r["kind"] == k), key=lambda r: (r["tree"] or 0, r["node"]))
+          for k in ("cuts", "base", "split", "leaf")}
+    model = BoostModel(np.array([r["values"] for r in by["cuts"]]), np.array([r["values"][0] for r in by["base"]]))
+    for t in range(1 + max((r["tree"] for r in by["leaf"]), default=-1)):
+        splits = [r for r in by["split"] if r["tree"] == t]
+        model.trees.append(Tree(np.array([r["feature"] for r in splits], dtype=np.int64),
+                                np.array([r["bin"] for r in splits], dtype=np.int64),
+                                np.array([r["values"] for r in by["leaf"] if r["tree"] == t])))
+    return model, [r["term"] for r in by["base"]]

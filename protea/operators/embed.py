@@ -2,7 +2,10 @@
 
 * ``kmer_composition``: the shipped default embedder. Frequencies of the
   26^k letter k-mers (k = 1 or 2) among valid windows, indexed by letter
-  arithmetic (A=0 .. Z=25, base 26). Arrow-batched numpy per row; no shuffle.
+  arithmetic (A=0 .. Z=25, base 26). Column expressions for k = 1, Arrow
+  batches for the 676 dimensions of k = 2.
+* ``kmer_table``: the same frequencies as sparse rows (key, dim, value),
+  without Python for either k.
 * ``embed``: any user model through ``predict_batch_udf`` (model loaded once
   per Python worker, fed fixed-size batches). Rows are sorted by length
   inside their partitions (no shuffle) so batches hold similar lengths.
@@ -21,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protea.operators.common import spread
 from protea.operators.seqops import explode_chunks
 
 
@@ -69,16 +71,75 @@ def kmer_composition(seq: str | Column, k: int = 1, dtype: str = "float") -> Col
     """array<float|double> of 26^k k-mer frequencies (zeros if no valid k-mer)."""
     if k not in (1, 2):
         raise ValueError("k must be 1 or 2 (26 or 676 dimensions)")
+    c = F.col(seq) if isinstance(seq, str) else seq
+    if k == 1:
+        return _letter_frequencies(c).cast(f"array<{dtype}>")
     from protea.session import ship_active
     ship_active()
-    c = F.col(seq) if isinstance(seq, str) else seq
     return _composition_udf(k, dtype)(c)
 
 
+def _letter_frequencies(seq: Column) -> Column:
+    """array<double> of the 26 letters' shares: a letter's count is what its
+    removal shortens the text by."""
+    s = F.coalesce(seq, F.lit(""))
+
+    def shares(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+        return F.transform(F.array(total), lambda n: F.transform(
+            counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))[0]
+
+    def counted(text: Column) -> Column:
+        return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(chr(65 + i)), F.lit(""))) for i in range(26)])
+    # one-element arrays bind the text and the counts, so each is computed once
+    return F.transform(F.array(s), lambda text: F.transform(F.array(counted(text)), shares)[0])[0]
+
+
+def kmer_table(df: DataFrame, k: int = 1, key: str = "EntryID", seq_col: str = "seq") -> DataFrame:
+    """(key, dim, value): the k-mer frequencies that are not zero. Windows that
+    touch another character than A-Z do not count. A text's windows are
+    neighbours in its task, so the partial aggregation leaves 26^k rows of it
+    at most."""
+    if k not in (1, 2):
+        raise ValueError("k must be 1 or 2 (26 or 676 dimensions)")
+    # texts between other characters; windows are cut by patterns, in one pass
+    # for each of the k offsets
+    runs = F.filter(F.split(F.coalesce(F.col(seq_col), F.lit("")), "[^A-Z]+"), lambda x: F.length(x) >= k)
+    windows = F.flatten(F.transform(runs, lambda x: F.flatten(F.array(*[
+        F.regexp_extract_all(F.substr(x, F.lit(o + 1)), F.lit(f"[A-Z]{{{k}}}"), F.lit(0)) for o in range(k)]))))
+    each = df.select(key, F.explode(windows).alias("w"))
+    dim = F.lit(0)
+    for i in range(k):
+        dim = dim * 26 + F.ascii(F.substring("w", i + 1, 1)) - 65
+    counts = each.groupBy(key, "w").agg(F.count("*").alias("n"))
+    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    return counts.join(total, key).select(key, dim.cast("int").alias("dim"), (F.col("n") / F.col("total")).alias("value"))
+
+
+def table_model(dim: int = 8):
+    """A deterministic batch model with integer weights: the vector of letter
+    number c (A=1 .. Z=26) is c * (d + 3) mod 11 in dimension d, and a text's
+    vector is the mean over its letters (zeros if it has none)."""
+    def make():
+        table = (np.arange(1, 27)[:, None] * (np.arange(dim)[None, :] + 3)) % 11
+
+        def predict(seqs: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(seqs), dim), dtype=np.float32)
+            for i, text in enumerate(seqs):
+                counts, n = kmer_counts(text, 1)
+                if n:
+                    out[i] = counts @ table / n
+            return out
+
+        return predict
+
+    return make
+
+
 def composition(df: DataFrame, k: int = 1, seq_col: str = "seq", out_col: str = "embedding",
                 dtype: str = "float") -> DataFrame:
     """Default embedder as an operator: k-mer composition of every sequence."""
-    return spread(df).withColumn(out_col, kmer_composition(seq_col, k, dtype))
+    return df.withColumn(out_col, kmer_composition(seq_col, k, dtype))
 
 
 def length_sorted(df: DataFrame, seq_col: str = "seq") -> DataFrame:
@@ -98,8 +159,7 @@ def embed(df: DataFrame, make_predict_fn: Callable, dim: int, batch_size: int =
 
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                             batch_size=batch_size)
-    src = spread(df)
-    src = length_sorted(src, seq_col) if sort_by_length else src
+    src = length_sorted(df, seq_col) if sort_by_length else df
     return src.withColumn(out_col, udf(F.col(seq_col)))
 
 
@@ -116,35 +176,6 @@ def embed_long(df: DataFrame, embedder: Callable[[Column], Column], seq_col: str
                chunk: int = 2048, key: str = "EntryID", out_col: str = "embedding") -> DataFrame:
     """Chunk -> embed each chunk -> mean over chunks. A short text is a single
     chunk, so its vector is its own embedding."""
-    ch = explode_chunks(spread(df), seq_col, chunk, keep=(key,))
+    ch = explode_chunks(df, seq_col, chunk, keep=(key,))
     ch = ch.withColumn("_v", embedder(F.col("chunk")))
     return mean_vectors(ch, key, "_v", out_col)
-
-
-def projection_model(dim: int = 16, seed: int = 7, max_tokens: int = 1024, n_special: int = 2):
-    """A small deterministic stand-in for a language model, for wiring tests:
-    token = letter (27 ids: A..Z, other), per-token vector = row of a fixed
-    random matrix, masked mean over the (truncated) tokens."""
-    def make():
-        rng = np.random.default_rng(seed)
-        table = rng.standard_normal((27, dim)).astype(np.float32)
-        limit = max(max_tokens - n_special, 1)
-
-        def predict(seqs: np.ndarray) -> np.ndarray:
-            toks = []
-            for s in seqs:
-                b = np.frombuffer((s or "X")[:limit].encode("utf-8"), dtype=np.uint8).astype(np.int64) - 65
-                toks.append(np.where((b >= 0) & (b < 26), b, 26))
-            width = max(len(t) for t in toks)
-            ids = np.full((len(toks), width), 26, dtype=np.int64)
-            mask = np.zeros((len(toks), width), dtype=np.float32)
-            for i, t in enumerate(toks):
-                ids[i, :len(t)] = t
-                mask[i, :len(t)] = 1.0
-            hidden = table[ids]                                   # (n, L, dim)
-            pooled = (hidden * mask[..., None]).sum(1) / mask.sum(1, keepdims=True)
-            return pooled.astype(np.float32)
-
-        return predict
-
-    return make

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protea.operators.common import dense_index, small_join
+from protea.operators.common import dense_index
 
 # columns that are never labels in a wide label table
 NON_LABEL_COLUMNS = ("EntryID", "original_index", "seq", "taxonomyID")
@@ -65,7 +65,7 @@ def top_k_labels(pos: DataFrame, k: int | None, entries: DataFrame | None = None
 def restrict_to_vocab(pos: DataFrame, vocab: DataFrame, k: int | None = None) -> DataFrame:
     """Positive pairs whose term is in the vocabulary, with its 0-based index."""
     v = vocab.select("term", (F.col("rank") - 1).cast("int").alias("label_idx"))
-    return small_join(pos, v, "term", "inner", bound=k)
+    return pos.join(v, "term")
 
 
 def class_weights(pos: DataFrame, entries: DataFrame, vocab: DataFrame,

@@ -32,15 +32,32 @@ def cells_from(pred: DataFrame, truth: DataFrame, keys=("EntryID", "term")) -> D
 def _threshold_bucket(score, n: int = 99):
     """Highest k in 1..n with score >= float32(k/100); 0 if none (NaN -> 0)."""
     s = score.cast("float")
-    g = F.floor(s.cast("double") * 100).cast("int")
+    # all scores beyond the thresholds, infinite ones too, pass all or none
+    g = F.floor(F.least(F.greatest(s.cast("double"), F.lit(-1.0)), F.lit(2.0)) * 100).cast("int")
     passes = lambda k: s >= f32(k.cast("double") / F.lit(100.0))
     b = (F.when(passes(g + 1), g + 1).when(passes(g), g).otherwise(g - 1))
     b = F.least(F.greatest(b, F.lit(0)), F.lit(n))
     return F.when(s.isNull() | F.isnan(s), F.lit(0)).otherwise(b)
 
 
+def _or_fail(col, message: str, term: str = "term"):
+    """``col``, or an error that names the term where it is null."""
+    return F.coalesce(col, F.raise_error(F.concat(F.lit(message), F.col(term))).cast("double"))
+
+
+def term_weights(ia: DataFrame) -> DataFrame:
+    """(term, _w) of a weight table (term, score | weight); a term that occurs
+    twice is an error."""
+    col = "score" if "score" in ia.columns else "weight"
+    g = ia.groupBy("term").agg(F.count("*").alias("_n"), F.max(F.col(col).cast("double")).alias("_s"))
+    once = F.when(F.col("_n") == 1, F.col("_s"))
+    return g.select("term", _or_fail(once, "null or repeated weight for term ").alias("_w"))
+
+
 def threshold_curve(cells: DataFrame, ia: DataFrame | None = None, n: int = 99) -> DataFrame:
-    """(tau_idx, tau, tp, fp, fn, precision, recall, f) for tau = k/100, k=1..n."""
+    """(tau_idx, tau, tp, fp, fn, precision, recall, f) for tau = k/100, k=1..n.
+    ``ia``: a weight for every term of the cells (see ``align.ia_weights``,
+    which fills in the default); a missing one is an error."""
     spark = cells.sparkSession
     yv = F.col("y").cast("boolean")
     # cells -> (term, bucket) counts first (map-side, <= labels x 100 rows);
@@ -51,8 +68,7 @@ def threshold_curve(cells: DataFrame, ia: DataFrame | None = None, n: int = 99)
     if ia is None:
         tb = tb.withColumn("_w", F.lit(1.0))
     else:
-        w = ia.select("term", F.col("score").cast("double").alias("_w"))
-        tb = tb.join(w, "term", "left").withColumn("_w", F.coalesce(F.col("_w"), F.lit(1.0)))
+        tb = tb.join(term_weights(ia), "term", "left").withColumn("_w", _or_fail(F.col("_w"), "no weight for term "))
     per = tb.groupBy("b").agg(F.sum(F.col("_tp") * F.col("_w")).alias("tp_b"),
                               F.sum(F.col("_fp") * F.col("_w")).alias("fp_b"))
     # every (<= 100) bucket row b feeds every threshold k = 1..n: to tp/fp when
@@ -108,7 +124,8 @@ def bce_loss(cells: DataFrame) -> DataFrame:
 
 def focal_loss(cells: DataFrame, gamma: float = 2.0, alpha=None, reduction: str = "mean") -> DataFrame:
     """Focal loss. ``alpha``: None, a scalar, or a (term, alpha) DataFrame
-    (per-class factor). reduction: mean | sum | none. With a per-class table
+    (per-class factor, one for every class: a missing one is an error).
+    reduction: mean | sum | none. With a per-class table
     and a reducing mode, the cells are summed per term first and the factors
     applied to those rows (the cell table is never joined)."""
     y = F.col("y").cast("double")
@@ -116,10 +133,10 @@ def focal_loss(cells: DataFrame, gamma: float = 2.0, alpha=None, reduction: str
         a = alpha.select("term", F.col("alpha").cast("double").alias("_alpha"))
         if reduction == "none":
             return cells.join(a, "term", "left").withColumn(
-                "loss", focal(F.col("logit"), y, gamma, F.col("_alpha"))).drop("_alpha")
+                "loss", focal(F.col("logit"), y, gamma, _or_fail(F.col("_alpha"), "no alpha for term "))).drop("_alpha")
         per = cells.groupBy("term").agg(F.sum(focal(F.col("logit"), y, gamma)).alias("_f"),
                                         F.count("*").alias("_n"))
-        j = per.join(a, "term", "left")
+        j = per.join(a, "term", "left").withColumn("_alpha", _or_fail(F.col("_alpha"), "no alpha for term "))
         tot = F.sum(F.col("_alpha") * F.col("_f"))
         return j.agg((tot if reduction == "sum" else tot / F.sum("_n")).alias("loss"))
     fl = focal(F.col("logit"), y, gamma, None if alpha is None else float(alpha))
@@ -130,21 +147,23 @@ def focal_loss(cells: DataFrame, gamma: float = 2.0, alpha=None, reduction: str
     return cells.agg(F.avg(fl).alias("loss"))
 
 
-def weighted_focal_loss(cells: DataFrame, term_weights: DataFrame | None = None,
+def weighted_focal_loss(cells: DataFrame, weights: DataFrame | None = None,
                         gamma: float = 2.0, alpha: float | None = None) -> DataFrame:
     """sum(focal * w) / (B * sum_vocab(w)) over a dense (B entries x C labels)
-    cell table; w from (term, score), missing terms at 1.0. Without weights:
-    plain mean. One pass over the cells: a per-term partial aggregate (focal
+    cell table; w from (term, score | weight), one for every term. A missing
+    weight, or a term with fewer cells than another, is an error. Without
+    weights: plain mean. One pass over the cells: a per-term partial aggregate (focal
     sum, cell count) -> C term rows joined with the IA table -> B = cells / C."""
     fl = focal(F.col("logit"), F.col("y").cast("double"), gamma, alpha)
-    if term_weights is None:
+    if weights is None:
         return cells.agg(F.avg(fl).alias("loss"))
     per = cells.groupBy("term").agg(F.sum(fl).alias("_f"), F.count("*").alias("_n"))
-    w = term_weights.select("term", F.col("score").cast("double").alias("_w"))
-    j = per.join(w, "term", "left").withColumn("_w", F.coalesce(F.col("_w"), F.lit(1.0)))
+    j = per.join(term_weights(weights), "term", "left").withColumn("_w", _or_fail(F.col("_w"), "no weight for term "))
     agg = j.agg(F.sum(F.col("_f") * F.col("_w")).alias("num"), F.sum("_w").alias("sw"),
-                F.sum("_n").alias("n"), F.count("*").alias("c"))
-    return agg.select((F.col("num") / ((F.col("n") / F.col("c")) * F.col("sw"))).alias("loss"))
+                F.sum("_n").alias("n"), F.count("*").alias("c"), F.min("_n").alias("least"), F.max("_n").alias("most"))
+    loss = F.col("num") / ((F.col("n") / F.col("c")) * F.col("sw"))
+    dense = F.when(F.col("least").eqNullSafe(F.col("most")), loss)
+    return agg.select(dense.otherwise(F.raise_error(F.lit("the cell table is not dense")).cast("double")).alias("loss"))
 
 
 def summarize_folds(per_fold: DataFrame, metric: str = "f1") -> DataFrame:

@@ -45,7 +45,7 @@ class MLPParams:
     patience: int = 2
     lr_patience: int = 2
     min_lr: float = 1e-6
-    n_partitions: int = 8
+    rows_per_partition: int = 20_000
     loss: str = "bce"            # or "focal": alpha * (1 - pt)^gamma * bce
     gamma: float = 2.0
     alpha: float | None = None
@@ -203,8 +203,9 @@ def fit(train: DataFrame, n_labels: int, n_tax: int, params: MLPParams | None =
     # one key-partitioned table holds train and validation rows: each epoch's
     # job trains on its train rows and scores its validation rows with the
     # incoming weights, so validation costs no extra job per epoch
+    n_parts = max(1, -(-train.count() // p.rows_per_partition))
     data = (train.select(key, features, tax_col, labels, val_col)
-            .repartition(p.n_partitions, key).sortWithinPartitions(key).persist())
+            .repartition(n_parts, key).sortWithinPartitions(key).persist())
     lr, best, best_P, since, since_lr = p.lr, -1.0, None, 0, 0
     history = []
     all_keys = state_keys + [f"m_{k}" for k in TRAINABLE] + [f"v_{k}" for k in TRAINABLE]
@@ -334,3 +335,8 @@ def model_table(spark, model: MLPModel) -> DataFrame:
     """Persist a model as rows (K5): one row per parameter tensor."""
     rows = [(k, list(v.shape), [float(x) for x in v.ravel()]) for k, v in model.params.items()]
     return spark.createDataFrame(rows, "name string, shape array<int>, values array<double>")
+
+
+def load_model(df: DataFrame) -> MLPModel:
+    """The model whose ``model_table`` was saved as ``df``."""
+    return MLPModel({r["name"]: np.array(r["values"], dtype=np.float32).reshape(r["shape"]) for r in df.collect()})

@@ -28,11 +28,9 @@ def explode_chunks(df: DataFrame, seq_col: str = "seq", size: int = 2048,
     """(keep..., chunk_idx, n_chunks, chunk): one row per fixed-stride chunk.
     Rows stay in their partition (no shuffle); chunks of one long text spread
     the following per-chunk work evenly."""
-    # explode chunk indices, then cut: codegen'd, and the generator does not
-    # carry an array of all chunks next to every output row
+    # cut by a pattern: one pass over the text, however many chunks
     s = F.col(seq_col)
-    last = F.floor(F.greatest(F.length(s) - 1, F.lit(0)) / F.lit(size)).cast("int")
-    x = df.select(*keep, s.alias("_s"), (last + 1).alias("n_chunks"),
-                  F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx"))
-    return x.select(*keep, "chunk_idx", "n_chunks",
-                    F.col("_s").substr(F.col("chunk_idx") * F.lit(size) + F.lit(1), F.lit(size)).alias("chunk"))
+    chunks = F.when(F.length(s) > 0, F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).otherwise(F.array(s))
+    x = df.select(*keep, chunks.alias("_c")).withColumn("n_chunks", F.size("_c"))
+    return x.select(*keep, "n_chunks", F.posexplode("_c").alias("chunk_idx", "chunk")) \
+            .select(*keep, "chunk_idx", "n_chunks", "chunk")

@@ -36,15 +36,20 @@ def filter_hits(hits: DataFrame, evalue_threshold: float = 1e-3) -> DataFrame:
 def weighted_vote(hits: DataFrame, terms: DataFrame, evalue_threshold: float = 1e-3,
                   by: Sequence[str] = ("source",), subject_key: str = "EntryID") -> DataFrame:
     """(by..., query_id, term, score). ``by`` names the reference-set column(s);
-    pass ``by=()`` for a single hit table."""
+    pass ``by=()`` for a single hit table. Where ``terms`` has those columns
+    too, each reference set is voted with its own annotations."""
     by = list(by)
+    own = [c for c in by if c in terms.columns]
     kept = filter_hits(hits, evalue_threshold).select(*by, "query_id", "subject_id", "bitscore")
     pair, total = _pair_and_total(kept, by)
     ann = (terms.where(F.col(subject_key).isNotNull())
-           .select(F.col(subject_key).alias("_subj"), F.col("term")))
+           .select(F.col(subject_key).alias("_subj"), F.col("term"), *[F.col(c).alias(f"_own_{c}") for c in own]))
     # null-safe key: no inferred not-null filter on the pair side, so both
     # consumers of ``pair`` share one scan and one shuffle of the hit table
-    term_bits = (pair.join(ann, pair["subject_id"].eqNullSafe(ann["_subj"]), "inner")
+    match = pair["subject_id"].eqNullSafe(ann["_subj"])
+    for c in own:
+        match = match & pair[c].eqNullSafe(ann[f"_own_{c}"])
+    term_bits = (pair.join(ann, match, "inner")
                  .groupBy(*by, "query_id", "term").agg(F.sum("bits").alias("term_bits")))
     return (term_bits.join(total, [*by, "query_id"], "inner")
             .select(*by, "query_id", "term",
@@ -77,19 +82,7 @@ def vote_and_merge(hit_sets: DataFrame, terms: DataFrame, evalue_threshold: floa
     """All reference sets in one plan (union of hit tables tagged by
     ``source_col``, each with its own annotations when ``terms`` carries the
     same column) -> merged (query_id, term, score)."""
-    if source_col in terms.columns:
-        # per-set annotations: join on (set, subject)
-        by = [source_col]
-        kept = filter_hits(hit_sets, evalue_threshold).select(*by, "query_id", "subject_id", "bitscore")
-        pair, total = _pair_and_total(kept, by)
-        ann = terms.select(source_col, F.col("EntryID").alias("subject_id"), "term")
-        tb = (pair.join(ann, [source_col, "subject_id"])
-              .groupBy(*by, "query_id", "term").agg(F.sum("bits").alias("term_bits")))
-        votes = tb.join(total, [*by, "query_id"]).select(
-            *by, "query_id", "term", F.try_divide("term_bits", "total_bits").alias("score"))
-    else:
-        votes = weighted_vote(hit_sets, terms, evalue_threshold, by=[source_col])
-    return max_merge(votes)
+    return max_merge(weighted_vote(hit_sets, terms, evalue_threshold, by=[source_col]))
 
 
 def term_lists(terms: DataFrame, key: str = "EntryID") -> DataFrame:

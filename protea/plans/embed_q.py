@@ -33,7 +33,7 @@ FROM v JOIN n ON v.EntryID = n.EntryID
 GROUP BY v.EntryID, km""")
 def kmer_embed(spark, sf):
     s = driver.seqs(spark, sf).select("EntryID", S.clean("seq").alias("seq"))
-    return _long_nonzero(embed.composition(s, k=2, dtype="double"))
+    return embed.kmer_table(s, 2).withColumn("value", F.round("value", 6))
 
 
 @register("chunk_mean", f"""WITH {SQL_SEQS},
@@ -55,14 +55,21 @@ def chunk_mean(spark, sf):
     return _long_nonzero(e)
 
 
-@register("batch_embed")
+@register("batch_embed", f"""WITH {SQL_SEQS},
+c AS (SELECT EntryID, {SQL_CLEAN} AS s FROM seqs),
+l AS (SELECT EntryID, s, unnest(generate_series(1, 26)) AS c FROM c),
+n AS (SELECT EntryID, c, length(s) - length(replace(s, chr(CAST(64 + c AS INTEGER)), '')) AS n FROM l),
+d AS (SELECT EntryID, c, n, unnest(generate_series(0, 7)) AS d FROM n)
+SELECT EntryID, CAST(d AS INTEGER) AS dim,
+       round(CAST(CAST(CASE WHEN sum(n) > 0 THEN sum(n * (c * (d + 3) % 11)) / sum(n) ELSE 0 END AS FLOAT) AS DOUBLE), 4) AS value
+FROM d GROUP BY EntryID, d""")
 def batch_embed(spark, sf):
-    """A batch model through predict_batch_udf on length-sorted partitions
-    (rows only: the model is a numeric stand-in for a language model)."""
+    """A batch model through predict_batch_udf on length-sorted partitions,
+    over whole texts; its integer table lets SQL state the result."""
     s = driver.seqs(spark, sf).select("EntryID", S.clean("seq").alias("seq"))
-    e = embed.embed(s, embed.projection_model(16), dim=16, batch_size=64)
-    return e.select("EntryID", F.size("embedding").alias("dim"),
-                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
+    e = embed.embed(s, embed.table_model(8), dim=8, batch_size=64)
+    return e.select("EntryID", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), 4))
 
 
 def _shift_model(shift: int, d: int = N_DIMS) -> score.LinearModel:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from protea.functions.math import sigmoid
-from protea.operators import metrics, split
+from protea.operators import align, metrics, split
 from protea.plans.catalog import register
 from protea.sources import driver
 
@@ -64,9 +64,22 @@ def fmax(spark, sf):
     return _round_all(r, {"fmax", "precision", "recall", "tau"})
 
 
+@register("fmax_infinite", _fmax_sql(False).replace(
+    "CAST(l_discount * 10 AS FLOAT) AS score",
+    "CASE WHEN l_linenumber = 1 THEN CAST('inf' AS FLOAT) WHEN l_linenumber = 2 THEN CAST('-inf' AS FLOAT) "
+    "ELSE CAST(l_discount * 10 AS FLOAT) END AS score"))
+def fmax_infinite(spark, sf):
+    """Scores without bound: an infinite one passes every threshold or none."""
+    c = driver.cells(spark, sf)
+    s = (F.when(F.col("term") == "L1", F.lit(float("inf"))).when(F.col("term") == "L2", F.lit(float("-inf")))
+         .otherwise(F.col("score")))
+    return _round_all(metrics.fmax(c.withColumn("score", s.cast("float"))), {"fmax", "precision", "recall", "tau"})
+
+
 @register("fmax_weighted", _fmax_sql(True))
 def fmax_weighted(spark, sf):
-    r = metrics.fmax(driver.cells(spark, sf), ia=driver.ia(spark, sf, "L"))
+    cells = driver.cells(spark, sf)
+    r = metrics.fmax(cells, ia=align.ia_weights(cells, driver.ia(spark, sf, "L")))
     return _round_all(r, {"fmax", "precision", "recall", "tau"})
 
 
@@ -121,7 +134,8 @@ b AS (SELECT lc.EntryID, greatest(logit, 0) - logit * y + ln(1 + exp(-abs(logit)
 SELECT round(sum(pow(1 - exp(-bce), 2) * bce * w)
              / (count(DISTINCT EntryID) * (SELECT sum(w) FROM w)), 6) AS loss FROM b""")
 def weighted_focal_loss(spark, sf):
-    r = metrics.weighted_focal_loss(driver.logit_cells(spark, sf), driver.ia(spark, sf, "D"), gamma=2.0)
+    cells = driver.logit_cells(spark, sf)
+    r = metrics.weighted_focal_loss(cells, align.ia_weights(cells, driver.ia(spark, sf, "D")), gamma=2.0)
     return r.select(F.round("loss", 6).alias("loss"))
 
 

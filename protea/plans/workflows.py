@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from protea.functions import seq as S
 from protea.operators import align, embed, labels, score, seqops, simsearch, split, vote
-from protea.session import ship
+from protea.session import saved, ship
 from protea.sources import fasta, tables
 
 
@@ -45,7 +45,7 @@ def _letters(df: DataFrame) -> DataFrame:
 
 
 def homology_vote(spark: SparkSession, query_fasta: str, refs: Sequence[ReferenceSet], out_tsv: str,
-                  evalue: float = 1e-3, max_targets: int = 16, K: int = 12, max_freq: int = 64,
+                  evalue: float = 1e-3, max_targets: int = 16, K: int = 12, max_freq: int | None = None,
                   query_has_metadata: bool = False) -> DataFrame:
     """Search (or read hits), vote per reference set, max-merge, write TSV.
     Returns the merged (query_id, term, score) table."""
@@ -58,8 +58,8 @@ def homology_vote(spark: SparkSession, query_fasta: str, refs: Sequence[Referenc
         else:
             if queries is None:
                 q = fasta.read_fasta(spark, query_fasta, query_has_metadata)
-                queries = _letters(seqops.dedupe(q))
-            r = _letters(seqops.dedupe(fasta.read_fasta(spark, ref.fasta, ref.has_metadata)))
+                queries = saved(_letters(seqops.dedupe(q)), "queries")
+            r = saved(_letters(seqops.dedupe(fasta.read_fasta(spark, ref.fasta, ref.has_metadata))), "references")
             h = simsearch.search(queries, r, K=K, max_freq=max_freq, max_targets=max_targets)
         h = h.select(F.col("query_id").cast("string"), F.col("subject_id").cast("string"),
                      "evalue", "bitscore").withColumn("source", F.lit(ref.name))
@@ -97,13 +97,13 @@ def _prepare(seq: str, style: str):
 
 def embed_sequences(spark: SparkSession, in_parquet: str, out_parquet: str, style: str = "truncated",
                     make_predict_fn: Callable | None = None, dim: int | None = None,
-                    batch_size: int = 64, k: int = 1) -> DataFrame | None:
+                    batch_size: int = 64, k: int = 1, half: bool = True) -> DataFrame | None:
     """Embed a sequence Parquet file. ``make_predict_fn`` is a batch model
     (strings -> (n, dim)); without one, the k-mer composition embedder is
     used. ``style`` picks the preprocessing: truncated = clean + truncate to
     1024 tokens with 2 specials; spaced = clean + truncate (1 special) + one
     space between residues; chunked = '[NLU]' prefix + 2048-letter chunks with
-    the chunk mean."""
+    the chunk mean. Values are stored in half precision unless told otherwise."""
     ship(spark)
     seqs = tables.read_sequences(spark, in_parquet, required=False)
     if seqs is None:
@@ -121,7 +121,7 @@ def embed_sequences(spark: SparkSession, in_parquet: str, out_parquet: str, styl
         out = embed.embed_long(s, embedder, "seq", PREPROCESS["chunked"]["chunk"])
     else:
         out = embed.length_sorted(s).select("EntryID", embedder(F.col("seq")).alias("embedding"))
-    tables.write_embeddings(out, out_parquet)
+    tables.write_embeddings(out, out_parquet, half=half)
     return spark.read.parquet(out_parquet)
 
 
@@ -139,8 +139,11 @@ def train_and_score(spark: SparkSession, seq_path: str, emb_path: str, label_pat
     from protea.operators import boost, mlp
     ship(spark)
     seqs = tables.read_sequences(spark, seq_path)
-    emb = spark.read.parquet(emb_path).select("EntryID", "embedding")
-    wide = spark.read.parquet(label_path)
+    emb = tables.read_keyed(spark, emb_path).select("EntryID", "embedding")
+    wide = tables.read_keyed(spark, label_path)
+    align.assert_aligned(seqs, emb)  # a sequence without a vector, or the reverse, is an error
+    if model == "mlp" and not taxonomy_path:
+        raise ValueError("the two-branch model needs the training taxonomy")
     tax = tables.read_taxonomy(spark, taxonomy_path) if (model == "mlp" and taxonomy_path) else None
     if model == "mlp" and taxonomy_path and tax is None:
         raise FileNotFoundError(taxonomy_path)
@@ -159,7 +162,8 @@ def train_and_score(spark: SparkSession, seq_path: str, emb_path: str, label_pat
     test = tables.read_test_ids(spark, test_path)
     if test is None or not tables.path_exists(spark, test_emb_path):
         return None
-    test_emb = spark.read.parquet(test_emb_path).select("EntryID", "embedding")
+    test_emb = tables.read_keyed(spark, test_emb_path).select("EntryID", "embedding")
+    align.assert_aligned(test.select("EntryID"), test_emb)
     test_tax = (tables.read_taxonomy(spark, test_taxonomy_path, required=False)
                 if test_taxonomy_path else None)
     test = align.with_taxonomy(test.select("EntryID").join(test_emb, "EntryID"), test_tax)

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from protea.functions.math import half_precision
+from protea.operators.align import id_column
+
 # similarity-hit table: header-less TSV with these 12 columns
 HITS_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -78,7 +81,8 @@ def read_strict_tsv3(spark: SparkSession, path: str,
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Header-less 12-column hit table (the aligner's tabular output)."""
+    """Header-less 12-column hit table (the aligner's tabular output). A folder
+    of ``source=NAME`` folders gives the set of each hit as ``source``."""
     return _csv(spark, "\t", False, HITS_SCHEMA).csv(path)
 
 
@@ -92,17 +96,25 @@ def read_terms(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
     return df.select("EntryID", "term")
 
 
-def read_sequences(spark: SparkSession, path: str, id_col: str = "EntryID",
+def read_sequences(spark: SparkSession, path: str, id_col: str | None = None,
                    seq_col: str = "seq", required: bool = True) -> DataFrame | None:
     """Parquet sequence table projected to (EntryID, seq); column pruning and
-    any later filter reach the scan. The sequence column may be ``Seq``.
+    any later filter reach the scan. The sequence column may be ``Seq``; the
+    id column is found like ``read_keyed`` does unless it is named.
     A missing input is skipped (None) unless ``required``."""
     if not path_exists(spark, path):
         return _missing(path, "sequence file", required)
     df = spark.read.parquet(path)
     if seq_col not in df.columns and seq_col.capitalize() in df.columns:
         seq_col = seq_col.capitalize()
-    return df.select(F.col(id_col).alias("EntryID"), F.col(seq_col).alias("seq"))
+    return df.select(F.col(id_col or id_column(df)).alias("EntryID"), F.col(seq_col).alias("seq"))
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table with its id column (``EntryID``, else ``id``, else the
+    first) named ``EntryID``: embedding and label files."""
+    df = spark.read.parquet(path)
+    return df.withColumnRenamed(id_column(df), "EntryID")
 
 
 def read_test_ids(spark: SparkSession, path: str) -> DataFrame | None:
@@ -122,7 +134,7 @@ def read_taxonomy(spark: SparkSession, path: str, required: bool = True) -> Data
         return _missing(path, "taxonomy file", required)
     df = _csv(spark, ",", True).csv(path)
     if "EntryID" not in df.columns or "taxonomyID" not in df.columns:
-        raise ValueError(f"taxonomy file {path} must have columns 'EntryID' and 'taxonomyID'")
+        raise ValueError(f"{path}: a taxonomy table needs EntryID and taxonomyID, found {df.columns}")
     return df.select("EntryID", F.col("taxonomyID").cast("long").alias("taxonomyID"))
 
 
@@ -177,7 +189,9 @@ def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite") -> No
      .write.mode(mode).option("compression", "snappy").parquet(path))
 
 
-def write_embeddings(emb: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Keyed embedding table (EntryID, embedding array<float>)."""
-    (emb.select("EntryID", F.col("embedding").cast("array<float>"))
+def write_embeddings(emb: DataFrame, path: str, mode: str = "overwrite", half: bool = False) -> None:
+    """Keyed embedding table (EntryID, embedding array<float>); ``half``: the
+    values rounded to half precision first."""
+    vec = F.transform("embedding", half_precision) if half else F.col("embedding")
+    (emb.select("EntryID", vec.cast("array<float>").alias("embedding"))
      .write.mode(mode).option("compression", "snappy").parquet(path))

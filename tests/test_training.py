@@ -10,7 +10,7 @@ from protea.plans import training_q
 
 @pytest.fixture(scope="module")
 def table(spark):
-    t, terms, tv = training_q.training_table(spark, SF_ORACLE)
+    t, terms, tv = training_q.training_table(spark, SF_ORACLE, 8)
     return t.persist(), terms, tv
 
 
@@ -63,7 +63,7 @@ def test_mlp_gradients_match_finite_differences():
 def test_mlp_learns(spark, table):
     t, terms, tv = table
     model, hist = mlp.fit(t, len(terms), tv.count() + 1,
-                          mlp.MLPParams(epochs=8, hidden=32, n_partitions=2, lr=1e-2, patience=8, batch_size=32))
+                          mlp.MLPParams(epochs=8, hidden=32, rows_per_partition=250, lr=1e-2, patience=8, batch_size=32))
     assert max(h["val_f1"] for h in hist) > _majority_f1(t, len(terms))
 
 
@@ -102,3 +102,35 @@ def test_score_skips_missing_features(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "EntryID string, embedding array<float>")
     m = score.LinearModel(np.eye(2), np.zeros(2))
     assert {r["EntryID"] for r in score.score(df, [m], ["x", "y"], None).collect()} == {"a"}
+
+
+def test_boosting_driver_gets_a_row_per_node(spark, monkeypatch):
+    """256 bins x 1,000 features: what is collected per level is a row per node."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 1000)).astype(np.float32)
+    rows = [(i, x[i].tolist(), [j for j in range(3) if x[i, j] > 0], i % 5 == 0) for i in range(400)]
+    t = spark.createDataFrame(rows, "EntryID int, embedding array<float>, label_idx array<int>, is_val boolean")
+    seen = []
+    real = boost._best_splits
+    monkeypatch.setattr(boost, "_best_splits", lambda *a: seen.append(real(*a)) or seen[-1])
+    p = boost.BoostParams(ntrees=2, max_depth=2, lr=0.5, max_bin=256, min_data_in_leaf=5, subsample=1.0)
+    model, hist = boost.fit(t, 3, p)
+    assert [len(s) <= 2 ** (i % 2) for i, s in enumerate(seen)] == [True] * 4
+    assert {int(f) for tree in model.trees for f in tree.feat} & {0, 1, 2}
+
+
+def test_boosted_model_survives_saving(spark, table, tmpdir_path):
+    t, terms, _ = table
+    m, _ = boost.fit(t, len(terms), boost.BoostParams(ntrees=2, max_depth=2, lr=0.5, max_bin=16))
+    boost.save_model(spark, m, terms, tmpdir_path + "/m")
+    back, names = boost.load_model(spark, tmpdir_path + "/m")
+    X = np.random.default_rng(0).standard_normal((20, 64)).astype(np.float32)
+    assert names == list(terms) and (back.predict(X) == m.predict(X)).all()
+
+
+def test_mlp_model_survives_saving(spark):
+    P = mlp.init_params(5, 4, 3, mlp.MLPParams(hidden=6, tax_dim=3))
+    m = mlp.MLPModel(P)
+    back = mlp.load_model(mlp.model_table(spark, m))
+    X, tax = np.random.default_rng(0).standard_normal((7, 5)).astype(np.float32), np.arange(7) % 4
+    assert np.allclose(back.predict(X, tax), m.predict(X, tax))

@@ -289,13 +289,14 @@ def test_search_exact_runs_and_masking(spark):
     q = spark.createDataFrame([("q", "ABCDEFGHIJKLMNOP")], "EntryID string, seq string")
     refs = spark.createDataFrame([("s1", "ZZABCDEFGHIJKLMNZZ"), ("s2", "ABCDEFGHIJKQQQQQ"), ("s3", "QQQQQQQ")],
                                  "EntryID string, seq string")
-    h = {r["subject_id"]: r for r in simsearch.search(q, refs, K=4, max_freq=5, max_targets=16).collect()}
+    h = {r["subject_id"]: r for r in simsearch.search(q, refs, K=4, max_targets=16).collect()}
     assert set(h) == {"s1", "s2"}
     assert (h["s1"]["aln_len"], h["s1"]["qstart"], h["s1"]["sstart"]) == (14, 1, 3)
     assert (h["s2"]["aln_len"], h["s2"]["qstart"], h["s2"]["sstart"]) == (11, 1, 1)
     assert h["s1"]["bitscore"] > h["s2"]["bitscore"] and h["s1"]["evalue"] < h["s2"]["evalue"]
-    # a seed occurring more often than max_freq in the references is masked
-    many = spark.createDataFrame([(f"r{i}", "ABCDXYZW") for i in range(6)], "EntryID string, seq string")
+    # masking is an option: off by default, counted over distinct sequences
+    many = spark.createDataFrame([(f"r{i}", "ABCDXYZW" + chr(65 + i) * 4) for i in range(6)], "EntryID string, seq string")
+    assert simsearch.search(q, many, K=4).count() == 6
     assert simsearch.search(q, many, K=4, max_freq=5).count() == 0
     assert simsearch.search(q, many, K=4, max_freq=6).count() == 6
     # no query k-mer at all
@@ -303,6 +304,146 @@ def test_search_exact_runs_and_masking(spark):
     assert simsearch.search(short, refs, K=4).count() == 0
 
 
+@pytest.mark.parametrize("copies", [64, 65, 1000])
+def test_search_keeps_hits_in_large_families(spark, copies):
+    import random
+    from protea.operators import simsearch
+    rng = random.Random(1)
+    text = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(300))
+    q = spark.createDataFrame([("q1", text), ("q2", text)], "EntryID string, seq string")
+    refs = spark.createDataFrame([(i, text) for i in range(copies)], "EntryID int, seq string")
+    got = simsearch.search(q, refs).collect()
+    assert sorted((r["query_id"], r["subject_id"]) for r in got) == [(x, i) for x in ("q1", "q2") for i in range(16)]
+    assert {(r["aln_len"], r["qstart"], r["sstart"]) for r in got} == {(300, 1, 1)}
+
+
+def test_search_low_complexity_finds_itself(spark):
+    from protea.operators import simsearch
+    a = spark.createDataFrame([("a", "A" * 100)], "EntryID string, seq string")
+    r = simsearch.search(a, a).first()
+    assert (r["subject_id"], r["aln_len"], r["qstart"], r["sstart"]) == ("a", 100, 1, 1)
+
+
+def _longest_runs(queries, refs, K):
+    """(query, subject) -> (length, start, start), every pair and diagonal looked at."""
+    out = {}
+    for qi, q in queries:
+        for si, s in refs:
+            best = None
+            for d in range(-len(s) + 1, len(q)):
+                i, j, n = max(d, 0), max(-d, 0), 0
+                while i <= len(q) and j <= len(s):
+                    if i < len(q) and j < len(s) and q[i] == s[j] and "A" <= q[i] <= "Z":
+                        n += 1
+                    else:
+                        if n >= K:
+                            best = max(best or (0, 0, 0), (n, -(i - n), -(j - n)))
+                        n = 0
+                    i, j = i + 1, j + 1
+            if best:
+                out[qi, si] = (best[0], 1 - best[1], 1 - best[2])
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])  # 2: nearly every code is dealt to a grid
+def test_search_against_brute_force(spark, hot):
+    import random
+    from protea.operators import simsearch
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("AAB-C") for _ in range(rng.randrange(0, 40)))
+    queries, refs = [(i, text()) for i in range(8)], [(i, text()) for i in range(25)]
+    df = [spark.createDataFrame(x, "EntryID int, seq string") for x in (queries, refs)]
+    got = {(r["query_id"], r["subject_id"]): (r["aln_len"], r["qstart"], r["sstart"])
+           for r in simsearch.search(*df, K=4, max_targets=100, hot=hot).collect()}
+    assert got == _longest_runs(queries, refs, 4)
+
+
+def test_search_runs_its_input_once_per_scan(spark):
+    """Building the plan of the homology vote reads each record once."""
+    from protea.operators.common import dense_index  # noqa: F401  (helpers must not touch .rdd)
+    import inspect
+    import protea.operators.common as common
+    import protea.operators.simsearch as simsearch
+    assert ".rdd" not in inspect.getsource(common) + inspect.getsource(simsearch)
+
+
+def test_half_precision(spark):
+    import numpy as np
+    from protea.functions.math import half_precision
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.standard_normal(2000), rng.standard_normal(500) * 1e-6, rng.standard_normal(500) * 3e4,
+                        [0.0, 65504.0, 65519.9, 65520.0, -70000.0, 2.0 ** -14, 2.0 ** -24, 1 + 2.0 ** -11, 1 + 3 * 2.0 ** -11]])
+    x = x.astype(np.float32).astype(np.float64)
+    got = np.array([r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double")
+                    .orderBy("i").select(half_precision(F.col("v"))).collect()])
+    with np.errstate(over="ignore"):
+        assert (got == x.astype(np.float16).astype(np.float64)).all()
+
+
+def test_metric_inputs_must_correspond(spark):
+    from pyspark.errors import PySparkException
+    c = spark.createDataFrame([("e", "t", 0.3, 1.0), ("e", "u", -2.0, 0.0), ("f", "t", 1.5, 0.0), ("f", "u", 1.0, 1.0)],
+                              "EntryID string, term string, logit double, y double")
+    cells = c.withColumn("score", F.lit(0.5))
+    one = spark.createDataFrame([("t", 0.25)], "term string, score double")
+    twice = spark.createDataFrame([("t", 0.25), ("t", 0.25), ("u", 1.0)], "term string, score double")
+    alpha = one.withColumnRenamed("score", "alpha")
+    for bad in (lambda: metrics.focal_loss(c, 2.0, alpha, "mean"), lambda: metrics.focal_loss(c, 2.0, alpha, "none"),
+                lambda: metrics.weighted_focal_loss(c, one), lambda: metrics.weighted_focal_loss(c, twice),
+                lambda: metrics.fmax(cells, one), lambda: metrics.fmax(cells, twice)):
+        with pytest.raises(PySparkException):
+            bad().collect()
+    sparse = c.where("NOT (EntryID = 'f' AND term = 'u')")
+    both = spark.createDataFrame([("t", 0.25), ("u", 1.0)], "term string, score double")
+    with pytest.raises(PySparkException):
+        metrics.weighted_focal_loss(sparse, both).collect()
+    assert metrics.weighted_focal_loss(c, both).first()["loss"] > 0
+
+
+def test_infinite_scores(spark):
+    c = spark.createDataFrame([("a", "t", float("inf"), True), ("b", "t", float("-inf"), False), ("c", "t", 3e7, True)],
+                              "EntryID string, term string, score double, y boolean")
+    r = metrics.fmax(c).first()
+    assert (r["fmax"], r["precision"], r["recall"]) == (1.0, 1.0, 1.0)
+
+
+def test_readers_find_the_id_column(spark, tmpdir_path):
+    for name in ("EntryID", "id", "protein"):
+        p = os.path.join(tmpdir_path, name)
+        spark.createDataFrame([("x", "ABC")], f"{name} string, seq string").write.parquet(p)
+        assert tables.read_sequences(spark, p).first().asDict() == {"EntryID": "x", "seq": "ABC"}
+        assert tables.read_keyed(spark, p).columns[0] == "EntryID"
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from protea import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Fake:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Fake())
+
+
+def test_drop_scratch(spark):
+    from protea import session
+    df = session.saved(spark.range(5), "drop-me")
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 5 and os.path.isdir(path)
+    session.drop_scratch(spark)
+    assert not os.path.exists(path)
+
+
 def test_dense_index_across_partitions(spark):
     from protea.operators.common import dense_index
     df = spark.range(0, 5000).selectExpr("id * 7 % 5003 AS k").repartition(17)

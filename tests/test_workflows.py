@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -54,9 +56,13 @@ def test_train_and_score_files(spark, tmpdir_path):
     emb = os.path.join(tmpdir_path, "emb.parquet")
     lab = os.path.join(tmpdir_path, "labels.parquet")
     test = os.path.join(tmpdir_path, "test.csv")
-    driver.seqs(spark, SF_SMALL).write.parquet(seq)
-    e = driver.emb(spark, SF_SMALL)
+    d, e = driver.seqs(spark, SF_SMALL), driver.emb(spark, SF_SMALL)
+    keys = d.select("EntryID").intersect(e.select("EntryID"))
+    d.join(keys, "EntryID").write.parquet(seq)
+    e = e.join(keys, "EntryID")
     e.write.parquet(emb)
+    tax = os.path.join(tmpdir_path, "tax.csv")
+    driver.taxonomy(spark, SF_SMALL).coalesce(1).write.option("header", "true").csv(tax)
     wide = e.select("EntryID", *[(F.col("embedding")[j] > 0).cast("int").alias(f"D{j}") for j in range(4)])
     wide.write.parquet(lab)
     e.select(F.col("EntryID").alias("id")).coalesce(1).write.option("header", "true").csv(test)
@@ -67,8 +73,17 @@ def test_train_and_score_files(spark, tmpdir_path):
     assert p.count() > 0 and set(p.columns) == {"EntryID", "term", "score"}
     out2 = os.path.join(tmpdir_path, "pred-mlp")
     p2 = workflows.train_and_score(spark, seq, emb, lab, test, emb, out2, "mlp", top_k=3,
-                                   params=mlp.MLPParams(epochs=2, hidden=16, n_partitions=2))
+                                   taxonomy_path=tax, params=mlp.MLPParams(epochs=2, hidden=16, rows_per_partition=50))
     assert p2.select("term").distinct().count() <= 3
+    with pytest.raises(ValueError, match="taxonomy"):
+        workflows.train_and_score(spark, seq, emb, lab, test, emb, out2, "mlp")
+    # a sequence without a vector is an error, not a lost row
+    fewer = os.path.join(tmpdir_path, "fewer.parquet")
+    e.where("EntryID % 7 != 0").write.parquet(fewer)
+    with pytest.raises(ValueError, match="Mismatch"):
+        workflows.train_and_score(spark, seq, fewer, lab, test, emb, out, "boost")
+    with pytest.raises(ValueError, match="Mismatch"):
+        workflows.train_and_score(spark, seq, emb, lab, test, fewer, out, "boost")
 
 
 def test_embed_with_batch_model(spark, tmpdir_path):
@@ -79,7 +94,7 @@ def test_embed_with_batch_model(spark, tmpdir_path):
     for style in ("spaced", "chunked"):
         out = os.path.join(tmpdir_path, f"m-{style}")
         e = workflows.embed_sequences(spark, src, out, style=style,
-                                      make_predict_fn=embed.projection_model(8), dim=8)
+                                      make_predict_fn=embed.table_model(8), dim=8)
         rows = e.collect()
         assert len(rows) == n and all(len(r["embedding"]) == 8 for r in rows)
 

@@ -39,4 +39,4 @@ def load_all() -> None:
         importlib.import_module(f"protea.plans.{m}")
 
 
-PLAN_MODULES = ["homology", "metrics_q", "sequences_q", "labels_q", "embed_q", "training_q"]
+PLAN_MODULES = ["homology", "metrics_q", "sequences_q", "labels_q", "embed_q", "training_q", "sources_q"]

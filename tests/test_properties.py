@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from protea.operators import metrics, vote
+from protea.operators import align, metrics, vote
 
 hit = st.tuples(st.sampled_from(["A", "B", "C"]), st.sampled_from(["q1", "q2", "q3"]),
                 st.sampled_from(["s1", "s2", "s3", "s4"]),
@@ -85,7 +85,7 @@ def test_weighted_fmax_equals_brute_force(spark, cells):
     s = np.array([r[2] for r in rows], dtype=np.float32)
     y = np.array([r[3] for r in rows])
     w = np.array([{"t1": 2.0, "t2": 0.5}.get(r[1], 1.0) for r in rows])
-    r = metrics.fmax(c, ia).first()
+    r = metrics.fmax(c, align.ia_weights(c, ia)).first()
     assert (r["fmax"], r["precision"], r["recall"]) == pytest.approx(brute_fmax(s, y, w), rel=1e-9)
 
 

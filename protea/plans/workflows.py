@@ -58,9 +58,9 @@ def homology_vote(spark: SparkSession, query_fasta: str, refs: Sequence[Referenc
         else:
             if queries is None:
                 q = fasta.read_fasta(spark, query_fasta, query_has_metadata)
-                queries = saved(_letters(seqops.dedupe(q)), "queries")
+                queries = simsearch.prepare(saved(_letters(seqops.dedupe(q)), "queries"), K)
             r = saved(_letters(seqops.dedupe(fasta.read_fasta(spark, ref.fasta, ref.has_metadata))), "references")
-            h = simsearch.search(queries, r, K=K, max_freq=max_freq, max_targets=max_targets)
+            h = simsearch.search(queries, r, max_freq=max_freq, max_targets=max_targets)
         h = h.select(F.col("query_id").cast("string"), F.col("subject_id").cast("string"),
                      "evalue", "bitscore").withColumn("source", F.lit(ref.name))
         hit_sets.append(h)

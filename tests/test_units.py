@@ -358,15 +358,6 @@ def test_search_against_brute_force(spark, hot):
     assert got == _longest_runs(queries, refs, 4)
 
 
-def test_search_runs_its_input_once_per_scan(spark):
-    """Building the plan of the homology vote reads each record once."""
-    from protea.operators.common import dense_index  # noqa: F401  (helpers must not touch .rdd)
-    import inspect
-    import protea.operators.common as common
-    import protea.operators.simsearch as simsearch
-    assert ".rdd" not in inspect.getsource(common) + inspect.getsource(simsearch)
-
-
 def test_half_precision(spark):
     import numpy as np
     from protea.functions.math import half_precision

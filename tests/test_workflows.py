@@ -40,6 +40,32 @@ def test_homology_vote_from_fasta_and_hits(spark, tmpdir_path):
     assert merged.where(F.col("term").isin("en", "de", "fr", "es")).select("query_id").distinct().count() > 0
 
 
+def test_homology_vote_reads_each_record_once(spark, tmpdir_path, monkeypatch):
+    q, r = os.path.join(tmpdir_path, "q.fa"), os.path.join(tmpdir_path, "r.fa")
+    fasta.write_fasta(driver.query_seqs(spark, SF_SMALL), q)
+    fasta.write_fasta(driver.seqs(spark, SF_SMALL), r)
+    terms = os.path.join(tmpdir_path, "terms.tsv")
+    driver.table(spark, SF_SMALL, "documents").select(F.col("doc_id").cast("string").alias("EntryID"), F.col("lang").alias("term")) \
+        .write.option("sep", "\t").option("header", "true").csv(terms)
+    read, seen = fasta.read_fasta, {}
+
+    def counted(spark, path, *a):
+        df, n = read(spark, path, *a), spark.sparkContext.accumulator(0)
+        seen[path] = (df.count(), n)
+
+        def count(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+        return df.mapInArrow(count, df.schema)
+    monkeypatch.setattr(workflows.fasta, "read_fasta", counted)
+    out = workflows.homology_vote(spark, q, [workflows.ReferenceSet("a", terms, fasta=r),
+                                             workflows.ReferenceSet("b", terms, fasta=r)], os.path.join(tmpdir_path, "out"))
+    out.count()
+    assert seen[q][1].value == seen[q][0]
+    assert seen[r][1].value == seen[r][0]  # of the second set; each has its own counter
+
+
 def test_embed_styles(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "seq.parquet")
     driver.seqs(spark, SF_SMALL).write.parquet(src)

@@ -40,8 +40,8 @@ from protea.llm.common import saved, ship, text_of
 TOKENIZER = "byte_bpe_50k.json"
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_WORDS = 60_000
-CACHED = 400_000          # words and pieces that a task remembers
-COUNTED = 400_000
+CACHED = 200_000          # words and pieces that a task remembers
+COUNTED = 300_000
 LEAST = 8                 # a word seen less often is not frequent
 SLICE_BYTES = 4 << 20
 LONG = 48

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from protea.llm.common import saved, ship
 from protea.llm.groups import components, map_runs, with_block_pairs
 
-WORDS_CACHED = 500_000
+WORDS_CACHED = 150_000
 U64 = np.uint64
 
 

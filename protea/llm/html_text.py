@@ -46,6 +46,7 @@ cookies copyright disqus footer header login masthead menu modal nav navbar navi
 pagination popup promo promoted related replies respond search share sharing sidebar signup skip social sponsor
 sponsored subscribe tags toolbar widget widgets""".split())
 ALWAYS_FURNITURE = set("ad ads advert advertisement comment comments disqus replies".split())
+NOT_FURNITURE = set("with without has no".split())  # "with-sidebar" is not a sidebar
 CONTENT_NAMES = set("article body content entry main post story text".split())
 FURNITURE_ROLES = set("alert banner complementary contentinfo dialog form navigation search".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -65,9 +66,15 @@ def is_furniture(tag: str, attrs: list, inside_article: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    names = set(re.split(r"[^a-z0-9]+", f"{a.get('class') or ''} {a.get('id') or ''}".lower()))
-    return bool(names & ALWAYS_FURNITURE) or (bool(names & FURNITURE_NAMES) and not names & CONTENT_NAMES
-                                              and tag != "article")
+    furniture = content = False
+    for name in re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", f"{a.get('class') or ''} {a.get('id') or ''}").lower().split():
+        parts = set(re.split(r"[^a-z0-9]+", name)) - {""}
+        if parts & ALWAYS_FURNITURE:
+            return True
+        if not parts & NOT_FURNITURE:
+            furniture = furniture or bool(parts & FURNITURE_NAMES)
+            content = content or (bool(parts) and parts <= CONTENT_NAMES)
+    return furniture and not content and tag != "article"
 
 
 class Line:

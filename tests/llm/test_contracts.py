@@ -382,6 +382,16 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_furniture_by_name():
+    body = "".join(f"<p>Paragraph {i} of the text itself, with words enough to count.</p>" for i in range(6))
+    want = "\n".join(f"Paragraph {i} of the text itself, with words enough to count." for i in range(6))
+    for wrap in ('<div class="content with-sidebar">', '<div id="mainContent">', '<div class="post-body">', "<main>"):
+        for junk in ("article-footer", "main-menu", "mainNav", "post-comments", "entry-share", "ad", "cookie_notice", "sidebar widget"):
+            tag = wrap[1:].split()[0].rstrip(">")
+            page = f'<body>{wrap}{body}<div class="{junk}"><p>Some words that do not belong here, at all, ever.</p></div></{tag}></body>'
+            assert html_text.main_text(page) == want, (wrap, junk)
+
+
 def test_pages_table(spark):
     import html as h
     import re

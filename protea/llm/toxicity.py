@@ -10,10 +10,12 @@ training fold is unlabelled, whatever its label says. With the class prior
 negative by memorising the positives; where it is negative, the step ascends
 it). Labels are learnt only from rows outside the held-out fold.
 
-Features are saturating rates: how many of each hundred words of the text are
-a given word, or begin with a given prefix of 4 to 6 letters, at most 1. They
-do not grow with the length of a text. Which features exist is decided from
-counts: a feature must be active (rate of half a per cent or more) in a share
+Features are saturating rates: the share of the text's words that are a given
+word, or begin with a given prefix of 4 to 6 letters, times ``PER``, at most 1.
+They do not grow with the length of a text; ``SMOOTH`` words that are nothing
+are added to each, so that one word of a short text says less than a habit of
+a long one. Which features exist is decided from counts: a feature must be
+active (half of full strength or more) in a share
 ``min_share`` of the positives, which bounds the candidates by texts' lengths
 and not by the size of the corpus, and the ``n_features`` with the highest
 likelihood ratio between the positives and *all* training texts are kept. Of
@@ -43,9 +45,10 @@ from protea.llm.common import ship, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+PER, SMOOTH = 150.0, 50
 ACTIVE = 0.5
 DEFAULTS = dict(n_features=512, min_share=0.01, n_models=4, max_positive=8_000,
-                max_unlabelled=24_000, l2=1e-4, steps=400, rate=0.1)
+                max_unlabelled=24_000, l2=2e-5, steps=400, rate=0.1)
 
 
 def word_features(word: str) -> list[str]:
@@ -53,14 +56,14 @@ def word_features(word: str) -> list[str]:
 
 
 def features(text: str | None) -> dict[str, float]:
-    """Feature -> rate per hundred words, at most 1."""
+    """Feature -> saturating rate."""
     counts = Counter(WORD.findall((text or "").lower()))
-    total = sum(counts.values())
+    scale = PER / (sum(counts.values()) + SMOOTH)
     found: Counter = Counter()
     for word, n in counts.items():
         for f in word_features(word):
             found[f] += n
-    return {k: min(1.0, 100.0 * n / total) for k, n in found.items()}
+    return {k: min(1.0, scale * n) for k, n in found.items()}
 
 
 class Known:
@@ -83,7 +86,7 @@ class Known:
                 ids = seen[word] = tuple(index[f] for f in word_features(word) if f in index)
             for i in ids:
                 found[i] = found.get(i, 0) + n
-        scale = 100.0 / max(1, sum(counts.values()))
+        scale = PER / (sum(counts.values()) + SMOOTH)
         return {i: min(1.0, scale * n) for i, n in found.items()}
 
 
@@ -95,7 +98,7 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = 1e-4,
+def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = 2e-5,
                steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """A linear scorer under the logistic loss and the clamped risk above."""
     prior = min(max(prior, 1e-4), 0.9)

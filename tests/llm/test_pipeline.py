@@ -51,3 +51,21 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, SF), "test-empty")
     assert docs.count() == 0
+
+
+def test_odd_documents(spark):
+    from test_contracts import ODD
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, kind int, _k1 string, spans string"
+    rows = [(i, t, None if i % 2 else "en", None, None if t is None else len(t), "r", 1, None, "s") for i, t in enumerate(ODD)]
+    rows += [rows[8], (None, "a row without an id", "en", "s", 19, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, saved(stage(spark, docs, SF), "test-odd")
+        assert name == "bpe" or docs.dtypes == before.dtypes
+        assert docs.where("doc_id is null").count() == 2  # nothing in them is toxic, a copy, or of the benchmark
+    texts = dict(enumerate(ODD))
+    last = {r.doc_id: r for r in docs.collect()}
+    assert all(r.lossless for r in last.values())
+    assert 8 in last and 9 not in last  # one of two equal texts stays
+    assert {0, 1, 2, 3} <= set(last)    # texts without words are linked with nothing
+    assert last[0].n_tokens == 0 and texts[0] is None

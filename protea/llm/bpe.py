@@ -40,10 +40,10 @@ from protea.llm.common import saved, ship, text_of
 TOKENIZER = "byte_bpe_50k.json"
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_WORDS = 60_000
-CACHED = 200_000          # words and pieces that a task remembers
-COUNTED = 300_000
+CACHED = 100_000          # words and pieces that a task remembers
+COUNTED = 150_000
 LEAST = 8                 # a word seen less often is not frequent
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LONG = 48
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without letters, digits and space
 NONE = 1 << 60
@@ -497,20 +497,25 @@ def build_lexicon(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXIC
     return name
 
 
-_CODECS: dict[tuple[str, str | None], Codec] = {}
+_VOCABULARIES: dict[str, Vocabulary] = {}
 
 
-def codec(tokenizer: str, lexicon: str | None) -> Codec:
+def vocabulary(tokenizer: str) -> Vocabulary:
     """One per Python worker, kept between its tasks."""
-    key = (tokenizer, lexicon)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(Vocabulary(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
-    return _CODECS[key]
+    if tokenizer not in _VOCABULARIES:
+        _VOCABULARIES.clear()
+        _VOCABULARIES[tokenizer] = Vocabulary(tokenizer)
+    return _VOCABULARIES[tokenizer]
 
 
-def _map_column(df: DataFrame, source: str, new: list[tuple[str, T.DataType, pa.DataType]], fn, drop: bool = False) -> DataFrame:
-    """Add columns computed from one column, slice by slice."""
+def codec(tokenizer: str, lexicon: str | None = None) -> Codec:
+    """A codec for one task: what it remembers goes with it."""
+    return Codec(vocabulary(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+
+
+def _map_column(df: DataFrame, source: str, new: list[tuple[str, T.DataType, pa.DataType]], start) -> DataFrame:
+    """Add columns computed from one column, slice by slice; ``start()`` gives
+    a task its function."""
     fields = [f for f in df.schema.fields if f.name not in {n for n, _, _ in new}]
     keep = [f.name for f in fields]
     out_schema = T.StructType([*fields, *(T.StructField(n, t) for n, t, _ in new)])
@@ -518,6 +523,7 @@ def _map_column(df: DataFrame, source: str, new: list[tuple[str, T.DataType, pa.
     names = [*keep, *(n for n, _, _ in new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = start()
         for batch in batches:
             for part in _slices(batch, at):
                 made = fn(part.column(at).to_pylist())
@@ -529,18 +535,22 @@ def _map_column(df: DataFrame, source: str, new: list[tuple[str, T.DataType, pa.
 
 def encode(docs: DataFrame, lexicon: str | None, tokenizer: str = TOKENIZER, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (little-endian unsigned 32-bit numbers) and n_tokens."""
-    def fn(texts):
-        ids = codec(tokenizer, lexicon).encode([t or "" for t in texts])
-        return [ids, [len(i) // 4 for i in ids]]
-    return _map_column(docs, text_col, [("ids", T.BinaryType(), pa.binary()), ("n_tokens", T.LongType(), pa.int64())], fn)
+    def start():
+        c = codec(tokenizer, lexicon)
+
+        def fn(texts):
+            ids = c.encode([t or "" for t in texts])
+            return [ids, [len(i) // 4 for i in ids]]
+        return fn
+    return _map_column(docs, text_col, [("ids", T.BinaryType(), pa.binary()), ("n_tokens", T.LongType(), pa.int64())], start)
 
 
 def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """A table with ids, with the column decoded."""
-    def fn(ids):
-        c = next((c for (t, _), c in _CODECS.items() if t == tokenizer), None) or codec(tokenizer, None)
-        return [[c.decode(i or b"") for i in ids]]
-    return _map_column(encoded, "ids", [("decoded", T.StringType(), pa.string())], fn)
+    def start():
+        c = codec(tokenizer)
+        return lambda ids: [[c.decode(i or b"") for i in ids]]
+    return _map_column(encoded, "ids", [("decoded", T.StringType(), pa.string())], start)
 
 
 def report(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_WORDS) -> DataFrame:

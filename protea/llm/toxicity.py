@@ -233,14 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, **params) -> Model:
              .where((F.lit(n_models) == 1) | (F.pmod(F.col("h"), F.lit(n_models)) != F.col("m"))))
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "h"]).reset_index(drop=True)
+        rows = rows.sort_values(["pos", "h"])  # the unlabelled first
         x = np.zeros((len(rows), width), np.float32)
         for r, (ids, vals) in enumerate(zip(rows["ids"], rows["vals"])):
             x[r, np.asarray(ids, dtype=int)] = vals
-        is_pos = rows["pos"].to_numpy() == 1
-        if not is_pos.any() or is_pos.all():
+        unl = int((rows["pos"] == 0).sum())
+        if unl in (0, len(rows)):
             return pd.DataFrame({"m": [int(key[0])], "w": [[]], "b": [0.0]})  # nothing to tell apart
-        w, b = train_nnpu(x[is_pos], x[~is_pos], prior, p["l2"], p["steps"], p["rate"])
+        w, b = train_nnpu(x[unl:], x[:unl], prior, p["l2"], p["steps"], p["rate"])
         return pd.DataFrame({"m": [int(key[0])], "w": [w.tolist()], "b": [b]})
 
     got = sorted(r for r in dealt.groupBy("m").applyInPandas(learn, "m int, w array<double>, b double").collect()

@@ -111,3 +111,34 @@ def clean(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text") -
 def report(docs: DataFrame) -> DataFrame:
     return clean(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, array_to_string(list_slice(w, s, s + 7), ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM d WHERE len(w) >= 8)),
+twin AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c >= 2),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM twin) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+judged AS (
+  SELECT doc_id, l, len(w) AS n,
+         20 * length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))
+         OR (len(w) < 5 AND NOT regexp_matches(l, '[.!?\x{2026}\x{3002}]["''\x{00BB}\x{201D})\]]*[\x20\x09-\x0D]*$'))
+         OR 5 * len([x for x in w if x IN ('|', chr(187), chr(8250), chr(8226), chr(183), '>', '/')]) >= len(w)
+         OR 3 * len([i for i in range(2, len(w) + 1) if w[i] = w[i - 1]]) >= len(w)
+         OR regexp_matches(l, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|licensed under|released under the|click here|subscribe to our|enable javascript|copyright (?:\(c\)|\x{00A9}|[0-9]{4})')
+         AS fails
+  FROM line WHERE len(w) > 0),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS dup, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost FROM judged GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+       length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+       coalesce(repeated.n, 0) AS n_repeat_words,
+       len(w) < 20 OR 100 * coalesce(repeated.n, 0) > 30 * len(w) AS base_failed,
+       NOT (len(w) < 20 OR 100 * coalesce(repeated.n, 0) > 30 * len(w)) AND coalesce(lost, 0) <= 0.5 * len(w) AS kept
+FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN repeated ON repeated.doc_id = d.doc_id
+"""

@@ -32,7 +32,7 @@ def op8(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-@_query("op6_minmax")
+@_query("op6_minmax", minmax.ORACLE)
 def op6(spark, sf_dir):
     return minmax.near_duplicates(read(spark, sf_dir, "documents"), threshold=0.85)
 
@@ -42,7 +42,7 @@ def op5(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@_query("op7_secrets")
+@_query("op7_secrets", secrets.ORACLE)
 def op7(spark, sf_dir):
     return secrets.report(read(spark, sf_dir, "documents"))
 
@@ -57,7 +57,7 @@ def op2(spark, sf_dir):
     return bpe.report(read(spark, sf_dir, "documents"))
 
 
-@_query("op3_quality")
+@_query("op3_quality", quality.ORACLE)
 def op3(spark, sf_dir):
     return quality.report(read(spark, sf_dir, "documents"))
 
@@ -67,7 +67,7 @@ def op9(spark, sf_dir):
     return token_counts.report(read(spark, sf_dir, "documents"))
 
 
-@_query("op4_warc")
+@_query("op4_warc", warc.ORACLE)
 def op4(spark, sf_dir):
     return warc.round_trip(read(spark, sf_dir, "pages"))
 

@@ -109,3 +109,45 @@ def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars"))
                              .otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+m1 AS (SELECT row, 1 AS o, 'assign' AS kind, regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS m, regexp_split_to_array(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS g FROM d
+       UNION ALL SELECT row, 2, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
+       UNION ALL SELECT row, 3, 'hex', regexp_extract_all(t, '[0-9a-f]{16,}'), regexp_split_to_array(t, '[0-9a-f]{16,}') FROM d
+       UNION ALL SELECT row, 4, 'ident', regexp_extract_all(t, '(?i:access_?key_?id|client_?id|user_?name|user|login|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._+-]{3,}'), regexp_split_to_array(t, '(?i:access_?key_?id|client_?id|user_?name|user|login|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._+-]{3,}') FROM d
+       UNION ALL SELECT row, 5, 'endpoint', regexp_extract_all(t, '(?i:https?|s3|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[A-Za-z0-9][^\x00-\x20"''<>]{3,}'), regexp_split_to_array(t, '(?i:https?|s3|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[A-Za-z0-9][^\x00-\x20"''<>]{3,}') FROM d
+       UNION ALL SELECT row, 6, 'opaque', regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}={0,2}'), regexp_split_to_array(t, '[A-Za-z0-9+/_-]{20,}={0,2}') FROM d),
+each AS (SELECT row, o, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM m1 WHERE len(m) > 0),
+placed AS (
+  SELECT row, o, kind, m[i] AS v,
+         list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS start
+  FROM each),
+valid AS (
+  SELECT row, o, kind, CAST(start AS BIGINT) AS start, CAST(start + length(v) AS BIGINT) AS stop FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(v, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12
+             WHEN 'access' THEN length(v) >= 18
+             WHEN 'opaque' THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+             ELSE true END),
+free AS (
+  SELECT * FROM valid v
+  WHERE o <= 3 OR NOT EXISTS (SELECT 1 FROM valid s WHERE s.row = v.row AND s.o <= 3 AND s.start < v.stop AND s.stop > v.start)),
+near AS (
+  SELECT a.row, a.o, a.kind, a.start, a.stop, bool_or(b.kind IN ('assign', 'hex', 'opaque')) AS secret,
+         bool_or(b.kind IN ('access', 'ident')) AS id, bool_or(b.kind = 'endpoint') AS place
+  FROM free a JOIN free b ON a.row = b.row AND b.start BETWEEN a.start - 200 AND a.start + 200
+  GROUP BY a.row, a.o, a.kind, a.start, a.stop),
+kept AS (
+  SELECT * FROM near
+  WHERE CASE kind WHEN 'opaque' THEN id OR place WHEN 'ident' THEN secret WHEN 'endpoint' THEN secret AND id ELSE true END),
+s AS (
+  SELECT row, count(*) FILTER (WHERE o = 1) AS n_assign, count(*) FILTER (WHERE o = 2) AS n_access,
+         count(*) FILTER (WHERE o = 3) AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (WHERE o <= 3) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans
+  FROM kept GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s ON s.row = d.row
+"""

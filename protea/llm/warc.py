@@ -227,3 +227,20 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     return read(spark, path, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper
+  FROM pages),
+letters AS (
+  SELECT page_id, keeper, html, i, CAST('0x' || substring(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) // CAST(power(32, 3 - i % 4) AS BIGINT) % 32 AS v
+  FROM p, range(32) AS r(i)),
+digest AS (
+  SELECT page_id, string_agg(substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS BIGINT), 1), '' ORDER BY i) AS payload_digest
+  FROM letters GROUP BY page_id)
+SELECT p.page_id, strlen(html) AS payload_bytes, payload_digest,
+       CASE WHEN p.page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM p JOIN digest ON digest.page_id = p.page_id
+"""

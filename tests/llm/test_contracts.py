@@ -451,6 +451,13 @@ def test_clamped_risk_ignores_hidden_positives():
     assert (score[:300] > 0.5).mean() > 0.9 and (score[300:] < 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracle_sql(spark, name):
+    from harness import compare
+    r = compare(spark, name, SF)
+    assert r["cols_match"] and r["spark_rows"] == r["oracle_rows"] and r["values_match"], r
+
+
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_")
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))

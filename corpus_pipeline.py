@@ -37,9 +37,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(docs, bpe.build_lexicon(docs))
-    back = bpe.decode(ids).withColumn("lossless", F.col("decoded") == F.coalesce("text", F.lit("")))
-    return back.drop("decoded", "text")
+    both = bpe.encode(docs, bpe.build_lexicon(docs), decoded=True)
+    return both.withColumn("lossless", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded", "text")
 
 
 STAGES = [

@@ -533,16 +533,21 @@ def _map_column(df: DataFrame, source: str, new: list[tuple[str, T.DataType, pa.
     return df.select(*keep).mapInArrow(run, out_schema)
 
 
-def encode(docs: DataFrame, lexicon: str | None, tokenizer: str = TOKENIZER, text_col: str = "text") -> DataFrame:
-    """``docs`` with ids (little-endian unsigned 32-bit numbers) and n_tokens."""
+def encode(docs: DataFrame, lexicon: str | None, tokenizer: str = TOKENIZER, text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """``docs`` with ids (little-endian unsigned 32-bit numbers) and n_tokens;
+    with ``decoded`` also what the ids decode to, in the same pass."""
+    new = [("ids", T.BinaryType(), pa.binary()), ("n_tokens", T.LongType(), pa.int64())]
+
     def start():
         c = codec(tokenizer, lexicon)
 
         def fn(texts):
             ids = c.encode([t or "" for t in texts])
-            return [ids, [len(i) // 4 for i in ids]]
+            out = [ids, [len(i) // 4 for i in ids]]
+            return [*out, [c.decode(i) for i in ids]] if decoded else out
         return fn
-    return _map_column(docs, text_col, [("ids", T.BinaryType(), pa.binary()), ("n_tokens", T.LongType(), pa.int64())], start)
+    return _map_column(docs, text_col, new + [("decoded", T.StringType(), pa.string())] * decoded, start)
 
 
 def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -555,6 +560,6 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def report(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_WORDS) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    ids = encode(docs, build_lexicon(docs, tokenizer, size), tokenizer).drop("text")
-    return decode(ids, tokenizer).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+    both = encode(docs, build_lexicon(docs, tokenizer, size), tokenizer, decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

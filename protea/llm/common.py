@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from protea import session
 from protea.session import saved, scratch_path
 
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:

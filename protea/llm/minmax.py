@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from protea.llm.common import saved, ship
 from protea.llm.groups import components, map_runs, with_block_pairs
 
-WORDS_CACHED = 150_000
+WORDS_CACHED = 50_000
 U64 = np.uint64
 
 
@@ -91,7 +91,7 @@ class Shingler:
 class Signer:
     """Set of hashes -> min-max signature and band keys."""
 
-    CHUNK = 1 << 13
+    CHUNK = 1 << 11
 
     def __init__(self, n_perm: int = 60, rows: int = 5):
         if n_perm % rows:

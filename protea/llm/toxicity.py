@@ -70,7 +70,7 @@ class Known:
     """The rates of given features only; what a word has of them is remembered
     for the last so many words."""
 
-    LIMIT = 50_000
+    LIMIT = 20_000
 
     def __init__(self, index: dict[str, int]):
         self.index, self.seen = index, {}

@@ -263,6 +263,13 @@ def test_encode_decode(spark, make):
     assert per_row(bpe.report(df), ["n_tokens", "ids_sha256", "decoded_sha256"]) == want
 
 
+def test_decode_is_an_operator_of_its_own(spark):
+    df, rows = odd_docs(spark)
+    ids = bpe.encode(df.drop("ids"), None)
+    back = {r.doc_id: r.decoded for r in bpe.decode(ids).collect()}
+    assert back == {i: t or "" for i, t in rows}
+
+
 def test_codec_random_texts(tmp_path):
     rng = random.Random(5)
     texts = ["".join(rng.choice(" \n\t'stre1a.é<|日 ") for _ in range(rng.randrange(60))) for _ in range(3000)]

@@ -122,7 +122,7 @@ def remove(docs: DataFrame, bench: DataFrame, n: int = N, spans_only: bool = Fal
            .groupBy("doc_id").agg(F.first("spans").alias("_hit_spans"))
            .select("doc_id.*", "_hit_spans"))
     if not spans_only:
-        return d.join(bad, keys, "left_anti").drop(*keys)
+        return d.join(bad.hint("shuffle_hash"), keys, "left_anti").drop(*keys)  # the texts need no sorting
     both = d.join(bad, keys, "left")
     parts = F.split(both["text"], ORIGINAL_WORDS, -1)
     found = F.regexp_extract_all(both["text"], F.lit(ORIGINAL_WORDS), F.lit(0))

@@ -19,7 +19,8 @@ Cases: a null or empty html is an empty payload; repeated rows are written each
 on its own, with those of the largest page_id as responses; rows without a
 page_id are revisits where their payload has a response, responses otherwise;
 a null url has no target line; an empty table writes archives without records;
-a file that is cut off gives the records before the cut; other columns are
+a file that is cut off gives the records before the cut, and one that goes on
+after a record with anything but a record is an error; other columns are
 ignored.
 """
 
@@ -39,7 +40,7 @@ from protea.llm.common import saved, scratch_path, ship
 CRLF = "\r\n"
 END = CRLF * 2
 RANGE = 16 << 20
-HEAD = 1 << 16  # a record head is no longer than this
+HEAD = 1 << 16  # read beyond a range at first, and doubled for a head that is longer
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2000-01-01T00:00:00Z"
@@ -105,18 +106,18 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
-def head_fields(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """The fields of a record head at ``at`` and the offset of its block."""
-    end = data.find(b"\r\n\r\n", at, at + HEAD)
-    if end < 0:
-        return None
+def head_fields(data: bytes, at: int, end: int) -> dict[bytes, bytes] | None:
+    """The fields of a record head at ``at`` that ends at ``end``."""
     fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    at = data.find(b"\r\n", at, end) + 2
+    while 2 <= at < end:
+        stop = data.find(b"\r\n", at, end)
+        name, colon, value = data[at:stop if stop >= 0 else end].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
-    return (fields, end + 4) if fields.get(b"content-length", b"").isdigit() else None
+        at = stop + 2
+    return fields if fields.get(b"content-length", b"").isdigit() else None
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,33 +125,39 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64()]
     for batch in batches:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[list] = [[] for _ in names]
             with open_file(path) as f:
                 f.seek(start)
-                data = f.read(RANGE + HEAD)
-            out: list[list] = [[] for _ in names]
-            for m in MAGIC.finditer(data, 0, RANGE + 10):
-                found = head_fields(data, m.start()) if m.start() < RANGE else None
-                if found is None:
-                    continue
-                fields, block = found
-                size = int(fields[b"content-length"])
-                if size >= 1 << 62:
-                    continue
-                text = [fields[k].decode("utf-8", "replace") if k in fields else None for k in
-                        (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")]
-                row = [path, start + m.start(), start + block + size + len(END), *text, start + block, size]
-                for c, v in zip(out, row):
-                    c.append(v)
+                data, ahead, end = f.read(RANGE + HEAD), HEAD, -1
+                for at in [m.start() for m in MAGIC.finditer(data, 0, RANGE + 10) if m.start() < RANGE]:
+                    if end < at:  # else the blank line found last is the next one here too
+                        end = data.find(b"\r\n\r\n", at)
+                    while end < 0 and (more := f.read(ahead)):
+                        seen, data, ahead = max(at, len(data) - 3), data + more, 2 * ahead
+                        end = data.find(b"\r\n\r\n", seen)
+                    if end < 0:
+                        break  # the file ends within the head
+                    fields = head_fields(data, at, end)
+                    if fields is None:
+                        continue
+                    block, size = end + len(END), int(fields[b"content-length"])
+                    if size >= 1 << 62:
+                        continue
+                    text = [fields[k].decode("utf-8", "replace") if k in fields else None for k in
+                            (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")]
+                    row = [path, start + at, start + block + size + len(END), *text, start + block, size]
+                    for c, v in zip(out, row):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
 
-def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Every place of the archives that reads like a record head, and the
-    number of byte ranges."""
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Path and length of the archives, every place of them that reads like a
+    record head, and the number of byte ranges."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE).cast("long"))).alias("start"))
     n = max(1, ranges.count())
-    return ranges.repartition(n).mapInArrow(_candidates, CANDIDATE), n
+    return files, ranges.repartition(n).mapInArrow(_candidates, CANDIDATE), n
 
 
 def reachable(cands: DataFrame) -> DataFrame:
@@ -169,6 +176,33 @@ def reachable(cands: DataFrame) -> DataFrame:
         jump = saved(jump.join(then, ["path", "nxt"]).select("path", "off", F.col("far").alias("nxt")), "warc-jump")
 
 
+def _broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bad = []
+        for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            with open_file(path) as f:
+                f.seek(at)
+                tail = f.read(HEAD)
+                cut = any(m.startswith(tail[:len(m)]) for m in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"))
+                while cut and tail:  # a head without its blank line is where the file was cut off
+                    cut = b"\r\n\r\n" not in tail
+                    more = f.read(RANGE)
+                    tail = more and tail[-3:] + more
+            bad.append(not cut)
+        yield batch.filter(pa.array(bad, pa.bool_()))
+
+
+def verify_ends(files: DataFrame, true: DataFrame) -> None:
+    """An error where a chain ends before its file for another reason than
+    that the file is cut off."""
+    ends = true.groupBy("path").agg(F.max("nxt").alias("last"))
+    short = files.join(ends, "path", "left").withColumn("last", F.coalesce("last", F.lit(0).cast("long"))) \
+                 .where("last < length").select("path", "last")
+    bad = short.mapInArrow(_broken, "path string, last long").first()
+    if bad:
+        raise ValueError(f"{bad['path']}: no WARC record at byte {bad['last']}, where one must begin")
+
+
 def page_number(uri: str | None) -> int | None:
     m = re.fullmatch(r"<urn:x-page:(-?[0-9]+)>", uri or "")
     return int(m[1]) if m else None
@@ -212,9 +246,10 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     """The records of the archives under ``path``: page_id, record_type,
     refers_to, payload_bytes, payload_digest and payload (null for revisits)."""
     ship(spark)
-    cands, n = candidates(spark, path)
+    files, cands, n = candidates(spark, path)
     cands = saved(cands, "warc-candidates")
     true = cands.join(reachable(cands), ["path", "off"], "left_semi")
+    verify_ends(files, true)
     dealt = true.repartition(n, "path", F.floor(F.col("off") / RANGE)).sortWithinPartitions("path", "off")
     return dealt.select(*[x.split()[0] for x in CANDIDATE.split(", ")]).mapInArrow(_records(with_payload), RECORD)
 

@@ -369,6 +369,33 @@ def test_cut_archive(spark, tmpdir_path):
     assert warc.read(spark, path).count() == 19
 
 
+def test_archive_heads_of_any_length(spark):
+    rows = [(i, "data:text/plain," + f"{i}" * 100_000 if i in (0, 2) else "u", f"page {i}") for i in range(5)]
+    rows.append((5, "u" * 1_000_000, "long"))
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(parts)
+        assert sorted(map(tuple, warc.round_trip(df).collect()), key=repr) == warc_rows(rows)
+
+
+@pytest.mark.parametrize("at,n", [(0, 0), (1, 2)])
+def test_broken_archive_is_an_error(spark, tmpdir_path, at, n):
+    import os
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{}>\r\nContent-Length: 7\r\n\r\nx\r\n\r\nab\r\n\r\n"
+    records = [head.format(i).encode() for i in range(3)]
+
+    def records_of(name, data):
+        os.makedirs(f"{tmpdir_path}/{name}")
+        with open(f"{tmpdir_path}/{name}/a.warc", "wb") as f:
+            f.write(data)
+        return warc.read(spark, f"{tmpdir_path}/{name}").count()
+    whole = b"".join(records)
+    assert records_of("whole", whole) == 3
+    assert records_of("cut", whole[:len(records[0]) * n + 30]) == n  # cut within a head
+    records[at] = records[at].replace(b"WARC/1.1", b"WARC+1.1")
+    with pytest.raises(ValueError, match="no WARC record at byte"):
+        records_of("broken", b"".join(records))
+
+
 # html
 
 def test_main_text():

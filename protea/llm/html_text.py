@@ -5,8 +5,9 @@ cut the page into lines; of each line the text, its number of tags, the text
 inside links and the container are kept. The text-to-tag ratio of each line is
 smoothed with a Gaussian over its neighbours, and lines above a threshold (the
 standard deviation of the smoothed ratios) form the clusters of content. The
-clusters choose the region: the article or main element that holds most of
-their text, or else the deepest container with ``MOST`` of it. A ratio cannot
+clusters choose the region: all outermost article and main elements and the
+containers of the clusters beside them, or, on a page without, the smallest
+container that holds all clusters. A ratio cannot
 tell a short paragraph of the article from an advert beside it, so within the
 region lines count by structure: all of them, but those in page furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) and list
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from protea.llm.common import ship
 
-SIGMA, RADIUS, MOST = 1.0, 2, 0.6
+SIGMA, RADIUS = 1.0, 2
 
 # fixed word lists
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
@@ -209,20 +210,15 @@ def clusters(lines: list[Line]) -> list[int]:
     return [i for i, x in enumerate(s) if x >= threshold and not lines[i].furniture]
 
 
-def region(page: PageLines, chosen: list[int]) -> int | None:
-    """The container of the content; None: the whole page."""
-    mass: dict[int, int] = {}
-    total = 0
-    for i in chosen:
-        n = len(page.lines[i].text)
-        total += n
-        for c in page.lines[i].path:
-            mass[c] = mass.get(c, 0) + n
-    articles = [c for c in page.articles if c in mass]
+def region(page: PageLines, chosen: list[int]) -> set[int] | None:
+    """The containers of the content; None: the whole page."""
+    paths = [page.lines[i].path for i in chosen]
+    articles = {next((c for c in x.path if c in page.articles), None) for x in page.lines if not x.furniture} - {None}
     if articles:
-        return max(articles, key=lambda c: (mass[c], -c))
-    deep = [c for c, n in mass.items() if n >= MOST * total]
-    return max(deep, default=None)  # a container's number is above those it lies in
+        beside = [p for p in paths if not articles.intersection(p)]
+        return articles.union(p[-1] for p in beside) if all(beside) else None
+    shared = [c[0] for c in zip(*paths) if len(set(c)) == 1]
+    return {shared[-1]} if shared else None
 
 
 def main_text(html: str | None) -> str:
@@ -235,7 +231,7 @@ def main_text(html: str | None) -> str:
     if not chosen:
         return ""
     where = region(page, chosen)
-    return "\n".join(x.text for x in page.lines if not x.furniture and (where is None or where in x.path)
+    return "\n".join(x.text for x in page.lines if not x.furniture and (where is None or where.intersection(x.path))
                      and not (x.item and x.linked >= len(x.text)))
 
 

@@ -426,6 +426,23 @@ def test_furniture_by_name():
             assert html_text.main_text(page) == want, (wrap, junk)
 
 
+def test_text_in_several_containers():
+    def part(name, n):
+        return [f"{name} paragraph {i} of the text itself, with words enough to count." for i in range(n)]
+
+    def marked(lines):
+        return "".join(f"<p>{x}</p>" for x in lines)
+    intro, body = part("First", 3), part("Second", 7)
+    nav = "<nav><ul><li><a href=x>Home</a></li></ul></nav>"
+    for left, right in (("<div>", "</div>"), ("<article>", "</article>"), ("<section>", "</section>")):
+        page = f"<body>{nav}{left}{marked(intro)}{right}{left}{marked(body)}{right}<footer><p>Some words of the owner here.</p></footer></body>"
+        assert html_text.main_text(page) == "\n".join(intro + body), left
+    page = f"<body>{nav}<div>{marked(body)}</div><article>{marked(intro)}</article></body>"
+    assert html_text.main_text(page) == "\n".join(body + intro)
+    page = f"<body>{nav}<article>{marked(body)}</article><article><p>Brief.</p></article></body>"
+    assert html_text.main_text(page) == "\n".join([*body, "Brief."])
+
+
 def test_pages_table(spark):
     import html as h
     import re

@@ -1,8 +1,8 @@
 """Main text of HTML pages from streaming parser events.
 
 The standard library's parser hands over tags and text one by one. Block tags
-cut the page into lines; of each line the text, its number of tags, the text
-inside links and the container are kept. The text-to-tag ratio of each line is
+cut the page into lines; of each line the text, its number of tags and the
+container are kept. The text-to-tag ratio of each line is
 smoothed with a Gaussian over its neighbours, and lines above a threshold (the
 standard deviation of the smoothed ratios) form the clusters of content. The
 clusters choose the region: all outermost article and main elements and the
@@ -10,8 +10,7 @@ containers of the clusters beside them, or, on a page without, the smallest
 container that holds all clusters. A ratio cannot
 tell a short paragraph of the article from an advert beside it, so within the
 region lines count by structure: all of them, but those in page furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) and list
-items that are nothing but a link.
+(menus, headers, footers, sidebars, notices, adverts, forms, comments).
 
 Cases: a null or empty page, or one without content, has an empty text; pages
 that end in the middle of a tag or reference, tags that are never closed or
@@ -48,6 +47,7 @@ pagination popup promo promoted related replies respond search share sharing sid
 sponsored subscribe tags toolbar widget widgets""".split())
 ALWAYS_FURNITURE = set("ad ads advert advertisement comment comments disqus replies".split())
 NOT_FURNITURE = set("with without has no".split())  # "with-sidebar" is not a sidebar
+STATE = re.compile(r"[^a-z0-9](open|closed)$")  # "comments-open" says something of the page
 CONTENT_NAMES = set("article body content entry main post story text".split())
 FURNITURE_ROLES = set("alert banner complementary contentinfo dialog form navigation search".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -55,7 +55,8 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 CONTAINERS = set("article body center div html main section table td tbody tr".split())
 
 
-def is_furniture(tag: str, attrs: list, inside_article: bool) -> bool:
+def is_furniture(tag: str, attrs: list, inside_article: bool, nested: bool = False) -> bool:
+    """``nested``: within an article element, where an article may be a comment."""
     if tag in FURNITURE:
         return True
     a = dict(attrs)
@@ -67,23 +68,23 @@ def is_furniture(tag: str, attrs: list, inside_article: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    furniture = content = False
+    always = furniture = content = False
     for name in re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", f"{a.get('class') or ''} {a.get('id') or ''}").lower().split():
         parts = set(re.split(r"[^a-z0-9]+", name)) - {""}
-        if parts & ALWAYS_FURNITURE:
-            return True
-        if not parts & NOT_FURNITURE:
+        if not parts & NOT_FURNITURE and not STATE.search(name):
+            always = always or bool(parts & ALWAYS_FURNITURE)
             furniture = furniture or bool(parts & FURNITURE_NAMES)
             content = content or (bool(parts) and parts <= CONTENT_NAMES)
-    return furniture and not content and tag != "article"
+    if tag == "article":
+        return always and nested
+    return always or (furniture and not content)
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "furniture", "path", "item")
+    __slots__ = ("text", "tags", "furniture", "path")
 
-    def __init__(self, text, tags, linked, furniture, path, item):
-        self.text, self.tags, self.linked = text, tags, linked
-        self.furniture, self.path, self.item = furniture, path, item
+    def __init__(self, text, tags, furniture, path):
+        self.text, self.tags, self.furniture, self.path = text, tags, furniture, path
 
 
 class PageLines(HTMLParser):
@@ -96,25 +97,19 @@ class PageLines(HTMLParser):
         self.articles: set[int] = set()
         self.count = 0
         self.parts: list[str] = []
-        self.linked: list[str] = []
-        self.tags = self.in_link = 0
+        self.tags = 0
         self.path: tuple[int, ...] = ()
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             furniture = bool(self.open) and self.open[-1][1]
-            item = any(t == "li" for t, _, _ in self.open)
-            linked = len(" ".join("".join(self.linked).split()))
-            self.lines.append(Line(text, self.tags, linked, furniture, self.path, item))
+            self.lines.append(Line(text, self.tags, furniture, self.path))
             self.tags = 0
-        self.parts, self.linked = [], []
+        self.parts = []
 
     def pop(self, n: int) -> None:
         """Close the elements from position n."""
-        for tag, _, _ in self.open[n:]:
-            if tag == "a":
-                self.in_link = max(0, self.in_link - 1)
         del self.open[n:]
         self.path = tuple(c for _, _, c in self.open if c >= 0)
 
@@ -136,15 +131,14 @@ class PageLines(HTMLParser):
                 if t in BLOCKS:
                     break
         furniture = bool(self.open) and self.open[-1][1]
-        furniture = furniture or is_furniture(tag, attrs, any(c in self.articles for c in self.path))
+        furniture = furniture or is_furniture(tag, attrs, any(c in self.articles for c in self.path),
+                                              any(t == "article" for t, _, _ in self.open))
         number = -1
         if tag in CONTAINERS:
             number = self.count
             self.count += 1
             if tag in ("article", "main") and not furniture:
                 self.articles.add(number)
-        if tag == "a":
-            self.in_link += 1
         self.open.append((tag, furniture, number))
         if number >= 0:
             self.path += (number,)
@@ -168,8 +162,6 @@ class PageLines(HTMLParser):
         if self.open and self.open[-1][0] in ("script", "style"):
             return
         self.parts.append(data)
-        if self.in_link:
-            self.linked.append(data)
 
     def parse_marked_section(self, i, report=1):
         end = self.rawdata.find(">", i)
@@ -231,8 +223,7 @@ def main_text(html: str | None) -> str:
     if not chosen:
         return ""
     where = region(page, chosen)
-    return "\n".join(x.text for x in page.lines if not x.furniture and (where is None or where.intersection(x.path))
-                     and not (x.item and x.linked >= len(x.text)))
+    return "\n".join(x.text for x in page.lines if not x.furniture and (where is None or where.intersection(x.path)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

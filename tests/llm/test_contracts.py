@@ -443,6 +443,28 @@ def test_text_in_several_containers():
     assert html_text.main_text(page) == "\n".join([*body, "Brief."])
 
 
+def test_names_that_say_what_a_page_has():
+    lines = [f"Paragraph {i} of the text itself, with words enough to count." for i in range(6)]
+    body, want = "".join(f"<p>{x}</p>" for x in lines), "\n".join(lines)
+    for name in ("no-ads", "has-comments", "with-comments", "comments-open", "post comments-closed"):
+        for tag in ("article", "div"):
+            assert html_text.main_text(f'<body><{tag} class="{name}">{body}</{tag}></body>') == want, (name, tag)
+            assert html_text.main_text(f'<body><{tag} class="{name}"><article>{body}</article></{tag}></body>') == want, (name, tag)
+    assert html_text.main_text(f'<body><article class="ads">{body}</article></body>') == want
+    comment = '<article class="comment"><p>I disagree with all of this, at length.</p></article>'
+    assert html_text.main_text(f"<body><article>{body}{comment}</article></body>") == want
+
+
+def test_lists_of_links_in_the_text():
+    lines = [f"Paragraph {i} of the text itself, with words enough to count." for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    links = "<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>"
+    menu = f"<nav>{links}</nav><div class=menu>{links}</div>"
+    for tag in ("article", "main", "div"):
+        page = f"<body>{menu}<{tag}>{body}{links}</{tag}><footer>{links}</footer></body>"
+        assert html_text.main_text(page) == "\n".join([*lines, "First source", "Second source"]), tag
+
+
 def test_pages_table(spark):
     import html as h
     import re

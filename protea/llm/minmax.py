@@ -24,8 +24,10 @@ probability of 8e-7, at 0.8 of 7e-5.
 Cases: a null or empty text, or one of white space only, has no shingles, is
 linked with nothing and is its own component; a text with fewer than k words
 is one shingle; repeated rows and ties are one class; a row without an id is
-linked with nothing, gets a null component and is kept; an empty table gives
-an empty result; other columns of the input are ignored.
+linked with nothing, gets a null component and is kept; rows that repeat an id
+with other texts are judged each by its own text, and a component is named by
+the smallest id in it; an empty table gives an empty result; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protea.llm.common import saved, ship
@@ -132,7 +134,7 @@ def agree_least(threshold: float, values: int) -> float:
     return max(0.0, threshold - 6 * math.sqrt(threshold * (1 - threshold) / values))
 
 
-SIGNED = "id long, n_shingles long, d1 long, d2 long, keys array<long>, sig binary"
+SIGNED = "id long, n_shingles long, d1 long, d2 long, keys array<long>, sig binary, t1 long, t2 long"
 
 
 def _sign(k: int, n_perm: int, rows: int):
@@ -150,9 +152,10 @@ def _sign(k: int, n_perm: int, rows: int):
                 for c, v in zip(out, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                                                      pa.list_(pa.int64()), pa.binary()))],
-                ["id", "n_shingles", "d1", "d2", "keys", "sig"])
+                [*[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(),
+                                                        pa.list_(pa.int64()), pa.binary()))],
+                 batch.column(2), batch.column(3)],
+                ["id", "n_shingles", "d1", "d2", "keys", "sig", "t1", "t2"])
     return run
 
 
@@ -181,17 +184,17 @@ def _coarse(threshold: float, values: int):
     pct = round(100 * threshold)
 
     def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        reps = table.column("rep").to_numpy()
+        nodes = table.column("node").to_numpy()
         size = table.column("n_shingles").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, values)
         width = np.diff(bounds)
         two = bounds[:-1][width == 2]
-        ok = (reps[two] != reps[two + 1])
+        ok = (nodes[two] != nodes[two + 1])
         ok &= 100 * np.minimum(size[two], size[two + 1]) >= pct * np.maximum(size[two], size[two + 1])
         ok &= (sig[two] == sig[two + 1]).sum(axis=1) >= least
-        a, b = [reps[two[ok]]], [reps[two[ok] + 1]]
+        a, b = [nodes[two[ok]]], [nodes[two[ok] + 1]]
         for s, e in zip(bounds[:-1][width > 2], bounds[1:][width > 2]):
-            _, at = np.unique(reps[s:e], return_index=True)
+            _, at = np.unique(nodes[s:e], return_index=True)
             at = at + s
             m, n = sig[at], size[at]
 
@@ -202,8 +205,8 @@ def _coarse(threshold: float, values: int):
             got = list(_forest(len(at), near))
             if got:
                 i, j = np.array(got).T
-                a.append(reps[at[i]])
-                b.append(reps[at[j]])
+                a.append(nodes[at[i]])
+                b.append(nodes[at[j]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
     return run
 
@@ -213,7 +216,7 @@ def _confirm(threshold: float, values: int):
     pct = round(100 * threshold)
 
     def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        reps = table.column("rep").to_numpy()
+        nodes = table.column("node").to_numpy()
         raw, raw_sig = table.column("hashes"), table.column("sig")
         a: list = []
         b: list = []
@@ -234,9 +237,9 @@ def _confirm(threshold: float, values: int):
                     hit.append(100 * common >= pct * (n[i] + n[j] - common))
                 return others[np.array(hit, bool)]
             for i, j in _forest(e - s, near):
-                if reps[s + i] != reps[s + j]:
-                    a.append(reps[s + i])
-                    b.append(reps[s + j])
+                if nodes[s + i] != nodes[s + j]:
+                    a.append(nodes[s + i])
+                    b.append(nodes[s + j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
@@ -245,45 +248,49 @@ def _sets(k: int, n_perm: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(k), Signer(n_perm, rows)
         for batch in batches:
-            hashes, sigs, keep = [], [], []
-            d1, d2 = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for r, t in enumerate(batch.column(1)):
+            hashes, sigs = [], []
+            for t in batch.column(1):
                 h = shingle(t.as_py())
-                if len(h) and digest(h) == (d1[r], d2[r]):  # else another row with the same id
-                    keep.append(r)
-                    hashes.append(h.tobytes())
-                    sigs.append(sign.short(sign(h)))
-            kept = batch.take(pa.array(keep, pa.int64()))
+                hashes.append(h.tobytes())
+                sigs.append(sign.short(sign(h)))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(4), kept.column(5), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())],
-                ["rep", "grp", "n", "hashes", "sig"])
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())],
+                ["node", "grp", "n", "hashes", "sig"])
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_perm: int = 60, rows: int = 5,
-                    block: int = 1024, set_block: int = 256, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links of
-    ``threshold`` similarity or more) and kept, for every row of ``docs``.
-    ``id_col`` must hold integers."""
+def text_digest(text: Column) -> list[Column]:
+    """128 bits of a text, null as the empty text."""
+    content = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(content), F.xxhash64(F.lit(1), content)]
+
+
+def _grouped(docs: DataFrame, threshold: float, k: int, n_perm: int, rows: int, block: int, set_block: int,
+             id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and per class (d1, d2): the row (rep, t1, t2) that
+    stands for it, component_id, and whether the class ``leads`` its component."""
     ship(docs.sparkSession)
     values = 2 * n_perm
+    t1, t2 = text_digest(docs[text_col])
     texts = docs.select(docs[id_col].cast("long").alias("id"),
-                        docs[text_col].cast("string").cast("binary").alias("text"))
+                        docs[text_col].cast("string").cast("binary").alias("text"), t1.alias("t1"), t2.alias("t2"))
     signed = saved(texts.mapInArrow(_sign(k, n_perm, rows), SIGNED), "signed")
     full = signed.where("d1 is not null")
 
-    # classes of equal sets; the smallest id stands for the class
-    classes = saved(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"], "left_semi") \
-               .withColumnRenamed("id", "rep")
+    # classes of equal sets; the smallest id, and of its texts the one of the
+    # smallest digest, stands for the class. An id may stand for several, so
+    # they are numbered; the written table fixes the numbers
+    first = full.groupBy("d1", "d2").agg(F.min(F.struct("id", "t1", "t2")).alias("f"))
+    classes = saved(first.select("d1", "d2", F.col("f.id").alias("rep"), "f.t1", "f.t2")
+                    .withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = full.withColumnRenamed("id", "rep").join(classes, ["d1", "d2", "rep", "t1", "t2"])
 
     # buckets with two classes or more
-    banded = reps.select("rep", F.explode("keys").alias("key"))
+    banded = reps.select("node", F.explode("keys").alias("key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = banded.join(crowded, "key").join(reps.select("rep", "n_shingles", "sig"), "rep")
-    pairs = with_block_pairs(members, "key", "rep", "members", block) \
-        .select("key", "bi", "bj", "rep", "n_shingles", "sig")
+    members = banded.join(crowded, "key").join(reps.select("node", "n_shingles", "sig"), "node")
+    pairs = with_block_pairs(members, "key", "node", "members", block) \
+        .select("key", "bi", "bj", "node", "n_shingles", "sig")
     edges = saved(map_runs(pairs, ["key", "bi", "bj"], _coarse(threshold, values), "a long, b long").distinct(),
                   "coarse")
 
@@ -291,34 +298,57 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_perm:
     roots = components(edges)
     groups = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("n"))
-    grouped = groups.join(sizes, "root").join(classes, groups["node"] == classes["rep"]) \
-                    .select("rep", "d1", "d2", F.col("root").alias("grp"), "n")
-    with_text = texts.withColumnRenamed("id", "rep").join(grouped.hint("shuffle_hash"), "rep") \
-                     .select("rep", "text", "d1", "d2", "grp", "n")
-    sets = with_text.mapInArrow(_sets(k, n_perm, rows), "rep long, grp long, n long, hashes binary, sig binary")
-    links = saved(map_runs(with_block_pairs(sets, "grp", "rep", "n", set_block), ["grp", "bi", "bj"],
+    grouped = groups.join(sizes, "root").join(classes, "node") \
+                    .select("node", F.col("rep").alias("id"), "t1", "t2", F.col("root").alias("grp"), "n")
+    with_text = texts.join(grouped.hint("shuffle_hash"), ["id", "t1", "t2"]).select("node", "text", "grp", "n")
+    sets = with_text.mapInArrow(_sets(k, n_perm, rows), "node long, grp long, n long, hashes binary, sig binary")
+    links = saved(map_runs(with_block_pairs(sets, "grp", "node", "n", set_block), ["grp", "bi", "bj"],
                            _confirm(threshold, values), "a long, b long").distinct(), "links")
 
+    # a component is named by its smallest id, which its leading class has
     linked = components(links)
-    comp = classes.join(linked, classes["rep"] == linked["node"], "left") \
-                  .select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
-    out = full.select("id", "n_shingles", "d1", "d2").join(comp, ["d1", "d2"], "left") \
-              .select("id", "n_shingles", "component_id")
+    nodes = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    lead = nodes.join(classes, "node").groupBy("root").agg(F.min(F.struct("rep", "d1", "d2")).alias("lead"))
+    comp = classes.join(nodes.join(lead, "root").select("node", "lead"), "node", "left").select(
+        "d1", "d2", "rep", "t1", "t2", F.coalesce("lead.rep", "rep").alias("component_id"),
+        (F.col("lead").isNull() | (F.col("lead") == F.struct("rep", "d1", "d2"))).alias("leads"))
+    return signed, comp
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_perm: int = 60, rows: int = 5,
+                    block: int = 1024, set_block: int = 256, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links of
+    ``threshold`` similarity or more) and kept, for every row of ``docs``.
+    ``id_col`` must hold integers."""
+    signed, comp = _grouped(docs, threshold, k, n_perm, rows, block, set_block, id_col, text_col)
+    out = signed.where("d1 is not null").select("id", "n_shingles", "d1", "d2") \
+                .join(comp.select("d1", "d2", "component_id"), ["d1", "d2"], "left") \
+                .select("id", "n_shingles", "component_id")
     alone = signed.where("d1 is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id",
         (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", **params) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id, and of
-    rows that repeat that id any one. Rows without an id all stay."""
-    keep = (near_duplicates(docs, threshold, id_col=id_col, **params).where("kept and doc_id is not null")
-            .select(F.col("doc_id").alias(id_col)).distinct())
-    name = "_copy" + "_" * sum(c.startswith("_copy") for c in docs.columns)
-    order = Window.partitionBy(id_col).orderBy(id_col)  # as the join has dealt and sorted the rows
-    one = (docs.withColumn(id_col, F.col(id_col).cast("long")).join(keep, id_col)
-           .withColumn(name, F.row_number().over(order)).where(F.col(name) == 1))
+def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_perm: int = 60, rows: int = 5,
+                            block: int = 1024, set_block: int = 256, id_col: str = "doc_id",
+                            text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, of its
+    texts that of the smallest digests, and of rows that repeat both the first
+    by their other columns. Rows without an id all stay."""
+    signed, comp = _grouped(docs, threshold, k, n_perm, rows, block, set_block, id_col, text_col)
+    alone = signed.where("d1 is null and id is not null").select("id", "t1", "t2").distinct()
+    names = [name + "_" * sum(c.startswith(name) for c in docs.columns) for name in ("_copy", "_k1", "_k2")]
+    name, *keys = names
+    keep = (comp.where("leads").select(F.col("rep").alias("id"), "t1", "t2").unionByName(alone)
+            .toDF(id_col, *keys))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    same = Window.partitionBy(id_col, *keys).orderBy(order)  # as the join has dealt the rows
+    one = (docs.withColumns({id_col: F.col(id_col).cast("long")} | dict(zip(keys, text_digest(docs[text_col]))))
+           .join(keep.hint("shuffle_hash"), [id_col, *keys])
+           .withColumn(name, F.row_number().over(same)).where(F.col(name) == 1))
     return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 

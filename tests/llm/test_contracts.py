@@ -233,6 +233,23 @@ def test_near_duplicates_odd(spark):
     assert stays.where("doc_id is null").count() == 1
 
 
+def test_one_id_with_two_texts(spark):
+    def text(seed, n=60):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    near_3 = text(1) + " tail"
+    rows = [(3, text(1), "a"), (5, text(1), "a"), (5, text(2), "b"), (5, text(2), "a"), (6, text(2) + " end", "a"),
+            (7, near_3, "a"), (7, text(4), "a"), (7, text(4) + " end", "a"), (8, text(5), "a"), (8, text(6), "a"), (9, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax.near_duplicates(df, 0.85).collect())
+    assert got == [(3, 56, 3, True), (5, 56, 3, False), (5, 56, 5, True), (5, 56, 5, True), (6, 57, 5, False),
+                   (7, 56, 7, True), (7, 57, 3, False), (7, 57, 7, True), (8, 56, 8, True), (8, 56, 8, True), (9, 0, 9, True)]
+    stays = {tuple(r) for r in minmax.without_near_duplicates(df, 0.85).collect()}
+    one_of_7 = stays & {(7, text(4), "a"), (7, text(4) + " end", "a")}
+    assert len(one_of_7) == 1
+    assert stays - one_of_7 == {(3, text(1), "a"), (5, text(2), "a"), (8, text(5), "a"), (8, text(6), "a"), (9, "", "a")}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     sign = minmax.Signer()

@@ -18,8 +18,8 @@ a long one. Which features exist is decided from counts: a feature must be
 active (half of full strength or more) in a share
 ``min_share`` of the positives, which bounds the candidates by texts' lengths
 and not by the size of the corpus, and the ``n_features`` with the highest
-likelihood ratio between the positives and *all* training texts are kept. Of
-the confirmed toxic rows at most ``max_positive`` are used, picked by hash.
+likelihood ratio between *all* positives and *all* training texts are kept. Of
+the confirmed toxic rows at most ``max_positive`` are fitted, picked by hash.
 
 Cases: a null or empty text has no features and gets the score of the bias;
 with no confirmed toxic row in the training fold, or too few texts to choose a
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protea.llm.common import ship, text_of
+from protea.llm.common import saved, ship, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -184,10 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, **params) -> Model:
         return Model([], np.zeros((0, 0)), np.zeros(0))
     prior = sizes["p"] / sizes["n"]
     base = docs.select("doc_id", text_of(docs).alias("text")).where(~held_out(F.col("doc_id")))
+    # saved, so that its size is known when the join is planned
+    toxic_ids = saved(lab.where("toxic = 1").select("doc_id"), "toxic-ids")
+    all_pos = base.join(toxic_ids, "doc_id", "left_semi").withColumn("pos", F.lit(1))
+    n_pos = all_pos.count()
     # a bounded sample of the labelled rows, so it may be broadcast
-    pos_ids = (lab.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p["max_positive"]).select("doc_id"))
+    pos_ids = (toxic_ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p["max_positive"]))
     pos = base.join(F.broadcast(pos_ids), "doc_id", "left_semi").withColumn("pos", F.lit(1))
-    n_pos = pos.count()
     if not n_pos:
         return Model([], np.zeros((0, 0)), np.zeros(0))
 
@@ -195,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, **params) -> Model:
     # driver lists is bounded by the parameters, not by the corpus
     support = max(2, math.ceil(p["min_share"] * n_pos))
     candidates = {r["feature"]: r["n_pos"] for r in
-                  _summed(pos).where(F.col("n_pos") >= support).toLocalIterator()}
+                  _summed(all_pos).where(F.col("n_pos") >= support).toLocalIterator()}
     allowed = sc.broadcast(sorted(candidates))
     unl = base.withColumn("pos", F.lit(0))
     n_unl = base.count()

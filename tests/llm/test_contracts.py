@@ -519,6 +519,12 @@ def test_toxicity_uses_no_held_out_label(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in a.items())
 
 
+def test_features_are_counted_over_all_positives(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    few, every = (toxicity.fit(docs, labels, max_positive=n, steps=5).known.index for n in (3, 8_000))
+    assert few and few == every
+
+
 def test_toxicity_odd(spark):
     df, rows = odd_docs(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -3,7 +3,8 @@
 Strong patterns (an assignment, an access identifier, a long hexadecimal run)
 are reported wherever they occur. Weak parts say little alone: a name or
 account assignment, an endpoint, an opaque token. They are interval-joined
-within a scope of ``SCOPE`` code points around each part, and reported only
+within a scope of ``SCOPE`` code points before and after each part, whatever
+the parts' lengths, and reported only
 where complementary parts meet there: a token with an identifier or endpoint
 beside it, an identifier with a secret beside it, an endpoint with both. The
 join only asks whether a partner exists, so it runs as range windows over a
@@ -62,10 +63,12 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
              .withColumn("_over", (F.coalesce("_end", F.lit(0)) > F.col("start"))
                          | (F.coalesce(F.col("_next") < F.col("stop"), F.lit(False)))))
     found = found.where(kind.isNull() | base | ~F.col("_over")).drop("_end", "_next", "_over")
-    around = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
 
     def near(*kinds: str) -> Column:
-        return F.max(kind.isin(*kinds)).over(around)
+        # at most ``scope`` between the end of the one and the start of the other
+        part = kind.isin(*kinds)
+        return (F.coalesce(F.max(F.when(part, F.col("stop"))).over(at_or_before) >= F.col("start") - scope, F.lit(False))
+                | F.coalesce(F.min(F.when(part, F.col("start"))).over(later) <= F.col("stop") + scope, F.lit(False)))
     found = (found.withColumn("_secret", near("assign", "hex", "opaque"))
              .withColumn("_id", near("access", "ident")).withColumn("_place", near("endpoint")))
     linked = (F.when(kind == "opaque", F.col("_id") | F.col("_place"))

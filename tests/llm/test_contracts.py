@@ -116,6 +116,18 @@ def test_weak_secrets_need_their_complements(spark):
     assert all(k in got[3] for k in ("opaque", "ident", "endpoint"))
 
 
+def test_long_secrets_are_linked(spark):
+    token = "aB3dE5gH7j" * 30
+    rows = [(0, f"{token} user=me42 then"), (1, f"user=me42 {token}"), (2, f"https://h.example/{'p/' * 200} user=me42 {token} x"),
+            (3, f"{token} {'far ' * 60}user=me42"), (4, f"{token} {'by ' * 60}https://h.example/v1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    assert got[0] == "opaque:0:300,ident:301:310" and got[1] == "ident:0:9,opaque:10:310"
+    assert all(k in got[2] for k in ("opaque", "ident", "endpoint"))
+    assert got[3] == "" and got[4] == "opaque:0:300"
+    assert not any(token in r.text for r in secrets.without_secrets(df).collect() if r.doc_id != 3)
+
+
 def test_redaction(spark):
     df, rows = odd_docs(spark)
     out = secrets.without_secrets(df)

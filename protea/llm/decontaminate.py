@@ -15,7 +15,8 @@ lower-casing A to Z.
 
 Cases: a null or empty text has no words and is never contaminated; repeated
 rows of ``docs`` are judged each on its own, also where ids repeat or are null;
-repeated items count once per item_id; items with a null id or without words
+repeated items count once per item_id; items with a null id hit as others do,
+have no name in the list of items and count there as one; items without words
 are ignored; an empty table on either side gives no hits; ``remove`` keeps
 every other column of its input as it is.
 """
@@ -41,13 +42,13 @@ def words(text: Column) -> Column:
 def windows(bench: DataFrame, n: int = N) -> DataFrame:
     """One row per distinct window: anchor (its longest word), offset of the
     anchor, length, the window's words joined by spaces, and its items."""
-    w = (bench.where(F.col("item_id").isNotNull())
-         .select(F.col("item_id").cast("string").alias("item"), words(text_of(bench)).alias("w"))
+    w = (bench.select(F.col("item_id").cast("string").alias("item"), words(text_of(bench)).alias("w"))
          .where(F.size("w") > 0))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
     each = w.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), n).alias("w"))
     longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
-    return (each.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return (each.groupBy("w")
+            .agg(F.sort_array(F.collect_set(F.struct("item"))["item"]).alias("items"))  # with null, in a struct
             .select("w", "items", longest.alias("anchor"))
             .select("anchor", (F.array_position("w", F.col("anchor")) - 1).cast("int").alias("offset"),
                     F.size("w").alias("len"), F.array_join("w", " ").alias("window"), "items"))

@@ -176,6 +176,16 @@ def test_windows(spark, broadcast_mb):
     assert judged(spark, rows, BENCH, broadcast_mb=broadcast_mb) == sorted(brute.contamination(rows, BENCH), key=repr)
 
 
+@pytest.mark.parametrize("broadcast_mb", [64, 0])
+def test_benchmark_items_without_an_id(spark, broadcast_mb):
+    rows = [(0, "a short item here"), (1, "another passage"), (2, "short item here and another passage"), (3, "none of it")]
+    bench = [(None, "Short ITEM here"), (None, "another passage"), (7, "another passage")]
+    # as the SQL counts: the items without an id are one, and have no name
+    assert judged(spark, rows, bench, broadcast_mb=broadcast_mb) == [
+        (0, 4, 3, 1, brute.sha(""), True), (1, 2, 2, 2, brute.sha("7"), True), (2, 6, 5, 2, brute.sha("7"), True),
+        (3, 3, 0, 0, brute.sha(""), False)]
+
+
 def test_decontaminate_table(spark):
     _, rows = documents(spark)
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from harness import compare, duck
 
 ORACLE_KEYS = sorted(k for k in E.oracle_sql() if not k.startswith("op"))  # tests/llm has the others

@@ -4,7 +4,7 @@ and results invariant under repartitioning."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _plan(df):

@@ -4,7 +4,7 @@ import os
 
 import numpy as np
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from protea.operators import score
 from protea.streaming import start_prediction_stream
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from conftest import SF_ORACLE
+from paths import SF_ORACLE
 from protea.operators import boost, mlp, score
 from protea.plans import training_q
 

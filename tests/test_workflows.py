@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from protea.plans import workflows
 from protea.sources import driver, fasta
 

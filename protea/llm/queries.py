@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protea.llm import (bpe, decontaminate, html_text, minmax, pii, quality, secrets, token_counts, toxicity,
-                        warc)
+from protea.llm import (bpe, decontaminate, html_text, minmax, pieces, pii, prefix_trie, quality, runs, secrets,
+                        token_counts, toxicity, warc)
 from protea.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,18 @@ def op4(spark, sf_dir):
 @_query("op10_html_text")
 def op10(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@_query("op11_runs")
+def op11(spark, sf_dir):
+    return runs.report(read(spark, sf_dir, "documents"))
+
+
+@_query("op12_pieces")
+def op12(spark, sf_dir):
+    return pieces.report(read(spark, sf_dir, "documents"))
+
+
+@_query("op13_prefix_trie")
+def op13(spark, sf_dir):
+    return prefix_trie.report(read(spark, sf_dir, "conversations"))

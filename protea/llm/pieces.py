@@ -8,10 +8,10 @@ above all), and each chunk is segmented on its own. Three steps:
    its distinct chunks; each text becomes the row of its chunks' numbers. Both
    kinds of rows go to one table in the shared folder, bucketed by block.
 2. The distinct chunks of the blocks meet by chunk (one shuffle, of a row per
-   block and chunk). Each is segmented once, by the library, and its ids and
-   the text they decode to go back to the blocks that have it.
-3. Each block joins them to its rows of numbers by position. The texts' side is
-   bucketed and is not shuffled.
+   block and chunk). Each is segmented once, by the library, and its ids go
+   back to the blocks that have it.
+3. Each block joins them to its rows of numbers by position, and what the ids
+   decode to likewise. The texts' side is bucketed and is not shuffled.
 
 A frequent chunk has a row per block at most, never one per occurrence. The
 largest group is a block.
@@ -69,6 +69,7 @@ class Pieces:
         # that the marker that the library puts in front does not touch it
         self.guard = next(c for c in map(chr, range(10, 0x3000)) if c not in letters)
         self.guard_ids = len(self.library.encode(self.guard))
+        self.wide = "<u2" if self.library.get_piece_size() <= 1 << 16 else "<u4"
         self.number = np.zeros(0x110000, np.int32)
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         k = len(letters) + 1
@@ -88,17 +89,20 @@ class Pieces:
         ends = (np.flatnonzero(~self.joined[at[:-1], at[1:]]) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
-    def segment(self, chunks: list[str]) -> tuple[list[str], list[str]]:
-        """Ids of each chunk (decimal, joined by a space), and what they decode to."""
-        if not self.cuts:
-            ids = self.library.encode(chunks, num_threads=1)
-            return [" ".join(map(str, x)) for x in ids], self.library.decode(ids, num_threads=1) if ids else []
-        g = self.guard
-        ids = self.library.encode([g + c for c in chunks], num_threads=1)
-        decoded = self.library.decode(ids, num_threads=1) if ids else []
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, as numbers of ``self.wide``."""
+        g, skip = (self.guard, self.guard_ids) if self.cuts else ("", 0)
+        return [np.array(x[skip:], self.wide).tobytes() for x in self.library.encode([g + c for c in chunks], num_threads=1)]
+
+    def texts(self, ids: list[bytes]) -> tuple[list[str], list[str]]:
+        """Ids of each chunk as text, and what they decode to."""
+        lists = [np.frombuffer(x, self.wide).tolist() for x in ids]
+        g = self.guard if self.cuts else ""
+        before = self.library.encode(g)
+        decoded = self.library.decode([before + x for x in lists], num_threads=1) if lists else []
         if any(not d.startswith(g) for d in decoded):
             raise ValueError("a chunk does not decode after its guard")
-        return [" ".join(map(str, x[self.guard_ids:])) for x in ids], [d[len(g):] for d in decoded]
+        return [" ".join(map(str, x)) for x in lists], [d[len(g):] for d in decoded]
 
     def whole(self, decoded: str) -> str:
         """A text joined from its chunks, without the space in front."""
@@ -164,18 +168,17 @@ def _segment(model: str):
     """Rows sorted by chunk: each distinct chunk is segmented once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        before: tuple[str, str, str] | None = None
+        before: tuple[str, bytes] | None = None
         for batch in batches:
             chunks = batch.column(2).to_pylist()
             new = [c for c in dict.fromkeys(chunks) if before is None or c != before[0]]
-            known = {c: (i, d) for c, i, d in zip(new, *p.segment(new))}
+            known = dict(zip(new, p.segment(new)))
             if before is not None:
-                known.setdefault(before[0], before[1:])
-            found = [known[c] for c in chunks]
+                known.setdefault(*before)
             if chunks:
-                before = (chunks[-1], *found[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()),
-                                              pa.array([f[1] for f in found], pa.string())], ["block", "no", "ids", "decoded"])
+                before = (chunks[-1], known[chunks[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(known.__getitem__, chunks), pa.binary())],
+                                             ["block", "no", "ids"])
     return run
 
 
@@ -187,8 +190,7 @@ def _join(model: str, ends: list[str]):
         order = np.argsort(chunks.column("no").to_numpy())
         if rows.num_rows and (n != 0) and int(chunks.column("no").to_numpy().max()) != n - 1:
             raise ValueError("chunks of a block are missing")
-        ids = chunks.column("ids").take(pa.array(order)).to_pylist()
-        decoded = chunks.column("decoded").take(pa.array(order)).to_pylist()
+        ids, decoded = p.texts(chunks.column("ids").take(pa.array(order)).to_pylist())
         all_ids, texts = [], []
         for packed in rows.column("numbers").to_pylist():
             at = unpack(packed).tolist()
@@ -220,7 +222,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     spark.sql(f"DROP TABLE {name}")  # the name; the files stay for this result
     chunks = (table.where("chunk is not null").select("block", "no", "chunk")
               .repartition("chunk").sortWithinPartitions("chunk")
-              .mapInArrow(_segment(model), "block long, no long, ids string, decoded string"))
+              .mapInArrow(_segment(model), "block long, no long, ids binary"))
     texts = table.where("chunk is null").select("block", "id", "numbers")
     ends = [str(library.eos_id())] if end else []
     return (texts.groupBy("block").cogroup(chunks.groupBy("block"))

@@ -121,13 +121,23 @@ def pieces(model: str) -> Pieces:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers as their lowest bytes, then the next ones, and so on: the planes
-    compress well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers in groups of seven bits, low ones first; the last has no high bit."""
+    groups = [numbers >> np.uint32(7 * k) for k in range(5)]
+    some = np.stack([groups[0] >= 0, *(g > 0 for g in groups[1:])], 1)
+    parts = np.stack(groups, 1) & 127
+    parts[:, :-1] |= some[:, 1:].astype(parts.dtype) << 7
+    return parts[some].astype(np.uint8).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    groups = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(groups < 128)
+    first = np.append(0, last[:-1] + 1)[:len(last)]
+    out = np.zeros(len(last), np.uint32)
+    for k in range(5):
+        some = np.flatnonzero(first + k <= last)
+        out[some] |= (groups[first[some] + k] & np.uint32(127)) << np.uint32(7 * k)
+    return out
 
 
 def _cut(model: str, names: list[str], key_type: pa.DataType, block_chars: int):
@@ -217,7 +227,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     # bucketed by block, so that only the chunks' side of the last join moves
     path, name = scratch_path(spark, "chunks"), f"chunks_{uuid.uuid4().hex}"
     (rows.mapInArrow(_cut(model, names, key_type, block_chars), schema).write.format("parquet").option("path", path)
-     .option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name))
+     .option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name))
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name; the files stay for this result
     chunks = (table.where("chunk is not null").select("block", "no", "chunk")

@@ -124,6 +124,12 @@ def test_chunks_and_the_library():
         assert p.whole("".join(decoded)) == p.library.decode(whole)
 
 
+def test_packed_numbers():
+    for x in ([], [0], [127, 128, 16383, 16384, 2**21, 2**28, 2**32 - 1, 0, 5]):
+        x = np.array(x, np.uint32)
+        assert pieces.unpack(pieces.pack(x)).tolist() == x.tolist()
+
+
 def test_each_chunk_is_segmented_once(monkeypatch):
     import pyarrow as pa
     seen = []

@@ -11,6 +11,11 @@ first, leftmost first.
 The lexicon only decides how fast a word is encoded, never how: its size is a
 parameter, and any lexicon gives equal ids.
 
+Words are split by a pattern over Unicode's letters and numbers. Which these
+are depends on the Unicode version that a library was built with; the driver
+asks the tokenizers library about every code point, once, and texts with a
+character about which the two differ are encoded by that library.
+
 Cases: a null or empty text has no ids and decodes to the empty text; the
 special string ``<|endoftext|>`` inside a text is its special token; unused
 truncation and padding; repeated rows are encoded each on its own; an empty
@@ -22,6 +27,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import tempfile
 import uuid
 from collections import Counter
@@ -44,7 +50,8 @@ CACHED = 100_000          # words and pieces that a task remembers
 COUNTED = 150_000
 LEAST = 8                 # a word seen less often is not frequent
 SLICE_BYTES = 1 << 20
-LONG = 48
+WIDTHS = (4, 8, 12, 16, 24, 48, 96, 192)  # words up to so many bytes are merged together
+TOGETHER = 1 << 21        # bytes of such words, padded, that are merged at once
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without letters, digits and space
 NONE = 1 << 60
 
@@ -115,6 +122,7 @@ class Vocabulary(WordSplitter):
         # rank -> merged id
         key = np.array([(ids[x] << 20) | ids[y] for x, y in pairs], np.int64)
         self.pair, self.pair_rank = np.unique(key, return_index=True)
+        self.rank_of = dict(zip(self.pair.tolist(), self.pair_rank.tolist()))
         self.merged = np.array([ids[x + y] for x, y in pairs], np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -133,14 +141,15 @@ class Vocabulary(WordSplitter):
         data = np.frombuffer(b"".join(words), np.uint8)
         first = np.cumsum(length) - length
         low = 0
-        for high in (4, 8, 12, 16, 24, LONG):
-            some = np.flatnonzero((length > low) & (length <= high))
+        for high in WIDTHS:
+            fit = np.flatnonzero((length > low) & (length <= high))
             low = high
-            if len(some):
+            for at in range(0, len(fit), TOGETHER // high):
+                some = fit[at:at + TOGETHER // high]
                 row, ids = self._merge_together(data, first[some], length[some], high)
                 counts[some] = np.bincount(row, minlength=len(some))
                 found.append((some[row], ids))
-        for i in np.flatnonzero(length > LONG).tolist():
+        for i in np.flatnonzero(length > WIDTHS[-1]).tolist():
             ids = self._merge_long([int(self.byte_id[b]) for b in words[i]])
             counts[i] = len(ids)
             found.append((np.full(len(ids), i), np.array(ids, np.int64)))
@@ -184,8 +193,7 @@ class Vocabulary(WordSplitter):
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, for a word without end."""
-        n = len(ids)
-        known = dict(zip(self.pair.tolist(), self.pair_rank.tolist()))
+        n, known = len(ids), self.rank_of
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[int, int, int, int]] = []
 
@@ -209,6 +217,35 @@ class Vocabulary(WordSplitter):
                 offer(left[i])
         return [i for i in ids if i >= 0]
 
+
+def other_letters() -> str:
+    """A pattern of the characters that are letters or numbers to the
+    tokenizers library and not here, or the other way round; empty without any.
+    All code points are asked for, on the driver."""
+    if not _OTHER:
+        from tokenizers import Regex, pre_tokenizers
+        text = "".join([chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+        other = {c for c in text if c.isalpha()} - set(regex.findall(r"\p{L}", text))
+        for kind in "LN":
+            # what the library takes away from all that is of the kind here,
+            # and what it finds among the rest
+            for mine, theirs in ((rf"\p{{{kind}}}", rf"\P{{{kind}}}"), (rf"\P{{{kind}}}", rf"\p{{{kind}}}")):
+                asked = "".join(regex.findall(mine, text))
+                kept = pre_tokenizers.Split(Regex(theirs), "removed").pre_tokenize_str(asked)
+                other |= set(asked).difference(*(piece for piece, _ in kept))
+        ranges: list[list[int]] = []
+        for c in sorted(map(ord, other)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+        _OTHER.append("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else "")
+    return _OTHER[0]
+
+
+_OTHER: list[str] = []
+
+
 def compile_lexicon(words: Iterable[bytes], vocabulary: Vocabulary, path: str) -> None:
     """Write the minimal automaton of ``words`` (any order) to ``path``."""
     words = sorted(set(words))
@@ -319,8 +356,9 @@ class Lexicon:
 class Codec:
     """Encodes and decodes texts; remembers what it has seen, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
-        self.v, self.lexicon = vocabulary, lexicon
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, other: str = "", tokenizer: str = TOKENIZER):
+        self.v, self.lexicon, self.tokenizer = vocabulary, lexicon, tokenizer
+        self.other = re.compile(other) if other else None
         self.words: dict[str, bytes] = {}
         # pieces between single spaces: the first of a text, and the others
         # (which stand for the piece with its space); None: not on its own
@@ -403,6 +441,18 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        apart = [i for i, t in enumerate(texts) if self.other and not t.isascii() and self.other.search(t)]
+        if not apart:
+            return self._encode(texts)
+        own = list(texts)
+        for i in apart:
+            own[i] = ""
+        out = self._encode(own)
+        for i, ids in zip(apart, library_ids(self.tokenizer, [texts[i] for i in apart])):
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut, parts = [], []
         for t in texts:
             pieces = [t]
@@ -497,6 +547,20 @@ def build_lexicon(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXIC
     return name
 
 
+_LIBRARIES: dict = {}
+
+
+def library_ids(tokenizer: str, texts: list[str]) -> list[list[int]]:
+    """Ids by the library, without added special tokens."""
+    if tokenizer not in _LIBRARIES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+        _LIBRARIES[tokenizer] = tokenizers.Tokenizer.from_file(tokenizer_path(tokenizer))
+        _LIBRARIES[tokenizer].no_truncation()
+        _LIBRARIES[tokenizer].no_padding()
+    return [e.ids for e in _LIBRARIES[tokenizer].encode_batch(texts, add_special_tokens=False)]
+
+
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
@@ -508,9 +572,10 @@ def vocabulary(tokenizer: str) -> Vocabulary:
     return _VOCABULARIES[tokenizer]
 
 
-def codec(tokenizer: str, lexicon: str | None = None) -> Codec:
-    """A codec for one task: what it remembers goes with it."""
-    return Codec(vocabulary(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+def codec(tokenizer: str, lexicon: str | None = None, other: str = "") -> Codec:
+    """A codec for one task: what it remembers goes with it. ``other`` is what
+    ``other_letters`` says on the driver."""
+    return Codec(vocabulary(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None, other, tokenizer)
 
 
 def _map_column(df: DataFrame, source: str, new: list[tuple[str, T.DataType, pa.DataType]], start) -> DataFrame:
@@ -538,9 +603,10 @@ def encode(docs: DataFrame, lexicon: str | None, tokenizer: str = TOKENIZER, tex
     """``docs`` with ids (little-endian unsigned 32-bit numbers) and n_tokens;
     with ``decoded`` also what the ids decode to, in the same pass."""
     new = [("ids", T.BinaryType(), pa.binary()), ("n_tokens", T.LongType(), pa.int64())]
+    other = other_letters()
 
     def start():
-        c = codec(tokenizer, lexicon)
+        c = codec(tokenizer, lexicon, other)
 
         def fn(texts):
             ids = c.encode([t or "" for t in texts])

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protea.llm.bpe import SLICE_BYTES, TOKENIZER, codec, is_byte_level, tokenizer_path
+from protea.llm.bpe import SLICE_BYTES, TOKENIZER, codec, is_byte_level, other_letters, tokenizer_path
 from protea.llm.common import scratch_path, ship, text_of
 
 LIMIT = 512
@@ -46,7 +46,7 @@ def tokenizer_digest(tokenizer: str) -> str:
     return h.hexdigest()
 
 
-def counter(tokenizer: str):
+def counter(tokenizer: str, other: str = ""):
     """Texts -> counts, without begin, end or added special tokens."""
     path = tokenizer_path(tokenizer)
     if library(tokenizer) == "sentencepiece":
@@ -56,7 +56,7 @@ def counter(tokenizer: str):
     with open(path, encoding="utf-8") as f:
         byte_level = is_byte_level(json.load(f))
     if byte_level:  # the same ids in half the library's time (tests compare them)
-        c = codec(tokenizer)
+        c = codec(tokenizer, None, other)
         return lambda texts: [len(ids) // 4 for ids in c.encode(texts)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
@@ -67,8 +67,10 @@ def counter(tokenizer: str):
 
 
 def _encode(tokenizer: str):
+    other = other_letters() if library(tokenizer) == "tokenizers" else ""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count = counter(tokenizer, other)
         for batch in batches:
             texts, counts, size = [], [], 0
             for t in batch.column(1).to_pylist():

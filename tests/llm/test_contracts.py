@@ -5,6 +5,7 @@ ties, repeated rows, extra columns and empty tables."""
 import base64
 import hashlib
 import random
+import time
 
 import brute
 import numpy as np
@@ -326,6 +327,34 @@ def test_codec_random_texts(tmp_path):
         assert [codec.decode(g) for g in got] == back
 
 
+def test_every_code_point():
+    # letters and numbers are the library's, whatever Unicode versions are installed
+    v, other = bpe.Vocabulary(bpe.TOKENIZER), bpe.other_letters()
+    codec = bpe.Codec(v, None, other)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    apart = set(codec.other.findall("".join(points))) if other else set()
+    agreed = [c for c in points if c not in apart]
+    texts = ["".join(f"a{c}'s 1{c}2 {c}'re!" for c in agreed[i:i + 400]) for i in range(0, len(agreed), 400)]
+    texts += [f"x{c}'s {c}{c} 'll" for c in sorted(apart)[::7]] + ["\u0558's a\u0558b 1\u05581"]
+    for i in range(0, len(texts), 500):
+        some = texts[i:i + 500]
+        assert codec.encode(some) == [np.array(x, "<u4").tobytes() for x in bpe.library_ids(bpe.TOKENIZER, some)]
+
+
+def test_text_without_spaces_is_not_slow():
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) if rng.random() < p else "，" for _ in range(60_000)) for p in (0.93, 0.995, 1)]
+    codec = bpe.Codec(bpe.Vocabulary(bpe.TOKENIZER), None, bpe.other_letters())
+    bpe.library_ids(bpe.TOKENIZER, ["warm"])
+    for t in texts:
+        began = time.time()
+        want = bpe.library_ids(bpe.TOKENIZER, [t])
+        theirs, began = time.time() - began, time.time()
+        got = codec.encode([t])
+        assert time.time() - began < 0.5 + 3 * theirs
+        assert got == [np.array(x, "<u4").tobytes() for x in want]
+
+
 def test_lexicon_is_minimal(tmp_path):
     words = [f"{a}{b}ing".encode() for a in ("walk", "talk", "stalk") for b in ("", "s", "x")]
     bpe.compile_lexicon(words, bpe.Vocabulary(bpe.TOKENIZER), str(tmp_path / "lex"))

@@ -30,8 +30,20 @@ def text_of(df: DataFrame, text_col: str = "text") -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it a name that
+    no column of ``df`` has (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def sha256_hex(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
-__all__ = ["read", "saved", "text_of", "sha256_hex", "ship", "scratch_path"]
+__all__ = ["free_names", "read", "saved", "text_of", "sha256_hex", "ship", "scratch_path"]

@@ -8,7 +8,8 @@ verified against the words of the whole window. Nothing is shuffled but the
 hits and one marker row per document.
 
 The set grows with the benchmark and not with the corpus; its size is measured
-first, and beyond ``broadcast_mb`` the join is left to a shuffle.
+first, and beyond ``broadcast_mb`` single words are shuffled to it instead, and
+what they meet is verified back at the document: linear in the words as well.
 
 Words are maximal runs of ``[a-z0-9]`` and characters beyond ASCII, after
 lower-casing A to Z.
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from protea.llm.common import text_of
+from protea.llm.common import free_names, saved, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,21 +61,29 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, broadcast_mb: float = BR
     found = windows(bench, n)
     mb = (found.agg(F.sum(F.length("window") + F.length("anchor") + F.length(F.array_join("items", ",")) + 64)
                     .alias("b")).first()["b"] or 0) / 1e6
-    marker = found.sparkSession.createDataFrame(
-        [("", 0, 0, "", [])], "anchor string, offset int, len int, window string, items array<string>")
-    lookup = found.unionByName(marker)
-    if mb <= broadcast_mb:
-        lookup = F.broadcast(lookup)
     d = docs.select("row", "doc_id", words(text_of(docs)).alias("w"))
-    each = (d.select("row", "doc_id", "w", F.size("w").alias("n"),
-                     F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("p", "anchor"))
-            .join(lookup, "anchor"))
     start = F.col("p") - F.col("offset")  # counted from 1; the marker stands at 0
-    whole = (start >= 1) & (start + F.col("len") <= F.col("n") + 1) & \
+    whole = (start >= 1) & (start + F.col("len") <= F.size("w") + 1) & \
             (F.array_join(F.slice("w", F.greatest(start, F.lit(1)), F.col("len")), " ") == F.col("window"))
-    kept = each.where((F.col("anchor") == "") | whole) \
-               .select("row", "doc_id", "n", F.when(F.col("anchor") != "", F.struct(start.alias("s"), "len")).alias("span"),
-                       F.when(F.col("anchor") != "", F.col("items")).alias("items"))
+    span = F.struct(start.alias("s"), "len")
+    if mb <= broadcast_mb:
+        marker = found.sparkSession.createDataFrame(
+            [("", 0, 0, "", [])], "anchor string, offset int, len int, window string, items array<string>")
+        each = (d.select("row", "doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("p", "anchor"))
+                .join(F.broadcast(found.unionByName(marker)), "anchor"))
+        kept = each.where((F.col("anchor") == "") | whole) \
+                   .select("row", "doc_id", F.size("w").alias("n"), F.when(F.col("anchor") != "", span).alias("span"),
+                           F.when(F.col("anchor") != "", F.col("items")).alias("items"))
+    else:
+        # single words go through the shuffle, and what has met a window goes
+        # back to its document's words, which move once
+        d = saved(d, "document-words")
+        met = (d.select("row", F.posexplode("w").alias("p", "anchor")).withColumn("p", F.col("p") + 1)
+               .join(found, "anchor").drop("anchor"))
+        hit = met.join(d.select("row", "w"), "row").where(whole).select("row", span.alias("span"), "items")
+        kept = d.select("row", "doc_id", F.size("w").alias("n"), F.lit(None).cast(hit.schema["span"].dataType).alias("span"),
+                        F.lit(None).cast("array<string>").alias("items")).unionByName(
+            hit.select("row", F.lit(None).cast(dict(d.dtypes)["doc_id"]).alias("doc_id"), F.lit(0).alias("n"), "span", "items"))
     return (kept.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"),
                                     F.sort_array(F.collect_set("span")).alias("spans"),
                                     F.collect_set("items").alias("items"))
@@ -115,23 +124,23 @@ def report(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
 def remove(docs: DataFrame, bench: DataFrame, n: int = N, spans_only: bool = False) -> DataFrame:
     """``docs`` without contaminated rows; or, with ``spans_only``, with the
     hit words of contaminated rows cut out of their texts (separators stay)."""
-    keys = [name + "_" * sum(c.startswith(name) for c in docs.columns) for name in ("_k1", "_k2")]
+    *keys, hit = free_names(docs, "_k1", "_k2", "_hit_spans")
     content = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("i"), F.col("doc_id").isNull().alias("none"),
                        text_of(docs).alias("t"))  # equal rows are judged alike
     d = docs.withColumns({keys[0]: F.xxhash64(content), keys[1]: F.xxhash64(F.lit(1), content)})
     bad = (judge(numbered(d.select(F.struct(*keys).alias("doc_id"), "text")), bench, n).where("contaminated")
-           .groupBy("doc_id").agg(F.first("spans").alias("_hit_spans"))
-           .select("doc_id.*", "_hit_spans"))
+           .groupBy("doc_id").agg(F.first("spans").alias(hit))
+           .select("doc_id.*", hit))
     if not spans_only:
         return d.join(bad.hint("shuffle_hash"), keys, "left_anti").drop(*keys)  # the texts need no sorting
     both = d.join(bad, keys, "left")
     parts = F.split(both["text"], ORIGINAL_WORDS, -1)
     found = F.regexp_extract_all(both["text"], F.lit(ORIGINAL_WORDS), F.lit(0))
     zipped = F.zip_with(parts, F.transform(
-        found, lambda x, i: F.when(F.exists("_hit_spans", lambda s: (i + 1 >= s["s"]) & (i + 1 < s["s"] + s["len"])),
+        found, lambda x, i: F.when(F.exists(hit, lambda s: (i + 1 >= s["s"]) & (i + 1 < s["s"] + s["len"])),
                                    F.lit("")).otherwise(x)),
         lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
-    text = F.when(F.col("_hit_spans").isNull(), both["text"]).otherwise(F.array_join(zipped, ""))
+    text = F.when(F.col(hit).isNull(), both["text"]).otherwise(F.array_join(zipped, ""))
     return both.withColumn("text", text).select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from protea.llm.common import text_of
+from protea.llm.common import free_names, text_of
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -86,26 +86,26 @@ def clean(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text") -
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lost_words (in failing lines), base_failed, kept and
     clean_text (the lines that passed). Columns of these names are replaced."""
-    text = text_of(docs, text_col)
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    judged = F.transform("_lines", lambda x: bind(words(x), lambda w: F.struct(
+    t, ws, ls, g, j = free_names(docs, "_text", "_words", "_lines", "_g", "_judged")
+    lines = F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    judged = F.transform(ls, lambda x: bind(words(x), lambda w: F.struct(
         x.alias("line"), F.size(w).alias("n"), line_fails(x, w).alias("fails"))))
-    d = docs.withColumn("_text", text).withColumns({"_words": words(F.col("_text")), "_lines": lines})
-    d = d.withColumns({"_g": window_hashes(F.col("_words")), "_judged": judged})
-    lost = F.aggregate("_judged", F.lit(0), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
+    d = docs.withColumn(t, text_of(docs, text_col)).withColumns({ws: words(F.col(t)), ls: lines})
+    d = d.withColumns({g: window_hashes(F.col(ws)), j: judged})
+    lost = F.aggregate(j, F.lit(0), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
     n = F.col("n_words")
     d = d.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace("_text", r"[^#*$%&|<>]++", "")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_g")).cast("long"),
+        "n_words": F.size(ws).cast("long"),
+        "word_chars": F.length(F.array_join(ws, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]++", "")).cast("long"),
+        "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(g)).cast("long"),
         "n_lost_words": lost.cast("long"),
-        "clean_text": F.array_join(F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n"),
+        "clean_text": F.array_join(F.transform(F.filter(j, lambda x: ~x["fails"]), lambda x: x["line"]), "\n"),
     })
     d = d.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * n))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= max_lost * n))
-    return d.drop("_text", "_words", "_lines", "_g", "_judged")
+    return d.drop(t, ws, ls, g, j)
 
 
 def report(docs: DataFrame) -> DataFrame:

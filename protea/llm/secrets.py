@@ -14,8 +14,8 @@ Spans are code points, end exclusive; of an assignment the span is the whole
 match. Weak spans that overlap a strong one are left out.
 
 Cases: a null or empty text has no spans; repeated rows are scanned each on
-its own; null ids stay null; an empty table gives an empty result; ``redact``
-and ``without_secrets`` keep every other column as it is.
+its own; null ids stay null; an empty table gives an empty result;
+``without_secrets`` keeps every other column as it is, whatever its name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protea.llm import spans
-from protea.llm.common import sha256_hex, text_of
+from protea.llm.common import free_names, sha256_hex, text_of
 
 SCOPE = 200
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -90,12 +90,12 @@ def report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span cut out of its text and replaced by
     ``[SECRET]``; no row goes. ``n_chars``, where present, is brought up to date."""
-    keys = [name + "_" * sum(c.startswith(name) for c in docs.columns) for name in ("_k1", "_k2")]
+    *keys, cut = free_names(docs, "_k1", "_k2", "_cuts")
     content = F.coalesce(docs["text"], F.lit(""))
     d = docs.withColumns({keys[0]: F.xxhash64(content), keys[1]: F.xxhash64(F.lit(1), content)})
     found = scan(d.select(F.struct(*keys).alias("doc_id"), "text"), scope).where("kind is not null")
     cuts = (found.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("c"))
-            .groupBy("doc_id").agg(F.first("c").alias("_cuts")).select("doc_id.*", "_cuts"))
+            .groupBy("doc_id").agg(F.first("c").alias(cut)).select("doc_id.*", cut))
     both = d.join(cuts.hint("shuffle_hash"), keys, "left")  # the texts need no sorting
     text = F.col("text")
 
@@ -105,11 +105,11 @@ def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.struct(F.concat(acc["out"], F.array(new)).alias("out"),
                         F.greatest(acc["at"], x["stop"].cast("int")).alias("at"))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    cleaned = F.aggregate("_cuts", start, step, lambda acc: F.concat(
+    cleaned = F.aggregate(cut, start, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = both.withColumn("text", F.when(F.col("_cuts").isNull(), text).otherwise(cleaned))
+    out = both.withColumn("text", F.when(F.col(cut).isNull(), text).otherwise(cleaned))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars"))
                              .otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)
 
@@ -139,7 +139,7 @@ free AS (
 near AS (
   SELECT a.row, a.o, a.kind, a.start, a.stop, bool_or(b.kind IN ('assign', 'hex', 'opaque')) AS secret,
          bool_or(b.kind IN ('access', 'ident')) AS id, bool_or(b.kind = 'endpoint') AS place
-  FROM free a JOIN free b ON a.row = b.row AND b.start BETWEEN a.start - 200 AND a.start + 200
+  FROM free a JOIN free b ON a.row = b.row AND b.start <= a.stop + 200 AND b.stop >= a.start - 200
   GROUP BY a.row, a.o, a.kind, a.start, a.stop),
 kept AS (
   SELECT * FROM near

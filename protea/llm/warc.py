@@ -6,11 +6,13 @@ the largest page_id is the response and the others revisit it.
 
 Reading does not trust the magic string, which may stand inside a payload.
 Tasks search byte ranges of the archives and emit a candidate with the offset
-of its successor for each place that reads like a record head. Pointer jumping
-from the start of each file then finds what is reachable: round k doubles the
-known part of every chain, so a file of n records takes log2(n) rounds of
-joins over offsets. Only reachable records are opened, and digests are those
-of the bytes that are read.
+of its successor for each place that reads like a record head, and with the
+place where its chain leaves the range, which the task finds itself. Pointer
+jumping from the start of each file over these places (a few per range) then
+finds where the true chain enters each range: round k doubles the known part,
+so a file of n ranges takes log2(n) rounds of joins over few offsets. From the
+entry, one walk over a range's sorted candidates keeps what is reachable. Only
+these records are opened, and digests are those of the bytes that are read.
 
 The archives' folder must be one that all executors share and that pyarrow can
 open (a file system path, hdfs, s3 or gs).
@@ -45,7 +47,7 @@ MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2000-01-01T00:00:00Z"
 
-CANDIDATE = "path string, off long, nxt long, kind string, id string, refers string, digest string, block long, size long"
+CANDIDATE = "path string, off long, nxt long, kind string, id string, refers string, digest string, block long, size long, leaves long"
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -122,7 +124,7 @@ def head_fields(data: bytes, at: int, end: int) -> dict[bytes, bytes] | None:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in CANDIDATE.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, *[pa.int64()] * 3]
     for batch in batches:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             out: list[list] = [[] for _ in names]
@@ -148,6 +150,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row = [path, start + at, start + block + size + len(END), *text, start + block, size]
                     for c, v in zip(out, row):
                         c.append(v)
+            # where each chain leaves the range; null where it breaks off in it
+            leaves: dict[int, int | None] = {}
+            for at, after in zip(reversed(out[1]), reversed(out[2])):
+                leaves[at] = leaves.get(after) if after < start + RANGE else after
+            out[-1] = [leaves[at] for at in out[1]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
 
@@ -160,14 +167,15 @@ def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, in
     return files, ranges.repartition(n).mapInArrow(_candidates, CANDIDATE), n
 
 
-def reachable(cands: DataFrame) -> DataFrame:
-    """path, off of the candidates on the chain from their file's start."""
-    known = cands.select("path", "off")
-    jump = saved(cands.select("path", "off", "nxt").join(known.withColumnRenamed("off", "nxt"), ["path", "nxt"], "left_semi")
+def reachable(steps: DataFrame) -> DataFrame:
+    """path, off of the places on the chain from their file's start, of steps
+    (path, off, nxt)."""
+    known = steps.select("path", "off")
+    jump = saved(steps.select("path", "off", "nxt").join(known.withColumnRenamed("off", "nxt"), ["path", "nxt"], "left_semi")
                  .select("path", "off", "nxt"), "warc-jump")
     reach = saved(known.where("off = 0"), "warc-reach")
     while True:
-        # reach: the first 2^k records of each chain; jump: 2^k records ahead
+        # reach: the first 2^k places of each chain; jump: 2^k places ahead
         ahead = saved(reach.join(jump, ["path", "off"]).select("path", F.col("nxt").alias("off")), "warc-reach")
         if ahead.isEmpty():
             return reach
@@ -176,6 +184,33 @@ def reachable(cands: DataFrame) -> DataFrame:
         jump = saved(jump.join(then, ["path", "nxt"]).select("path", "off", F.col("far").alias("nxt")), "warc-jump")
 
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of candidates sorted by path, range and offset, with the entry of the
+    true chain into their range: those on the chain."""
+    at, path, entry = -1, None, None
+    for batch in batches:
+        keep = []
+        for p, off, nxt, e in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "off", "nxt", "entry"))):
+            if (p, e) != (path, entry):
+                path, entry, at = p, e, e
+            keep.append(off == at)
+            if off == at:
+                at = nxt
+        yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["entry", "range"])
+
+
+def on_chain(cands: DataFrame, ranges: int) -> DataFrame:
+    """The candidates on the chain from their file's start, sorted within
+    partitions of whole ranges."""
+    places = (cands.where("leaves is not null").select("path", F.col("leaves").alias("off")).distinct()
+              .unionByName(cands.where("off = 0").select("path", "off")).distinct())
+    steps = saved(cands.join(places, ["path", "off"], "left_semi").select("path", "off", F.col("leaves").alias("nxt")), "warc-steps")
+    byte_range = F.floor(F.col("off") / RANGE).alias("range")
+    entries = reachable(steps).select("path", byte_range, F.col("off").alias("entry"))
+    return (cands.withColumn("range", byte_range).join(entries, ["path", "range"]).repartition(ranges, "path", "range")
+            .sortWithinPartitions("path", "range", "off").select(*cands.columns, "range", "entry").mapInArrow(_walk, cands.schema))
+
+
 def _broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bad = []
@@ -209,10 +244,20 @@ def page_number(uri: str | None) -> int | None:
 
 
 def _records(with_payload: bool):
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, f = None, None
+        out: list[list] = [[] for _ in names]
+        held = 0
+
+        def emit() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+            for c in out:
+                c.clear()
+            return made
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
             for r in batch.to_pylist():
                 if r["path"] != opened:
                     if f is not None:
@@ -234,9 +279,12 @@ def _records(with_payload: bool):
                        payload if with_payload else None)
                 for c, v in zip(out, row):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
-                [x.split()[0] for x in RECORD.split(", ")])
+                held += len(payload or b"") if with_payload else 0
+                if held >= RANGE:  # a batch holds no more payloads than a range
+                    yield emit()
+                    held = 0
+            yield emit()
+            held = 0
         if f is not None:
             f.close()
     return run
@@ -248,10 +296,10 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     ship(spark)
     files, cands, n = candidates(spark, path)
     cands = saved(cands, "warc-candidates")
-    true = cands.join(reachable(cands), ["path", "off"], "left_semi")
+    true = saved(on_chain(cands, n), "warc-records")
     verify_ends(files, true)
     dealt = true.repartition(n, "path", F.floor(F.col("off") / RANGE)).sortWithinPartitions("path", "off")
-    return dealt.select(*[x.split()[0] for x in CANDIDATE.split(", ")]).mapInArrow(_records(with_payload), RECORD)
+    return dealt.mapInArrow(_records(with_payload), RECORD)
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:

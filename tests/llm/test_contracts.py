@@ -129,6 +129,35 @@ def test_long_secrets_are_linked(spark):
     assert not any(token in r.text for r in secrets.without_secrets(df).collect() if r.doc_id != 3)
 
 
+def test_secrets_sql_links_long_parts(spark, tmpdir_path):
+    import duckdb
+    token = "aB3dE5gH7j" * 30 + "xyz"
+    rows = [(0, f"{token} user=me42 then"), (1, f"user=me42 {token}"), (2, f"{token} {'far ' * 60}user=me42"), (3, None), (4, ""),
+            (5, f"https://h.example/{'p/' * 200} user=me42 {token} x"), (6, f"{token} {'by ' * 60}https://h.example/v1"),
+            (7, "a.b-" + token + "== login: abc password=" + token)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({secrets.ORACLE}) ORDER BY doc_id").fetchall()
+    got = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).select(*names).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+    assert want[0][-1] == "opaque:0:303,ident:304:313"
+
+
+def test_columns_with_the_operators_names(spark):
+    names = ["_text", "_words", "_lines", "_g", "_judged", "_cuts", "_hit_spans", "_k1", "_K1_", "_k2", "spans", "row"]
+    text = "password = abcdefghijklmnop and a short item here with more words " * 3
+    df = spark.createDataFrame([(1, text, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    cleaned = quality.clean(df).first()
+    assert [cleaned[n] for n in names] == names and cleaned.n_words == len(text.split())
+    for out in (secrets.without_secrets(df), decontaminate.remove(df, bench, spans_only=True)):
+        row = out.first()
+        assert out.columns == df.columns and [row[n] for n in names] == names and row.text != text
+    assert decontaminate.remove(df, bench).count() == 0
+
+
 def test_redaction(spark):
     df, rows = odd_docs(spark)
     out = secrets.without_secrets(df)
@@ -424,6 +453,28 @@ def test_archive_table_over_many_ranges(spark, tmpdir_path, monkeypatch):
     assert all(bytes(got[i].payload).decode() == (h or "") for i, _, h in rows if got[i].record_type == "response")
 
 
+def test_chains_over_many_ranges(spark):
+    # places that read like records inside of others, over some dozen ranges
+    rng, rows, want = random.Random(11), [], set()
+    for path in ("a", "b", "c"):
+        true, at = [0], 0
+        while at < 40 * warc.RANGE:
+            at += rng.choice([700_000, 5_000_000, 3 * warc.RANGE, rng.randrange(1, warc.RANGE)])
+            true.append(at)
+        want |= {(path, x) for x in true[:-1]}
+        steps = dict(zip(true, true[1:]))
+        for _ in range(150):
+            off = rng.randrange(1, at)
+            steps.setdefault(off, rng.choice([x for x in true if x > off] + [off + rng.randrange(1, 9_000_000)]))
+        leaves = {}
+        for off in sorted(steps, reverse=True):
+            end = (off // warc.RANGE + 1) * warc.RANGE
+            leaves[off] = leaves.get(steps[off]) if steps[off] < end else steps[off]
+        rows += [(path, off, steps[off], None, None, None, None, 0, 0, leaves[off]) for off in steps]
+    got = warc.on_chain(spark.createDataFrame(rows, warc.CANDIDATE).repartition(7), 5).select("path", "off").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_cut_archive(spark, tmpdir_path):
     path = tmpdir_path + "/cut"
     warc.write(spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1), path)

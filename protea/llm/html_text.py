@@ -10,7 +10,9 @@ containers of the clusters beside them, or, on a page without, the smallest
 container that holds all clusters. A ratio cannot
 tell a short paragraph of the article from an advert beside it, so within the
 region lines count by structure: all of them, but those in page furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, comments).
+(menus, headers, footers, sidebars, notices, adverts, forms, comments). A form
+around half of the text or more is none. Time is linear in the page, however
+deep its elements nest.
 
 Cases: a null or empty page, or one without content, has an empty text; pages
 that end in the middle of a tag or reference, tags that are never closed or
@@ -49,6 +51,10 @@ ALWAYS_FURNITURE = set("ad ads advert advertisement comment comments disqus repl
 NOT_FURNITURE = set("with without has no".split())  # "with-sidebar" is not a sidebar
 STATE = re.compile(r"[^a-z0-9](open|closed)$")  # "comments-open" says something of the page
 CONTENT_NAMES = set("article body content entry main post story text".split())
+# words that beside a furniture name say where or what shape it is, and no more
+SHAPES = set("""area bar block bottom box btn button buttons col column container desktop float fixed form group icon icons
+inline inner item items large left link links list mobile nav outer overlay page panel posts primary right row secondary
+section site slot small sticky strip title top unit wrap wrapper""".split())
 FURNITURE_ROLES = set("alert banner complementary contentinfo dialog form navigation search".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                 "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -68,50 +74,84 @@ def is_furniture(tag: str, attrs: list, inside_article: bool, nested: bool = Fal
         return True
     if tag in ("html", "body", "main"):
         return False
-    always = furniture = content = False
-    for name in re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", f"{a.get('class') or ''} {a.get('id') or ''}").lower().split():
-        parts = set(re.split(r"[^a-z0-9]+", name)) - {""}
-        if not parts & NOT_FURNITURE and not STATE.search(name):
-            always = always or bool(parts & ALWAYS_FURNITURE)
-            furniture = furniture or bool(parts & FURNITURE_NAMES)
-            content = content or (bool(parts) and parts <= CONTENT_NAMES)
+    always = furniture = False
+    for name in _names(a.get("class")):
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if not parts or NOT_FURNITURE.intersection(parts) or STATE.search(name):
+            continue
+        # "social-history" and "related-work" are no furniture, "social-links"
+        # and "post-comments" are; "article-header" belongs to its article
+        plain = all(x in FURNITURE_NAMES or x in SHAPES or x in CONTENT_NAMES or x.isdigit() for x in parts)
+        named = set(parts) & FURNITURE_NAMES
+        always = always or bool(named & ALWAYS_FURNITURE and plain)
+        if nested:
+            furniture = furniture or name in FURNITURE_NAMES
+        elif named and plain:
+            furniture = furniture or not (named == {"header"} and CONTENT_NAMES.intersection(parts))
+    if tag in CONTAINERS:
+        for name in _names(a.get("id")):
+            always = always or name in ALWAYS_FURNITURE
+            furniture = furniture or (name in FURNITURE_NAMES and not nested)
     if tag == "article":
         return always and nested
-    return always or (furniture and not content)
+    return always or furniture
+
+
+def _names(value: str | None) -> list[str]:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value or "").lower().split()
 
 
 class Line:
-    __slots__ = ("text", "tags", "furniture", "path")
+    """``at``: the number of the innermost open container, -1 for none;
+    ``form``: that of the outermost form, where nothing else is furniture."""
+    __slots__ = ("text", "tags", "furniture", "at", "form")
+
+    def __init__(self, text, tags, furniture, at, form):
+        self.text, self.tags, self.furniture, self.at, self.form = text, tags, furniture, at, form
+
 
-    def __init__(self, text, tags, furniture, path):
-        self.text, self.tags, self.furniture, self.path = text, tags, furniture, path
+class Open:
+    """An open element."""
+    __slots__ = ("tag", "furniture", "at", "article", "nested", "form")
+
+    def __init__(self, tag, furniture, at, article, nested, form):
+        self.tag, self.furniture, self.at, self.article, self.nested, self.form = tag, furniture, at, article, nested, form
 
 
 class PageLines(HTMLParser):
-    """Lines of a page. ``path`` of a line: the numbers of its open containers."""
+    """Lines of a page. Containers are numbered as they open, so that those
+    within container c are c to last[c]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, furniture within, container number or -1
-        self.articles: set[int] = set()
-        self.count = 0
+        self.open: list[Open] = [Open("", False, -1, -1, False, -1)]
+        self.blocks: list[int] = []              # positions of the open block elements
+        self.where: dict[str, list[int]] = {}    # positions of the open elements of a tag
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.article: list[int] = []             # the outermost article or main around each container, or -1
+        self.forms = 0
         self.parts: list[str] = []
         self.tags = 0
-        self.path: tuple[int, ...] = ()
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            furniture = bool(self.open) and self.open[-1][1]
-            self.lines.append(Line(text, self.tags, furniture, self.path))
+            e = self.open[-1]
+            self.lines.append(Line(text, self.tags, e.furniture, e.at, e.form))
             self.tags = 0
         self.parts = []
 
     def pop(self, n: int) -> None:
         """Close the elements from position n."""
-        del self.open[n:]
-        self.path = tuple(c for _, _, c in self.open if c >= 0)
+        while len(self.open) > n:
+            e = self.open.pop()
+            self.where[e.tag].pop()
+            if e.tag in BLOCKS:
+                self.blocks.pop()
+            if e.at != self.open[-1].at:
+                self.last[e.at] = len(self.last) - 1
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -121,27 +161,30 @@ class PageLines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        ends = SELF_CLOSING.get(tag)
-        if ends or tag in BLOCKS:
-            for i in range(len(self.open) - 1, -1, -1):
-                t = self.open[i][0]
-                if t in (ends or ()) or (t == "p" and tag in BLOCKS):
-                    self.pop(i)
-                    break
-                if t in BLOCKS:
-                    break
-        furniture = bool(self.open) and self.open[-1][1]
-        furniture = furniture or is_furniture(tag, attrs, any(c in self.articles for c in self.path),
-                                              any(t == "article" for t, _, _ in self.open))
-        number = -1
+        if self.blocks and (tag in SELF_CLOSING or tag in BLOCKS):
+            nearest = self.open[self.blocks[-1]].tag
+            if nearest in SELF_CLOSING.get(tag, ()) or (nearest == "p" and tag in BLOCKS):
+                self.pop(self.blocks[-1])
+        up = self.open[-1]
+        form, furniture = up.form, up.furniture
+        if not furniture:
+            if tag == "form":
+                if form < 0:
+                    form, self.forms = self.forms, self.forms + 1
+            else:
+                furniture = is_furniture(tag, attrs, up.article >= 0, up.nested)
+        at, article = up.at, up.article
         if tag in CONTAINERS:
-            number = self.count
-            self.count += 1
-            if tag in ("article", "main") and not furniture:
-                self.articles.add(number)
-        self.open.append((tag, furniture, number))
-        if number >= 0:
-            self.path += (number,)
+            at = len(self.parent)
+            self.parent.append(up.at)
+            self.last.append(-1)
+            if article < 0 and tag in ("article", "main") and not furniture:
+                article = at
+            self.article.append(article)
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.where.setdefault(tag, []).append(len(self.open))
+        self.open.append(Open(tag, furniture, at, article, up.nested or tag == "article", form))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -151,15 +194,14 @@ class PageLines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.pop(i)
-                return
-            if tag not in BLOCKS and self.open[i][0] in BLOCKS:
-                return  # an inline end tag closes nothing outside its block
+        if self.where.get(tag):
+            at = self.where[tag][-1]
+            # an inline end tag closes nothing outside its block
+            if tag in BLOCKS or not self.blocks or at > self.blocks[-1]:
+                self.pop(at)
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] in ("script", "style"):
+        if self.open[-1].tag in ("script", "style"):
             return
         self.parts.append(data)
 
@@ -167,6 +209,20 @@ class PageLines(HTMLParser):
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
+    def done(self) -> None:
+        """Forms with half of the text or more are none; in others all is furniture."""
+        self.cut()
+        self.pop(1)
+        held = [0] * self.forms
+        total = 0
+        for x in self.lines:
+            if not x.furniture:
+                total += len(x.text)
+                if x.form >= 0:
+                    held[x.form] += len(x.text)
+        for x in self.lines:
+            x.furniture = x.furniture or (x.form >= 0 and 2 * held[x.form] < total)
+
 
 def read_lines(html: str) -> PageLines:
     cut = html.rfind("<")
@@ -175,7 +231,7 @@ def read_lines(html: str) -> PageLines:
     page = PageLines()
     page.feed(html)
     page.close()
-    page.cut()
+    page.done()
     return page
 
 
@@ -202,15 +258,19 @@ def clusters(lines: list[Line]) -> list[int]:
     return [i for i, x in enumerate(s) if x >= threshold and not lines[i].furniture]
 
 
-def region(page: PageLines, chosen: list[int]) -> set[int] | None:
+def region(page: PageLines, chosen: list[int]) -> list[int] | None:
     """The containers of the content; None: the whole page."""
-    paths = [page.lines[i].path for i in chosen]
-    articles = {next((c for c in x.path if c in page.articles), None) for x in page.lines if not x.furniture} - {None}
+    places = [page.lines[i].at for i in chosen]
+    article = [page.article[x.at] if x.at >= 0 else -1 for x in page.lines]
+    articles = {a for a, x in zip(article, page.lines) if a >= 0 and not x.furniture}
     if articles:
-        beside = [p for p in paths if not articles.intersection(p)]
-        return articles.union(p[-1] for p in beside) if all(beside) else None
-    shared = [c[0] for c in zip(*paths) if len(set(c)) == 1]
-    return {shared[-1]} if shared else None
+        beside = {page.lines[i].at for i in chosen if article[i] < 0}
+        return None if -1 in beside else [*articles, *beside]
+    # the smallest container that holds all clusters
+    c, end = min(places), max(places)
+    while c >= 0 and page.last[c] < end:
+        c = page.parent[c]
+    return [c] if c >= 0 else None
 
 
 def main_text(html: str | None) -> str:
@@ -223,7 +283,17 @@ def main_text(html: str | None) -> str:
     if not chosen:
         return ""
     where = region(page, chosen)
-    return "\n".join(x.text for x in page.lines if not x.furniture and (where is None or where.intersection(x.path)))
+    inside = [where is None] * (len(page.last) + 1)  # by container; the last one is no container
+    if where is not None:
+        edge = [0] * (len(page.last) + 1)
+        for c in where:
+            edge[c] += 1
+            edge[page.last[c] + 1] -= 1
+        depth = 0
+        for c in range(len(page.last)):
+            depth += edge[c]
+            inside[c] = depth > 0
+    return "\n".join(x.text for x in page.lines if not x.furniture and inside[x.at])
 
 
 def extract(pages: DataFrame) -> DataFrame:

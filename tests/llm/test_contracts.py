@@ -574,6 +574,75 @@ def test_names_that_say_what_a_page_has():
     assert html_text.main_text(f"<body><article>{body}{comment}</article></body>") == want
 
 
+def test_shapes_of_real_pages():
+    lines = [f"Paragraph {i} of the text itself, with words enough to count." for i in range(6)]
+    body, want = "".join(f"<p>{x}</p>" for x in lines), "\n".join(lines)
+    nav = "<nav><a href=x>Home</a></nav>"
+    # a form around the whole page, with a form that is one inside and beside
+    assert html_text.main_text(f'<body><form action=x>{nav}<div>{body}</div></form></body>') == want
+    assert html_text.main_text(f'<body>{nav}<div>{body}</div><form><p>Your address, please, so that we may write.</p></form></body>') == want
+    for name in ("social-history", "related-work", "search-theory", "tags-and-taxonomies", "article-header", "comment-culture"):
+        assert html_text.main_text(f'<body>{nav}<div class="{name}">{body}</div></body>') == want, name
+        assert html_text.main_text(f'<body>{nav}<article><div class="{name}">{body}</div></article></body>') == want, name
+    for name in ("social-links", "related-posts", "comments-area", "sidebar-left", "site-footer", "ad-slot"):
+        page = f'<body>{nav}<div>{body}<div class="{name}"><p>Some words that are none of the text, at all.</p></div></div></body>'
+        assert html_text.main_text(page) == want, name
+    page = f'<body><article><div class="article-header"><h1>Title</h1></div>{body}<h2 id="search">Search</h2><section id="related-work"><p>More.</p></section></article></body>'
+    assert html_text.main_text(page) == "Title\n" + want + "\nSearch\nMore."
+    assert html_text.main_text(f'<body><div>{body}</div><div id="comments"><p>{"I disagree. " * 30}</p></div></body>') == want
+
+
+def test_main_text_without_articles_against_brute_force():
+    # random pages of nested containers: all lines that are in no furniture and
+    # within the smallest container that holds the lines above the threshold
+    import math
+    rng = random.Random(12)
+    for _ in range(300):
+        lines = []  # text, path of containers, furniture
+
+        def grow(path, furniture, depth):
+            out = ""
+            for _ in range(rng.randrange(1, 4)):
+                r = rng.random()
+                if depth < 4 and r < 0.5:
+                    junk = rng.random() < 0.25
+                    grow.n += 1
+                    out += f'<div class="{"sidebar" if junk else "box"}">{grow((*path, grow.n), furniture or junk, depth + 1)}</div>'
+                else:
+                    text = " ".join(["word"] * rng.choice([1, 2, 30, 60])) + f" {len(lines)}"
+                    lines.append((text, path, furniture))
+                    out += f"<p>{text}</p>"
+            return out
+        grow.n = 0
+        page = f"<body>{grow((0,), False, 0)}</body>"
+        tags, ratio = 0, []
+        for i, (text, _, furniture) in enumerate(lines):
+            before = page[:page.index(f"{text}</p>")]
+            opened = before.count("<") - before.count("</")
+            ratio.append(0.0 if furniture else len(text) / (opened - tags))
+            tags = opened
+        kernel = {d: math.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)}
+        smooth = [sum(k * ratio[i + d] for d, k in kernel.items() if 0 <= i + d < len(ratio)) /
+                  sum(k for d, k in kernel.items() if 0 <= i + d < len(ratio)) for i in range(len(ratio))]
+        mean = sum(smooth) / len(smooth)
+        limit = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+        near = [abs(x - limit) < 1e-9 for x in smooth]
+        chosen = [i for i, x in enumerate(smooth) if x >= limit and not lines[i][2]] or [i for i, x in enumerate(lines) if not x[2]]
+        if any(near) or not chosen:
+            continue
+        shared = [c[0] for c in zip(*(lines[i][1] for i in chosen)) if len(set(c)) == 1]
+        want = "\n".join(t for t, path, furniture in lines if not furniture and shared[-1] in path)
+        assert html_text.main_text(page) == want
+
+
+def test_deep_pages_are_linear():
+    for page in ("<div>" * 100_000 + "deep text here" + "</div>" * 100_000, "<b><p>x" * 100_000, "<i>x" * 50_000 + "</b></u>" * 50_000,
+                 "<div><p>a line of text</p>" * 50_000):
+        began = time.time()
+        assert html_text.main_text(page)
+        assert time.time() - began < 10
+
+
 def test_lists_of_links_in_the_text():
     lines = [f"Paragraph {i} of the text itself, with words enough to count." for i in range(6)]
     body = "".join(f"<p>{x}</p>" for x in lines)

@@ -8,11 +8,14 @@ denominators).
 
 Distribution (one Spark job per tree level, rows never leave their task):
 
-* features are binned once by distributed quantile sketches
-  (``percentile_approx`` per feature) into <= ``max_bin`` bins;
+* features are binned once into <= ``max_bin`` bins by mergeable quantile
+  summaries: each task keeps SUMMARY weighted points per feature, and summaries
+  are merged MERGED at a time, so no task sees more than these;
 * per level, every partition routes its rows through the tree so far and
-  emits histogram partials (node, feature, bin) -> (sketched g, count), in
-  blocks of features of a bounded size; a ``groupBy().sum()`` merges them, each
+  emits histogram partials (node, feature, bin) -> (sketched g, count) of the
+  left children only, in blocks of features of a bounded size; a
+  ``groupBy().sum()`` merges them, and a right child is its parent less its
+  sibling; each
   (node, feature) is searched for its best bin where its bins are, and the best
   feature of each node is one more aggregate: the driver gets a row per node;
 * leaf sums (leaf, label) -> (g, count) are merged the same way and gathered
@@ -22,7 +25,11 @@ Distribution (one Spark job per tree level, rows never leave their task):
   (a deep lineage makes every later job slower to plan, and a lost executor
   would replay all trees).
 
-Row subsampling hashes (row key, tree), so it does not depend on partitioning.
+Row subsampling hashes (row key, tree), and features and projection are drawn
+anew from (seed, tree), so a tree does not depend on partitioning or on where
+the fit was taken up again. With ``state_dir`` every round is kept there: raw
+scores, trees and counters, the last complete one; a fit that finds one goes on
+from it and ends in the same model as one that was never cut.
 """
 
 from __future__ import annotations
@@ -37,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from protea.operators.score import features_matrix, sigmoid_np
+from protea.session import checkpoint_root, saved, ship
 
 
 @dataclass
@@ -118,14 +126,79 @@ def _list_column(mat: np.ndarray, typ) -> pa.Array:
     return pa.ListArray.from_arrays(offs, pa.array(mat.ravel(), type=typ))
 
 
-def quantile_cuts(df: DataFrame, features: str, max_bin: int) -> np.ndarray:
-    """(D, max_bin-1) cut points from per-feature approximate quantiles."""
-    probs = [i / max_bin for i in range(1, max_bin)]
-    q = (df.select(F.posexplode(features).alias("d", "v"))
-         .groupBy("d").agg(F.percentile_approx("v", probs, 10000).alias("q"))
-         .orderBy("d").collect())  # D rows x (max_bin-1): bounded by parameters
-    cuts = np.array([np.asarray(r["q"], dtype=np.float64) for r in q])
-    return np.maximum.accumulate(cuts, axis=1)
+SUMMARY = 2048   # points of a quantile summary
+MERGED = 32      # summaries that are merged at once
+HELD = 1 << 21   # values that a task sorts at once
+
+
+def summarise(values: np.ndarray, weights: np.ndarray, size: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``size`` weighted points of sorted order for weighted values: a
+    rank is off by at most an ``size``-th of the weight."""
+    order = np.argsort(values, kind="stable")
+    values, total = values[order], np.cumsum(weights[order])
+    if len(values) <= size:
+        return values, weights[order]
+    at = np.searchsorted(total, total[-1] * (np.arange(1, size + 1) / size) * (1 - 1e-12))
+    at = np.minimum(at, len(values) - 1)
+    return values[at], np.diff(total[at], prepend=0.0)
+
+
+def quantile_cuts(df: DataFrame, features: str, max_bin: int, size: int = SUMMARY) -> np.ndarray:
+    """(D, max_bin-1) cut points from quantile summaries of each feature. Each
+    step (within a task, then a merge of MERGED at a time) adds at most a
+    ``size``-th to the error of a rank."""
+    schema = "d int, part int, v array<double>, w array<double>"
+
+    def rows(part: int, points: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(len(points)), pa.int32()), pa.array([part] * len(points), pa.int32()),
+             pa.array([p[0] for p in points], pa.list_(pa.float64())), pa.array([p[1] for p in points], pa.list_(pa.float64()))],
+            ["d", "part", "v", "w"])
+
+    def first(batches):
+        from pyspark import TaskContext
+        held, n, points = [], 0, None
+
+        def fold():
+            X = np.concatenate(held).astype(np.float64)
+            ones = np.ones(len(X))
+            if points is None:
+                return [summarise(X[:, d], ones, size) for d in range(X.shape[1])]
+            return [summarise(np.concatenate([points[d][0], X[:, d]]), np.concatenate([points[d][1], ones]), size)
+                    for d in range(X.shape[1])]
+        for rb in batches:
+            if rb.num_rows:
+                held.append(features_matrix(rb.column(0)))
+                n += held[-1].size
+                if n >= HELD:
+                    points, held, n = fold(), [], 0
+        if held:
+            points = fold()
+        if points is not None:
+            yield rows(TaskContext.get().partitionId(), points)
+
+    def merge(batches):
+        for rb in batches:
+            out = []
+            for vs, ws in zip(rb.column(2).to_pylist(), rb.column(3).to_pylist()):
+                out.append(summarise(np.concatenate(vs), np.concatenate(ws), size))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array([p[0] for p in out], pa.list_(pa.float64())),
+                                              pa.array([p[1] for p in out], pa.list_(pa.float64()))], ["d", "part", "v", "w"])
+    sketches = saved(df.select(features).mapInArrow(first, schema), "quantile-summaries")
+    parts = 1 + (sketches.agg(F.max("part")).first()[0] or 0)
+    while True:  # log(parts) to the base MERGED
+        sketches = (sketches.groupBy("d", F.floor(F.col("part") / MERGED).cast("int").alias("part"))
+                    .agg(F.collect_list(F.struct("v", "w")).alias("s")).select("d", "part", "s.v", "s.w").mapInArrow(merge, schema))
+        parts = -(-parts // MERGED)
+        if parts <= 1:
+            break
+    probs = np.arange(1, max_bin) / max_bin
+    cuts = []
+    for r in sorted(sketches.collect(), key=lambda r: r["d"]):  # a summary per feature: bounded by parameters
+        total = np.cumsum(r["w"])
+        at = np.searchsorted(total, probs * total[-1] * (1 - 1e-12))
+        cuts.append(np.asarray(r["v"])[np.minimum(at, len(total) - 1)])
+    return np.maximum.accumulate(np.array(cuts), axis=1)
 
 
 def _labels_dense(col: pa.Array, n_labels: int) -> np.ndarray:
@@ -141,22 +214,70 @@ def _labels_dense(col: pa.Array, n_labels: int) -> np.ndarray:
 
 def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
         features: str = "embedding", labels: str = "label_idx", key: str = "EntryID",
-        val_col: str = "is_val", cuts: np.ndarray | None = None) -> tuple[BoostModel, list[dict]]:
+        val_col: str = "is_val", cuts: np.ndarray | None = None, state_dir: str | None = None) -> tuple[BoostModel, list[dict]]:
     """Train on rows with ``is_val`` false; early-stop on micro F1 (threshold
     0.5) of rows with ``is_val`` true. ``cuts``: (features, max_bin - 1) cut
-    points; quantiles of the training rows by default. Returns (model, per-tree
-    history)."""
-    from protea.session import checkpoint_root
-    from protea.session import ship
+    points; quantiles of the training rows by default. ``state_dir``: a folder
+    that all executors share, for rounds to go on from; it belongs to one fit
+    (of one table and one set of parameters). Returns (model, per-tree history)."""
     p = params or BoostParams()
     spark = train.sparkSession
     ship(spark)
     checkpoint_root(spark)
+    found = load_round(spark, state_dir) if state_dir else None
+    if found is None:
+        state, model, n_val = _start(train, n_labels, p, features, labels, key, val_col, cuts)
+        history: list[dict] = []
+        best_f1, best_n, since, stop = -1.0, 0, 0, False
+    else:
+        state, model, history, (n_val, best_f1, best_n, since, stop) = found
+    base, D = model.base, model.cuts.shape[0]
+    n_nodes = 2 ** p.max_depth - 1
+    k = n_labels if p.sketch_dim is None else p.sketch_dim
+    for t in range(len(model.trees), p.ntrees):
+        if stop:
+            break
+        rng = np.random.default_rng([p.seed, t])
+        P = (np.eye(n_labels, dtype=np.float32) if p.sketch_dim is None
+             else rng.standard_normal((n_labels, k)).astype(np.float32))
+        cols = np.sort(rng.choice(D, max(1, int(round(D * p.colsample))), replace=False))
+        feat = np.full(n_nodes, -1, dtype=np.int64)
+        thr = np.zeros(n_nodes, dtype=np.int64)
+        above = None
+        for level in range(p.max_depth):
+            hist = _histograms(state, t, level, feat, thr, P, cols, base, n_labels, p, labels, val_col, above)
+            for node, f, b in _best_splits(hist, P.shape[1], p):
+                feat[2 ** level - 1 + node], thr[2 ** level - 1 + node] = cols[f], b
+            above = hist
+        leaf_g, leaf_n = _leaf_sums(state, t, feat, thr, base, n_labels, p, labels, val_col)
+        tree = Tree(feat, thr, -p.lr * leaf_g / (leaf_n[:, None] + p.lambda_l2))
+        model.trees.append(tree)
+        prev, state = state, _apply_tree(state, tree, state.schema)
+        if not state_dir and (t + 1) % p.checkpoint_every == 0:
+            # reliable checkpoint: a flat plan again (planning cost grows with
+            # every nested pass) and recovery without replaying all trees
+            state = state.checkpoint(eager=True)
+        state = state.persist()
+        val = _val_counts(state, base, n_labels, labels, val_col)  # materialises the new state
+        stop, best_f1, best_n, since = _early_stop(history, t, val, n_val, best_f1, best_n, since, p)
+        if state_dir and ((t + 1) % p.checkpoint_every == 0 or stop or t + 1 == p.ntrees):
+            kept = state
+            state = save_round(state_dir, t, state, model, history, (n_val, best_f1, best_n, since, stop)).persist()
+            kept.unpersist()
+        prev.unpersist()
+    state.unpersist()
+    model.trees = model.trees[:best_n] if n_val else model.trees
+    return model, history
+
+
+def _start(train, n_labels, p, features, labels, key, val_col, cuts) -> tuple[DataFrame, BoostModel, int]:
+    """The state table before the first tree (key, row hash, binned codes,
+    labels, raw scores less the base, split flag), the empty model and the
+    number of validation rows."""
     # several setup passes read the training table: compute it once
     train = train.select(key, features, labels, val_col).persist()
     if cuts is None:
         cuts = quantile_cuts(train.where(~F.col(val_col)), features, p.max_bin)
-    D = cuts.shape[0]
     pos = train.where(~F.col(val_col)).select(F.explode(labels).alias("j")).groupBy("j").count().collect()
     sizes = train.agg(F.count_if(~F.col(val_col)).alias("n_train"),
                       F.count_if(F.col(val_col)).alias("n_val")).first()
@@ -165,11 +286,6 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     for r in pos:
         rate[r["j"]] = r["count"] / max(n_train, 1)
     rate = np.clip(rate, 1e-4, 1 - 1e-4)
-    model = BoostModel(cuts=cuts, base=np.log(rate / (1 - rate)))
-
-    # state table: key, row hash, binned codes, labels, raw scores less the
-    # base, split flag
-    base = model.base
 
     def init(batches):
         for rb in batches:
@@ -193,39 +309,49 @@ def fit(train: DataFrame, n_labels: int, params: BoostParams | None = None,
     state = src.repartition(n_parts).mapInArrow(init, state_schema).persist()
     state.count()
     train.unpersist()
-    history: list[dict] = []
-    best_f1, best_n, since = -1.0, 0, 0
-    rng = np.random.default_rng(p.seed)
-    n_nodes = 2 ** p.max_depth - 1
-    B = p.max_bin
-
-    k = n_labels if p.sketch_dim is None else p.sketch_dim
-    for t in range(p.ntrees):
-        P = (np.eye(n_labels, dtype=np.float32) if p.sketch_dim is None
-             else rng.standard_normal((n_labels, k)).astype(np.float32))
-        cols = np.sort(rng.choice(D, max(1, int(round(D * p.colsample))), replace=False))
-        feat = np.full(n_nodes, -1, dtype=np.int64)
-        thr = np.zeros(n_nodes, dtype=np.int64)
-        for level in range(p.max_depth):
-            for node, f, b in _best_splits(state, t, level, feat, thr, P, cols, base, n_labels, B, p, labels, val_col):
-                feat[2 ** level - 1 + node], thr[2 ** level - 1 + node] = cols[f], b
-        leaf_g, leaf_n = _leaf_sums(state, t, feat, thr, base, n_labels, p, labels, val_col)
-        tree = Tree(feat, thr, -p.lr * leaf_g / (leaf_n[:, None] + p.lambda_l2))
-        model.trees.append(tree)
-        prev, state = state, _apply_tree(state, tree, state_schema)
-        if (t + 1) % p.checkpoint_every == 0:
-            # reliable checkpoint: a flat plan again (planning cost grows with
-            # every nested pass) and recovery without replaying all trees
-            state = state.checkpoint(eager=True)
-        state = state.persist()
-        val = _val_counts(state, base, n_labels, labels, val_col)  # materialises the new state
-        prev.unpersist()
-        stop, best_f1, best_n, since = _early_stop(history, t, val, n_val, best_f1, best_n, since, p)
-        if stop:
-            break
-    state.unpersist()
-    model.trees = model.trees[:best_n] if n_val else model.trees
-    return model, history
+    return state, BoostModel(cuts=cuts, base=np.log(rate / (1 - rate))), n_val
+
+
+ABOUT = "n_val long, best_f1 double, best_n long, since long, stop boolean, history array<double>"
+
+
+def _folder(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def save_round(state_dir: str, t: int, state: DataFrame, model: BoostModel, history: list[dict], counters: tuple) -> DataFrame:
+    """Keep the state after tree ``t`` and drop older rounds; what was written
+    last says that the round is complete. Returns the state as read back."""
+    spark, path = state.sparkSession, f"{state_dir}/round-{t:06d}"
+    state.write.mode("overwrite").parquet(f"{path}/state")
+    save_model(spark, model, range(len(model.base)), f"{path}/model")
+    n_val, best_f1, best_n, since, stop = counters
+    spark.createDataFrame([(n_val, best_f1, best_n, since, stop, [h["val_f1"] for h in history])], ABOUT) \
+        .write.mode("overwrite").parquet(f"{path}/about")
+    fs, here = _folder(spark, state_dir)
+    for status in fs.listStatus(here):
+        old = status.getPath()
+        if old.getName().startswith("round-") and old.getName() < f"round-{t:06d}":
+            fs.delete(old, True)
+    return spark.read.schema(state.schema).parquet(f"{path}/state")
+
+
+def load_round(spark, state_dir: str):
+    """State, model, history and counters of the last complete round, or None."""
+    fs, here = _folder(spark, state_dir)
+    if not fs.exists(here):
+        return None
+    names = sorted((s.getPath().getName() for s in fs.listStatus(here)), reverse=True)
+    for name in names:
+        path = f"{state_dir}/{name}"
+        if name.startswith("round-") and fs.exists(_folder(spark, f"{path}/about/_SUCCESS")[1]):
+            model, _ = load_model(spark, f"{path}/model")
+            x = spark.read.schema(ABOUT).parquet(f"{path}/about").first()
+            history = [{"tree": i, "val_f1": f} for i, f in enumerate(x["history"])]
+            state = spark.read.parquet(f"{path}/state").persist()
+            return state, model, history, (x["n_val"], x["best_f1"], x["best_n"], x["since"], x["stop"])
+    return None
 
 
 def _early_stop(history, tree_idx, val, n_val, best_f1, best_n, since, p):
@@ -269,10 +395,12 @@ def _sampled(rb, t: int, subsample: float, val_col: str) -> np.ndarray:
 HIST_CELLS = 1 << 18  # cells of a task's histogram buffer at a time
 
 
-def _best_splits(state, t, level, feat, thr, P, cols, base, n_labels, B, p, labels, val_col) -> list[tuple[int, int, int]]:
-    """(node, feature column, bin) for every node of the level that splits."""
-    Dc, k, nodes = len(cols), P.shape[1], 2 ** level
-    block = max(1, HIST_CELLS // (nodes * B))
+def _histograms(state, t, level, feat, thr, P, cols, base, n_labels, p, labels, val_col, above) -> DataFrame:
+    """(node, d, b) -> summed sketched gradients and rows of a level. Rows are
+    counted for left children only; ``above``, the level before, gives the rest."""
+    Dc, k, B = len(cols), P.shape[1], p.max_bin
+    sides = 1 if level == 0 else 2 ** (level - 1)   # nodes that are counted
+    block = max(1, HIST_CELLS // (sides * B))
     names = [f"g{j}" for j in range(k)] + ["n"]
 
     def part(batches):
@@ -283,20 +411,41 @@ def _best_splits(state, t, level, feat, thr, P, cols, base, n_labels, B, p, labe
             if not keep.any():
                 continue
             codes, Fm, Y = _batch_arrays(rb, base, n_labels, labels)
-            codes, G = codes[keep], (sigmoid_np(Fm[keep]) - Y[keep]) @ P
             node = _route(codes, feat, thr, level)
+            keep &= node % 2 == 0
+            codes, G = codes[keep], (sigmoid_np(Fm[keep]) - Y[keep]) @ P
+            node = node[keep] // 2
             for f0 in range(0, Dc, block):
                 use = cols[f0:f0 + block]
                 w = len(use)
                 idx = ((node[:, None] * w + np.arange(w)[None, :]) * B + codes[:, use]).ravel()
-                n = np.bincount(idx, minlength=nodes * w * B)
+                n = np.bincount(idx, minlength=sides * w * B)
                 at = np.flatnonzero(n)
-                g = [np.bincount(idx, weights=np.repeat(G[:, j], w), minlength=nodes * w * B)[at] for j in range(k)]
+                g = [np.bincount(idx, weights=np.repeat(G[:, j], w), minlength=sides * w * B)[at] for j in range(k)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at // (w * B)), pa.array(at // B % w + f0), pa.array(at % B),
+                    [pa.array(2 * (at // (w * B))), pa.array(at // B % w + f0), pa.array(at % B),
                      *(pa.array(x) for x in g), pa.array(n[at].astype(np.float64))],
                     names=["node", "d", "b", *names])
 
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "d", "b")]
+                          + [T.StructField(c, T.DoubleType()) for c in names])
+    left = state.mapInArrow(part, schema).groupBy("node", "d", "b").agg(*[F.sum(c).alias(c) for c in names])
+    if above is None:
+        return saved(left, "boost-histogram")
+    left = saved(left, "boost-histogram")
+    sibling = left.select(F.floor(F.col("node") / 2).alias("up"), F.col("d").alias("d_"), F.col("b").alias("b_"),
+                          *[F.col(c).alias(f"{c}_") for c in names])
+    right = (above.join(sibling, (F.col("node") == F.col("up")) & (F.col("d") == F.col("d_")) & (F.col("b") == F.col("b_")), "left")
+             .select((2 * F.col("node") + 1).alias("node"), "d", "b",
+                     *[(F.col(c) - F.coalesce(f"{c}_", F.lit(0.0))).alias(c) for c in names]).where("n > 0"))
+    return left.unionByName(right)
+
+
+def _best_splits(hist: DataFrame, k: int, p: BoostParams) -> list[tuple[int, int, int]]:
+    """(node, feature column, bin) for every node of the level that splits."""
+    B = p.max_bin
+    names = [f"g{j}" for j in range(k)] + ["n"]
+
     def best(batches):
         for rb in batches:
             out = []
@@ -311,10 +460,7 @@ def _best_splits(state, t, level, feat, thr, P, cols, base, n_labels, B, p, labe
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(
                 cs, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["node", "d", "b", "gain"])
 
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "d", "b")]
-                          + [T.StructField(c, T.DoubleType()) for c in names])
-    merged = state.mapInArrow(part, schema).groupBy("node", "d", "b").agg(*[F.sum(c).alias(c) for c in names])
-    per = (merged.groupBy("node", "d")  # at most max_bin rows each
+    per = (hist.groupBy("node", "d")  # at most max_bin rows each
            .agg(F.collect_list(F.struct("b", F.array(*names).alias("v"))).alias("bins")))
     top = F.max(F.struct("gain", (-F.col("d")).alias("d"), (-F.col("b")).alias("b"))).alias("x")
     rows = (per.mapInArrow(best, "node long, d long, b long, gain double").groupBy("node").agg(top).collect())

@@ -119,3 +119,18 @@ def boosted_scores(spark, sf):
     model, terms = boost.load_model(spark, path)
     p = score.score(test_table(spark, sf, tax_vocab), [model], terms, 0.01)
     return p.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+FOREST = dict(ntrees=8, max_depth=3, lr=0.5, max_bin=32, sketch_dim=3, subsample=0.8, colsample=0.8, es_rounds=3)
+
+
+@register("boosted_forest")
+def boosted_forest(spark, sf):
+    """Several trees over quantile bins, with sketched gradients, sampled rows
+    and features and early stopping, kept by rounds in the shared folder; then
+    every embedding is scored. (No SQL: a numpy twin in the tests.)"""
+    from protea.operators import boost
+    t, terms, tax_vocab = training_table(spark, sf, method="lcg")
+    model, _ = boost.fit(t, len(terms), boost.BoostParams(**FOREST), state_dir=scratch_path(spark, "forest"))
+    p = score.score(test_table(spark, sf, tax_vocab), [model], terms, 0.01)
+    return p.withColumn("score", F.round(F.col("score").cast("double"), 6))

@@ -63,13 +63,27 @@ def index_taxonomy(df: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def ia_weights(vocab: DataFrame, ia: DataFrame | None, default: float = 1.0,
-               on_duplicate: str = "error") -> DataFrame:
+               on_duplicate: str = "error", order: str | None = None) -> DataFrame:
     """(term, weight) for every vocabulary term; missing -> ``default``.
-    Duplicate terms in the IA table: 'error' raises, 'max' keeps the largest."""
+    Duplicate terms in the IA table: 'error' raises, 'max' keeps the largest,
+    'last' keeps the row with the largest value of the column ``order`` (a
+    table has no row order of its own; two rows of a term that share that value
+    are an error, unless they have the same score)."""
+    if on_duplicate not in ("error", "max", "last"):
+        raise ValueError(f"on_duplicate: {on_duplicate}")
+    if on_duplicate == "last" and order is None:
+        raise ValueError("the last of several rows needs a column to order them by")
     v = vocab.select("term").distinct()
     if ia is None:
         return v.withColumn("weight", F.lit(float(default)))
-    g = ia.groupBy("term").agg(F.count("*").alias("_n"), F.max("score").alias("_s"))
+    if on_duplicate == "last":
+        g = ia.groupBy("term", order).agg(F.min("score").alias("_s"), F.max("score").alias("_t"))
+        one = F.when(F.col("_s").eqNullSafe(F.col("_t")), F.col("_s")) \
+               .otherwise(F.raise_error(F.concat(F.lit("no last one of the rows of IA term "), F.col("term"))).cast("double"))
+        g = g.groupBy("term").agg(F.count("*").alias("_n"), F.max(F.struct(order, F.col("_s").alias("_s"), F.col("_t").alias("_t"))).alias("_x"))
+        g = g.select("term", "_n", F.col("_x._s").alias("_s"), F.col("_x._t").alias("_t")).select("term", "_n", one.alias("_s"))
+    else:
+        g = ia.groupBy("term").agg(F.count("*").alias("_n"), F.max("score").alias("_s"))
     if on_duplicate == "error":
         s = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate IA term "), F.col("term")))) \
              .otherwise(F.col("_s"))

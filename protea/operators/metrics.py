@@ -14,7 +14,7 @@ those rows feeds every threshold (tp/fp at or below its index, fn above it),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protea.functions.math import bce_with_logits, f32, focal, safe_ratio, sigmoid
@@ -54,17 +54,48 @@ def term_weights(ia: DataFrame) -> DataFrame:
     return g.select("term", _or_fail(once, "null or repeated weight for term ").alias("_w"))
 
 
+def cell_state(cells: DataFrame, n: int = 99) -> DataFrame:
+    """What the metrics need of some cells: (term, b, tp, fp), the true and
+    false cells of each term whose score reaches exactly the thresholds up to
+    b/100; at most labels x (n + 1) rows. States of disjoint cells add up, so a
+    metric can be brought up to date batch by batch (``merge_states``)."""
+    yv = F.col("y").cast("boolean")
+    return (cells.select("term", _threshold_bucket(F.col("score"), n).alias("b"), yv.alias("_y"))
+            .groupBy("term", "b").agg(F.count_if(F.col("_y")).alias("tp"), F.count_if(~F.col("_y")).alias("fp")))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all cells of several states."""
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    return every.groupBy("term", "b").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+
+
+def update_state(path: str, cells: DataFrame, batch_id: int, n: int = 99) -> None:
+    """Add a batch's cells to the state table in the folder ``path`` (for
+    ``foreachBatch``): a batch that runs again replaces its own part."""
+    cell_state(cells, n).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state of all batches that ``update_state`` has added."""
+    return merge_states(spark.read.option("basePath", path).parquet(path).select("term", "b", "tp", "fp"))
+
+
 def threshold_curve(cells: DataFrame, ia: DataFrame | None = None, n: int = 99) -> DataFrame:
     """(tau_idx, tau, tp, fp, fn, precision, recall, f) for tau = k/100, k=1..n.
     ``ia``: a weight for every term of the cells (see ``align.ia_weights``,
     which fills in the default); a missing one is an error."""
-    spark = cells.sparkSession
-    yv = F.col("y").cast("boolean")
-    # cells -> (term, bucket) counts first (map-side, <= labels x 100 rows);
-    # IA weights then apply to those rows, so the cell table is never joined
-    tb = (cells.select("term", _threshold_bucket(F.col("score"), n).alias("b"), yv.alias("_y"))
-          .groupBy("term", "b").agg(F.count_if(F.col("_y")).alias("_tp"),
-                                    F.count_if(~F.col("_y")).alias("_fp")))
+    return curve_of_state(cell_state(cells, n), ia, n)
+
+
+def curve_of_state(state: DataFrame, ia: DataFrame | None = None, n: int = 99) -> DataFrame:
+    """``threshold_curve`` of cells whose state was kept."""
+    spark = state.sparkSession
+    # cells came down to (term, bucket) counts map-side; IA weights apply to
+    # those rows, so the cell table is never joined
+    tb = state.select("term", "b", F.col("tp").alias("_tp"), F.col("fp").alias("_fp"))
     if ia is None:
         tb = tb.withColumn("_w", F.lit(1.0))
     else:
@@ -94,8 +125,13 @@ def threshold_curve(cells: DataFrame, ia: DataFrame | None = None, n: int = 99)
 def fmax(cells: DataFrame, ia: DataFrame | None = None, n: int = 99) -> DataFrame:
     """One row (fmax, precision, recall, tau): the first strict maximum of F
     over ascending thresholds; (0, 0, 0, null) when no threshold has F > 0."""
-    spark = cells.sparkSession
-    curve = threshold_curve(cells, ia, n).where(F.col("f") > 0)
+    return fmax_of_state(cell_state(cells, n), ia, n)
+
+
+def fmax_of_state(state: DataFrame, ia: DataFrame | None = None, n: int = 99) -> DataFrame:
+    """``fmax`` of cells whose state was kept."""
+    spark = state.sparkSession
+    curve = curve_of_state(state, ia, n).where(F.col("f") > 0)
     best = curve.orderBy(F.desc("f"), F.asc("tau_idx")).limit(1)
     zero = spark.range(1).select(F.lit(0.0).alias("fmax"), F.lit(0.0).alias("precision"),
                                  F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("tau"),

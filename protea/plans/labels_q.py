@@ -151,6 +151,19 @@ def ia_weights(spark, sf):
     return align.ia_weights(vocab, driver.ia(spark, sf, "D"))
 
 
+@register("ia_weights_last", f"""WITH {SQL_EMB_SIGNS},
+ia AS (SELECT 'D' || CAST(c_nationkey AS VARCHAR) AS term, arg_max(CAST(c_acctbal AS DOUBLE), c_custkey) AS score
+       FROM customer GROUP BY 1)
+SELECT v.term, coalesce(ia.score, 1.0) AS weight
+FROM (SELECT DISTINCT term FROM emb_signs) v LEFT JOIN ia ON v.term = ia.term""")
+def ia_weights_last(spark, sf):
+    """A weight table with many rows per term, of which the last one counts."""
+    vocab = driver.emb_signs(spark, sf).select("term").distinct()
+    ia = driver.table(spark, sf, "customer").select(F.concat(F.lit("D"), F.col("c_nationkey").cast("string")).alias("term"),
+                                                    F.col("c_acctbal").cast("double").alias("score"), F.col("c_custkey").alias("row"))
+    return align.ia_weights(vocab, ia, on_duplicate="last", order="row")
+
+
 @register("hash_split", f"""
 SELECT vec_id AS EntryID, {_lcg_sql('vec_id', 1000)} < 200 AS is_val FROM embeddings""")
 def hash_split(spark, sf):

@@ -101,7 +101,11 @@ def ia(spark, sf_dir, prefix: str = "D") -> DataFrame:
 
 def cells(spark, sf_dir) -> DataFrame:
     """Prediction cells: (EntryID, term, score float, y boolean)."""
-    li = table(spark, sf_dir, "lineitem")
+    return cells_of(table(spark, sf_dir, "lineitem"))
+
+
+def cells_of(li: DataFrame) -> DataFrame:
+    """The cells of some rows of lineitem."""
     return li.select(
         F.col("l_orderkey").alias("EntryID"),
         F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("term"),

@@ -25,7 +25,8 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_an_oracle():
     from protea.plans import catalog
     catalog.load_all()
-    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    # several trees on sampled rows are beyond SQL; test_training has a numpy twin
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"boosted_forest"}
 
 
 def test_entry_smoke(spark):

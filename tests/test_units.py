@@ -469,3 +469,26 @@ def test_focal_per_class_alpha(spark):
     total = metrics.focal_loss(c, 2.0, a, "sum").first()["loss"]
     assert total == pytest.approx(sum(per_cell.values()))
     assert mean == pytest.approx(total / 3)
+
+
+def test_metric_states_add_up(spark):
+    from protea.operators import metrics
+    rows = [("a", 0.29, True), ("a", 0.5, False), ("b", None, True), ("b", float("nan"), False), ("b", 0.9, True), ("c", float("inf"), True)]
+    cells = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "EntryID int, term string, score float, y boolean")
+    parts = [metrics.cell_state(cells.where(F.col("EntryID") % 3 == k)) for k in range(3)]
+    whole, merged = (sorted(map(tuple, x.collect())) for x in (metrics.cell_state(cells), metrics.merge_states(*parts)))
+    assert whole == merged
+    assert metrics.fmax_of_state(metrics.merge_states(*parts)).collect() == metrics.fmax(cells).collect()
+
+
+def test_last_weight_of_a_term(spark):
+    from protea.operators import align
+    vocab = spark.createDataFrame([("x",), ("y",), ("z",)], "term string")
+    ia = spark.createDataFrame([("x", 5.0, 1), ("x", 2.0, 3), ("x", 9.0, 2), ("y", 4.0, 1), ("y", 4.0, 1)], "term string, score double, row int")
+    got = {r.term: r.weight for r in align.ia_weights(vocab, ia, on_duplicate="last", order="row").collect()}
+    assert got == {"x": 2.0, "y": 4.0, "z": 1.0}
+    with pytest.raises(ValueError):
+        align.ia_weights(vocab, ia, on_duplicate="last")
+    tied = ia.unionByName(spark.createDataFrame([("x", 3.0, 3)], ia.schema))
+    with pytest.raises(Exception, match="no last one"):
+        align.ia_weights(vocab, tied, on_duplicate="last", order="row").collect()

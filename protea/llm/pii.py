@@ -41,12 +41,12 @@ BASE = {
 }
 CONTEXT = 24  # code points before a candidate
 CANDIDATES = {
-    "address": (r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]{1,63}"
-                r"(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}", r"[\[({]at[\])}]"),
-    "number": (r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9A-Za-z])", None),
-    "account": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "address": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++"
+                r"(?:(?:\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\.)[A-Za-z0-9-]++)++", r"[\[({]at[\])}]"),
+    "number": (r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}+\)?(?:[\x20.-][0-9]{2,4}+(?![0-9A-Za-z])){2,}+", None),
+    "account": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,}+(?:\x20?[A-Z0-9]{1,3}+)?(?![0-9A-Za-z])",
                 r"[A-Z]{2}[0-9]{2}"),
-    "name": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?", r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20"),
+    "name": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?", r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20"),
 }
 KINDS = [*BASE, *CANDIDATES]
 

@@ -90,6 +90,25 @@ def test_candidates_are_found_and_decided(spark):
     assert sum("number:" in got[i] for i in range(80, 120)) <= 4
 
 
+def test_candidates_of_any_length(spark):
+    filler = [f"please write to my mail user{i} (at) example{i} (dot) com today" for i in range(30)]
+    local, domain = "a" * 300, " (dot) ".join(["part" + "x" * 100] * 12)
+    long = [f"please contact by mail {local} (at) {domain} (dot) org now", "dear Dr " + "A" + "b" * 80 + " " + "C" + "d" * 90 + " and so on",
+            "pay to my iban account DE12 " + "3456 " * 12 + "stop"]
+    df = spark.createDataFrame(list(enumerate(long + filler)), "doc_id long, text string")
+    found = {}
+    from protea.llm import spans
+    rows = spans.find(spans.numbered(df, F.coalesce("text", F.lit(""))), pii.CANDIDATES).where("kind is not null").collect()
+    for r in rows:
+        found.setdefault(r.doc_id, set()).add((r.kind, r.start, r.stop))
+    a = long[0].index("a" * 300)
+    assert ("address", a, long[0].index(" now")) in found[0]
+    assert ("name", 5, long[1].index(" and")) in found[1]
+    assert any(k == "account" and long[2][x:y].startswith("DE12") and y - x > 60 for k, x, y in found[2])
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert f"address:{a}:{long[0].index(' now')}" in got[0]
+
+
 def test_labeler_reliability_is_learnt(spark):
     # two good labelers, one that guesses; 30 % of the candidates are personal
     rng = random.Random(3)

@@ -359,6 +359,7 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, other: str = "", tokenizer: str = TOKENIZER):
         self.v, self.lexicon, self.tokenizer = vocabulary, lexicon, tokenizer
         self.other = re.compile(other) if other else None
+        self.beyond_latin = self.other is None or not self.other.search("".join(map(chr, range(256))))
         self.words: dict[str, bytes] = {}
         # pieces between single spaces: the first of a text, and the others
         # (which stand for the piece with its space); None: not on its own
@@ -441,7 +442,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        apart = [i for i, t in enumerate(texts) if self.other and not t.isascii() and self.other.search(t)]
+        apart = [i for i, t in enumerate(texts) if self.other and not self._latin(t) and self.other.search(t)]
         if not apart:
             return self._encode(texts)
         own = list(texts)
@@ -452,6 +453,16 @@ class Codec:
             out[i] = np.array(ids, "<u4").tobytes()
         return out
 
+    def _latin(self, text: str) -> bool:
+        """Whether a text has only characters up to U+00FF, and these are
+        agreed on: quicker to tell than by the pattern."""
+        if not self.beyond_latin:
+            return False
+        try:
+            return text.isascii() or bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut, parts = [], []
         for t in texts:

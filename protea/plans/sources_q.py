@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from protea.operators import align, vote
+from protea.operators.common import dense_index
 from protea.plans.catalog import register
 from protea.plans.sequences_q import SQL_SEQS
 from protea.session import scratch_path
-from protea.sources import driver, tables
+from protea.sources import driver, fasta_format, matrix, tables
 
 
 def _csv(df, spark, name: str, sep: str = ",") -> str:
@@ -44,6 +45,38 @@ def keyed_parquet(spark, sf):
     return tables.read_keyed(spark, path)
 
 
+@register("matrix_rows", """
+WITH ids AS (SELECT vec_id AS EntryID, row_number() OVER (ORDER BY vec_id) - 1 AS row_no, embedding FROM embeddings),
+v AS (SELECT EntryID, row_no, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS dim FROM ids)
+SELECT EntryID, CAST(row_no AS INTEGER) AS row_no, CAST(dim AS INTEGER) AS dim,
+       round(CAST(CAST(x AS FLOAT) AS DOUBLE), 6) AS value FROM v""")
+def matrix_rows(spark, sf):
+    """Embeddings to a matrix without ids (``.npy`` files by row number) and
+    back to their ids by row number."""
+    keyed = driver.table(spark, sf, "embeddings").select(F.col("vec_id").alias("EntryID"), "embedding")
+    ids = dense_index(keyed.select("EntryID"), [F.col("EntryID")], "row_no", 0)
+    path = scratch_path(spark, "matrix")
+    matrix.write_matrix(keyed.join(ids, "EntryID"), path, row="row_no")
+    back = matrix.read_matrix(spark, path, ids, row="row_no")
+    return (back.select("EntryID", "row_no", F.posexplode("embedding").alias("dim", "x"))
+            .select("EntryID", "row_no", "dim", F.round(F.col("x").cast("double"), 6).alias("value")))
+
+
+@register("fasta_ranges", f"""WITH {SQL_SEQS}
+SELECT CAST(s.EntryID AS VARCHAR) AS EntryID, seq, 'lang=' || coalesce(d.lang, '') AS description
+FROM seqs s JOIN documents d ON s.EntryID = d.doc_id""")
+def fasta_ranges(spark, sf):
+    """The sequences as block-gzipped FASTA by the format's writer, read back in
+    ranges of 1 MB that start anywhere in a block."""
+    fasta_format.register(spark)
+    d = driver.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("EntryID"), F.concat(F.lit("lang="), F.coalesce("lang", F.lit(""))).alias("description"))
+    s = driver.seqs(spark, sf).join(d, "EntryID").withColumn("EntryID", F.col("EntryID").cast("string"))
+    path = scratch_path(spark, "fasta-ranges")
+    s.write.format("fasta").option("compression", "bgzf").mode("overwrite").save(path)
+    return spark.read.format("fasta").option("range_bytes", 1 << 20).load(path)
+
+
 @register("test_ids_csv", "SELECT CAST(item_id AS VARCHAR) AS EntryID FROM benchmark")
 def test_ids_csv(spark, sf):
     path = _csv(driver.query_seqs(spark, sf).select(F.col("EntryID").alias("id")), spark, "test")

@@ -9,6 +9,9 @@
 * ``embed``: any user model through ``predict_batch_udf`` (model loaded once
   per Python worker, fed fixed-size batches). Rows are sorted by length
   inside their partitions (no shuffle) so batches hold similar lengths.
+* ``embed_tokens``: a model that gives a vector per token, fed batches of a
+  bounded number of padded cells (rows x longest), and the mean over each
+  text's own tokens.
 * ``embed_long``: fixed-stride chunks, embed every chunk (chunks of all rows
   batch together), unweighted mean of chunk vectors per entry (a partial
   aggregate, so one long sequence spreads over tasks).
@@ -16,7 +19,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from protea.operators.seqops import explode_chunks
+from protea.session import ship
 
 
 def kmer_counts(s: str, k: int) -> tuple[np.ndarray, int]:
@@ -163,6 +167,75 @@ def embed(df: DataFrame, make_predict_fn: Callable, dim: int, batch_size: int =
     return src.withColumn(out_col, udf(F.col(seq_col)))
 
 
+def cell_batches(lengths: np.ndarray, cells: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive batches with rows x longest <= ``cells``; a text
+    longer than that is a batch by itself."""
+    lo, longest = 0, 0
+    for i, n in enumerate(lengths):
+        longest = max(longest, int(n))
+        if i > lo and (i + 1 - lo) * longest > cells:
+            yield lo, i
+            lo, longest = i, int(n)
+    if lo < len(lengths):
+        yield lo, len(lengths)
+
+
+def masked_mean(vectors: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """(n, L, dim) token vectors and (n, L) mask to (n, dim): the mean over a
+    row's masked tokens, zeros without one."""
+    weight = mask.astype(np.float32)
+    total = np.einsum("nld,nl->nd", vectors, weight)
+    return total / np.maximum(weight.sum(axis=1, keepdims=True), 1)
+
+
+def embed_tokens(df: DataFrame, make_token_fn: Callable, cells: int = 1 << 15, seq_col: str = "seq",
+                 out_col: str = "embedding", padded_col: str | None = None) -> DataFrame:
+    """Apply a token model: ``make_token_fn()`` returns a function from a list
+    of texts to their (n, L, dim) token vectors and (n, L) mask; the result is
+    the masked mean. A batch has at most ``cells`` characters with padding, so
+    it needs the same memory whether texts are long or short; partitions are
+    sorted by length, so little of it is padding. ``padded_col``: the length
+    that a row was padded to (its sum over that of the lengths is the padding
+    ratio). A null text is an empty one."""
+    ship(df.sparkSession)
+    added = [T.StructField(out_col, T.ArrayType(T.FloatType()))]
+    if padded_col:
+        added.append(T.StructField(padded_col, T.IntegerType()))
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make_token_fn()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(seq_col)).to_pylist()]
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            for lo, hi in cell_batches(lengths, cells):
+                v = masked_mean(*model(texts[lo:hi])).astype(np.float32)
+                columns = [*batch.slice(lo, hi - lo).columns,
+                           pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))]
+                if padded_col:
+                    columns.append(pa.array(np.full(hi - lo, lengths[lo:hi].max()), pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+    return length_sorted(df, seq_col).mapInArrow(run, schema)
+
+
+def table_token_model(dim: int = 8):
+    """``table_model`` by tokens: letters' vectors, and a mask of the letters."""
+    def make():
+        table = np.zeros((27, dim), np.float32)
+        table[1:] = (np.arange(1, 27)[:, None] * (np.arange(dim)[None, :] + 3)) % 11
+
+        def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.zeros((len(texts), max(map(len, texts), default=0)), np.int64)
+            for i, t in enumerate(texts):
+                b = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) - 64
+                ids[i, :len(b)] = np.where((b >= 1) & (b <= 26), b, 0)
+            return table[ids], ids > 0
+
+        return tokens
+
+    return make
+
+
 def mean_vectors(df: DataFrame, key: str, vec_col: str, out_col: str = "embedding") -> DataFrame:
     """Unweighted elementwise mean of array vectors per key (partial aggregate)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array

@@ -55,14 +55,17 @@ def chunk_mean(spark, sf):
     return _long_nonzero(e)
 
 
-@register("batch_embed", f"""WITH {SQL_SEQS},
+SQL_TABLE_MODEL = f"""WITH {SQL_SEQS},
 c AS (SELECT EntryID, {SQL_CLEAN} AS s FROM seqs),
 l AS (SELECT EntryID, s, unnest(generate_series(1, 26)) AS c FROM c),
 n AS (SELECT EntryID, c, length(s) - length(replace(s, chr(CAST(64 + c AS INTEGER)), '')) AS n FROM l),
 d AS (SELECT EntryID, c, n, unnest(generate_series(0, 7)) AS d FROM n)
 SELECT EntryID, CAST(d AS INTEGER) AS dim,
        round(CAST(CAST(CASE WHEN sum(n) > 0 THEN sum(n * (c * (d + 3) % 11)) / sum(n) ELSE 0 END AS FLOAT) AS DOUBLE), 4) AS value
-FROM d GROUP BY EntryID, d""")
+FROM d GROUP BY EntryID, d"""
+
+
+@register("batch_embed", SQL_TABLE_MODEL)
 def batch_embed(spark, sf):
     """A batch model through predict_batch_udf on length-sorted partitions,
     over whole texts; its integer table lets SQL state the result."""
@@ -72,6 +75,15 @@ def batch_embed(spark, sf):
         "value", F.round(F.col("value").cast("double"), 4))
 
 
+@register("token_embed", SQL_TABLE_MODEL)
+def token_embed(spark, sf):
+    """The same model by tokens, in batches of padded cells, masked mean."""
+    s = driver.seqs(spark, sf).select("EntryID", S.clean("seq").alias("seq"))
+    e = embed.embed_tokens(s, embed.table_token_model(8))
+    return e.select("EntryID", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), 4))
+
+
 def _shift_model(shift: int, d: int = N_DIMS) -> score.LinearModel:
     W = np.zeros((d, d))
     W[np.arange(d), (np.arange(d) + shift) % d] = 1.0

@@ -164,3 +164,39 @@ def area_under_curve(scores, labels):
         rank[s == v] = rank[s == v].mean()
     n1 = (y == 1).sum()
     return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(s) - n1))
+
+
+def classified(cands, rounds):
+    """The span classifier of op1 in plain Python: expectation-maximisation
+    over each kind's candidates one by one, then naive Bayes."""
+    import math
+    out = set()
+    for kind in {c[1] for c in cands}:
+        mine = [c for c in cands if c[1] == kind]
+        k = len(mine[0][4])
+        prior, acc = 0.5, [0.8] * k
+
+        def clamp(x):
+            return min(0.95, max(0.05, x))
+
+        def probability(votes):
+            odds = prior / (1 - prior)
+            for v, a in zip(votes, acc):
+                odds *= a / (1 - a) if v == 1 else (1 - a) / a if v == -1 else 1
+            return odds / (1 + odds)
+        for _ in range(rounds):
+            p = [probability(c[4]) for c in mine]
+            prior = clamp((1 + sum(p)) / (2 + len(mine)))
+            acc = [clamp((1 + sum(x if c[4][j] == 1 else 1 - x for x, c in zip(p, mine) if c[4][j]))
+                         / (1.5 + sum(c[4][j] != 0 for c in mine))) for j in range(k)]
+        p = [probability(c[4]) for c in mine]
+        yes, no, seen = sum(p), sum(1 - x for x in p), {}
+        for x, c in zip(p, mine):
+            for f in c[5]:
+                y, n = seen.get(f, (0, 0))
+                seen[f] = y + x, n + 1 - x
+        share = yes / (yes + no)
+        weight = {f: math.log((y + share) / yes) - math.log((n + 1 - share) / no) for f, (y, n) in seen.items()}
+        bias = math.log((yes + 0.5) / (no + 0.5))
+        out |= {(c[0], kind, c[2], c[3]) for c in mine if bias + sum(weight[f] for f in c[5]) > 0}
+    return out

@@ -126,6 +126,39 @@ def test_labeler_reliability_is_learnt(spark):
     assert right / 4000 > 0.85  # the better of the first two alone has 0.9
 
 
+def test_span_classifier_against_a_twin(spark):
+    rng = random.Random(11)
+    cands = []
+    for i in range(1500):
+        kind = rng.choice(["number", "name"])
+        y = rng.random() < 0.4
+        votes = [rng.choice([0, (1 if (y if rng.random() < acc else not y) else -1)]) for acc in (0.9, 0.8, 0.7, 0.6)]
+        features = [f"shape:{rng.randrange(3) + 2 * y}", f"length:{rng.randrange(6)}", f"last:{rng.randrange(4) + y}"]
+        cands.append((i // 3, kind, 10 * i, 10 * i + 5, votes, features))
+    df = spark.createDataFrame(cands, "row long, kind string, start long, stop long, votes array<int>, features array<string>")
+    got = {tuple(r) for r in pii.classify(df).collect()}
+    assert got == brute.classified(cands, pii.ROUNDS)
+    assert 300 < len(got) < 1200
+
+
+def test_gazetteer_is_a_table(spark):
+    texts = ["then Mr Quux Zork came", "then Mr Peter Zork came", "x (at) y (dot) com", "x (at) y (dot) qqq", "to DE12 3456 7890 1234", "to ZZ12 3456 7890 1234"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.spans.find(pii.spans.numbered(df, F.col("text")), pii.CANDIDATES, context=pii.CONTEXT).where("kind is not null")
+
+    def known(entries):
+        rows = pii.looked_up(found, entries).collect()
+        assert len(rows) == found.count()
+        return sorted(r.doc_id for r in rows if r.known)
+    assert known(pii.gazetteer(spark)) == [1, 2, 4]
+    own = spark.createDataFrame([("name", "Quux"), ("name", "ZORK"), ("name", "zork"), ("address", "qqq"), ("account", None),
+                                 ("name", "")], "kind string, entry string")
+    assert known(own) == [0, 1, 3]
+    assert known(own.limit(0)) == []
+    entries = pii.gazetteer(spark)
+    assert entries.count() == entries.distinct().count()
+
+
 def test_weak_secrets_need_their_complements(spark):
     token = "aB3dE5gH7jK9mN1pQ3sT5vW7"
     rows = [(0, f"client_id: reader7 and then {token} end"), (1, f"only {token} here"), (2, "client_id: reader7 alone"),

@@ -51,17 +51,50 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray]
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def with_block_pairs(df: DataFrame, group: str, member: str, count: str, size: int) -> DataFrame:
-    """Columns bi <= bj: the pairs of blocks in which a row takes part. The
-    ``count`` members of a group are dealt to blocks of about ``size``; any two
-    members meet in exactly one pair of blocks (twice, if in the same block of
-    a pair of different blocks)."""
+def spanning_links(rows: DataFrame, counts: DataFrame, group: str, member: str, count: str, size: int,
+                   fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
+    """Links (a, b) that connect whatever is linked within a group. ``fn``
+    gives a spanning forest of the links in a run of rows, ``count`` is the
+    number of members of a row's group, and ``counts`` a table with that column
+    that is cheap to read.
+
+    1. A group's members are dealt to blocks of about ``size``; a few of them,
+       the leaders, go to all of its blocks. That is one and an eighth rows a
+       member, however large the group.
+    2. In groups of several blocks, members of one component need not meet any
+       more. All but the largest component of a group, the rest, are paired
+       with each other and with the largest one, block by block. That is linear
+       while the rest is small, and at most the pairs of all blocks.
+
+    Any two members are compared, or known to hang together."""
     blocks = F.ceil(F.col(count) / F.lit(size)).cast("int")
-    b = F.pmod(F.xxhash64(F.lit(11), F.col(member)), blocks).cast("int")
-    return (df.withColumn("_b", b)
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o"))
-            .drop("_b", "_o"))
+    own = F.pmod(F.xxhash64(F.lit(11), F.col(member)), blocks).cast("int")
+    leads = (blocks > 1) & (F.pmod(F.xxhash64(F.lit(12), F.col(member)), F.col(count)) < max(1, size // 8))
+    dealt = rows.withColumn("bi", F.explode(F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
+    one = saved(map_runs(dealt, [group, "bi"], fn, "a long, b long").distinct(), f"{name}-1")
+    if counts.where(F.col(count) > size).isEmpty():
+        return one
+
+    hot = rows.where(F.col(count) > size)
+    found = components(one)
+    part = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()) \
+                .select(F.col("node").alias(member), F.col("root").alias("_part"))
+    placed = saved(hot.select(group, member).join(part, member, "left")
+                   .select(group, member, F.coalesce("_part", member).alias("_part")), f"{name}-placed")
+    parts = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    bulk = parts.groupBy(group).agg(F.max(F.struct("_n", "_part")).alias("_x"), F.sum("_n").alias("_all")) \
+                .select(group, F.col("_x._part").alias("_bulk"), F.col("_x._n").alias("_in"), (F.col("_all") - F.col("_x._n")).alias("_out"))
+    left = placed.join(bulk.where("_out > 0"), group) \
+                 .select(group, member, (F.col("_part") != F.col("_bulk")).alias("_rest"), "_in", "_out")
+    rest, most = (F.ceil(F.col(c) / F.lit(size)).cast("int") for c in ("_out", "_in"))
+    h = F.xxhash64(F.lit(13), F.col(member))
+    paired = (hot.join(left, [group, member])
+              .withColumn("_b", F.when(F.col("_rest"), F.pmod(h, rest)).otherwise(rest + F.pmod(h, most)).cast("int"))
+              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(F.col("_rest"), rest + most).otherwise(rest) - 1)))
+              .withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o"))
+              .select(*rows.columns, "bi", "bj"))
+    two = map_runs(paired, [group, "bi", "bj"], fn, "a long, b long")
+    return saved(one.unionByName(two).distinct(), f"{name}-2")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

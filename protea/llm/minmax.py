@@ -10,12 +10,14 @@ each equal between two sets with a probability of their similarity. The
 2. Rows with equal digests form a class; only classes go on.
 3. Buckets with two or more classes: within a bucket, classes whose signatures
    agree well below the threshold (six standard deviations) are joined into
-   coarse groups. A bucket is handled in pairs of blocks of ``block`` members,
-   and a block pair emits a spanning forest, never its pairs.
-4. Within a coarse group, again in pairs of blocks, the *full sets* are
-   compared, and a spanning forest of the confirmed links comes out.
+   coarse groups.
+4. Within a coarse group the *full sets* are compared.
 5. The components of those links.
 
+In 3 and 4 the members of a group meet in blocks of ``block`` or ``set_block``,
+and a block emits a spanning forest, never its pairs (``spanning_links``): the
+sets of a large group are copied to few blocks where its members hang together.
+
 Any pair that shares a bucket is judged by its full sets or already joined by
 confirmed links, so components are exact up to pairs that share no band: with
 60 permutations in 24 bands of 5 a pair of similarity 0.85 is missed with a
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protea.llm.common import saved, ship
-from protea.llm.groups import components, map_runs, with_block_pairs
+from protea.llm.groups import components, spanning_links
 
 WORDS_CACHED = 50_000
 U64 = np.uint64
@@ -287,12 +289,10 @@ def _grouped(docs: DataFrame, threshold: float, k: int, n_perm: int, rows: int,
 
     # buckets with two classes or more
     banded = reps.select("node", F.explode("keys").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = banded.join(crowded, "key").join(reps.select("node", "n_shingles", "sig"), "node")
-    pairs = with_block_pairs(members, "key", "node", "members", block) \
-        .select("key", "bi", "bj", "node", "n_shingles", "sig")
-    edges = saved(map_runs(pairs, ["key", "bi", "bj"], _coarse(threshold, values), "a long, b long").distinct(),
-                  "coarse")
+    crowded = saved(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "crowded")
+    members = banded.join(crowded, "key").join(reps.select("node", "n_shingles", "sig"), "node") \
+                    .select("key", "members", "node", "n_shingles", "sig")
+    edges = spanning_links(members, crowded, "key", "node", "members", block, _coarse(threshold, values), "coarse")
 
     # full sets within the coarse groups
     roots = components(edges)
@@ -301,9 +301,8 @@ def _grouped(docs: DataFrame, threshold: float, k: int, n_perm: int, rows: int,
     grouped = groups.join(sizes, "root").join(classes, "node") \
                     .select("node", F.col("rep").alias("id"), "t1", "t2", F.col("root").alias("grp"), "n")
     with_text = texts.join(grouped.hint("shuffle_hash"), ["id", "t1", "t2"]).select("node", "text", "grp", "n")
-    sets = with_text.mapInArrow(_sets(k, n_perm, rows), "node long, grp long, n long, hashes binary, sig binary")
-    links = saved(map_runs(with_block_pairs(sets, "grp", "node", "n", set_block), ["grp", "bi", "bj"],
-                           _confirm(threshold, values), "a long, b long").distinct(), "links")
+    sets = saved(with_text.mapInArrow(_sets(k, n_perm, rows), "node long, grp long, n long, hashes binary, sig binary"), "sets")
+    links = spanning_links(sets, sizes, "grp", "node", "n", set_block, _confirm(threshold, values), "links")
 
     # a component is named by its smallest id, which its leading class has
     linked = components(links)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protea.llm import bpe, decontaminate, html_text, minmax, pii, quality, queries, secrets, token_counts, toxicity, warc
+from protea.llm import bpe, decontaminate, groups, html_text, minmax, pii, quality, queries, secrets, token_counts, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -325,6 +325,24 @@ def test_near_duplicates_large_groups_in_blocks(spark):
     assert near(df, threshold=0.85, block=16, set_block=8) == want
 
 
+def test_near_duplicates_one_group_of_20000(spark, monkeypatch):
+    texts = variants(20_000, 100, 1, 5) + variants(3, 100, 1, 6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    dealt, inner = [], groups.map_runs
+
+    def counted(rows, keys, *rest):
+        dealt.append((keys[0], rows.count()))
+        return inner(rows, keys, *rest)
+    monkeypatch.setattr(groups, "map_runs", counted)
+    got = near(df, threshold=0.8)
+    assert {c for i, (_, c) in got.items() if i < 20_000} == {0}
+    assert {c for i, (_, c) in got.items() if i >= 20_000} == {20_000}
+    distinct = len(set(texts))
+    copies = {k: sum(n for key, n in dealt if key == k) for k in ("key", "grp")}
+    assert copies["grp"] < 1.3 * distinct  # 79 blocks: 80 copies of each set if all blocks met
+    assert copies["key"] < 1.3 * 24 * distinct
+
+
 def test_near_duplicates_odd(spark):
     df, rows = odd_docs(spark)
     got = near(df, threshold=0.85)

@@ -358,6 +358,65 @@ def test_search_against_brute_force(spark, hot):
     assert got == _longest_runs(queries, refs, 4)
 
 
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_search_long_runs_first(spark, monkeypatch, most):
+    """Levels, many blocks, tables and slices give the same best runs."""
+    import random
+    from protea.operators import simsearch
+    for name, value in (("DEEP", 0), ("SLICE", 50), ("TABLE", 64)):
+        monkeypatch.setattr(simsearch, name, value)
+    rng = random.Random(11)
+    line = "".join(rng.choice("ABCD") for _ in range(60))
+    text = lambda: "".join(rng.choice("AAB-C") for _ in range(rng.randrange(0, 30)))
+    part = lambda: line[rng.randrange(30):][:rng.randrange(40)]
+    queries, refs = ([(i, text() + part() + text()) for i in range(n)] for n in (8, 40))
+    df = [spark.createDataFrame(x, "EntryID int, seq string") for x in (queries, refs)]
+    got = {(r["query_id"], r["subject_id"]): (r["aln_len"], r["qstart"], r["sstart"])
+           for r in simsearch.search(*df, K=4, max_targets=most).collect()}
+    want = _longest_runs(queries, refs, 4)
+    ranked = {q: sorted((-want[k][0], k[1]) for k in want if k[0] == q)[:most] for q, _ in queries}
+    assert got == {(q, s): want[q, s] for q in ranked for _, s in ranked[q]}
+
+
+def test_search_of_blocks(monkeypatch):
+    """Two blocks against every pair of positions, for windows of any step."""
+    import numpy as np
+    import random
+    from protea.operators import simsearch
+    monkeypatch.setattr(simsearch, "SLICE", 40)
+    monkeypatch.setattr(simsearch, "TABLE", 32)
+    rng = random.Random(12)
+    sides = [[(i, "".join(rng.choice("AABC-") for _ in range(rng.randrange(80)))) for i in range(n)] for n in (6, 9)]
+
+    def block(rows):
+        letters, starts = simsearch.GAP, []
+        for _, x in rows:
+            starts.append(len(letters))
+            letters += bytes(ord(c) - 65 if c != "-" else simsearch.OTHER for c in x) + simsearch.GAP[:1]
+        return np.frombuffer(letters + simsearch.GAP, np.uint8), np.array(starts)
+    (q, qs), (r, rs) = map(block, sides)
+    q = np.where(q == simsearch.OTHER, simsearch.OTHER - 1, q).astype(np.uint8)
+    for L, k in ((4, 4), (8, 4), (12, 5), (6, 3)):
+        want = {k2: v for k2, v in _longest_runs(*sides, L).items()}
+        got = {(d, s): (n, a + 1, b + 1) for d, s, n, a, b in simsearch._longest(q, qs, r, rs, L, k, 100).T.tolist()}
+        assert got == want
+
+
+def test_search_writes_no_seeds(spark, tmpdir_path):
+    """What a search leaves on disk is below two bytes a letter."""
+    import os
+    import random
+    from protea import session
+    from protea.operators import simsearch
+    rng = random.Random(13)
+    refs = spark.createDataFrame([(i, "".join(rng.choice("ABCDEFGH") for _ in range(2000))) for i in range(200)], "EntryID int, seq string")
+    known = len(session._SCRATCH.get(spark.sparkContext.applicationId, []))
+    assert simsearch.search(refs.where("EntryID % 10 = 0"), refs).count() >= 20
+    made = session._SCRATCH[spark.sparkContext.applicationId][known:]
+    size = sum(os.path.getsize(os.path.join(d, f)) for p in made for d, _, names in os.walk(p.removeprefix("file:")) for f in names)
+    assert 0 < size < 2 * 200 * 2000
+
+
 def test_half_precision(spark):
     import numpy as np
     from protea.functions.math import half_precision

@@ -3,6 +3,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,6 +403,54 @@ def test_search_of_blocks(monkeypatch):
         assert got == want
 
 
+def test_runs_between_blocks_that_follow_each_other():
+    """Windows of the queries are made once; what one block has spares work in
+    the next, and takes no run that is among the best."""
+    from protea.operators import simsearch
+    rng = np.random.default_rng(4)
+
+    def block(seqs, other):
+        letters, starts = [np.full(simsearch.PAD, simsearch.OTHER)], []
+        for x in seqs:
+            starts.append(sum(map(len, letters)))
+            letters += [x, [simsearch.OTHER]]
+        b = np.concatenate([*letters, letters[0]]).astype(np.uint8)
+        return np.where(b == simsearch.OTHER, other, b).astype(np.uint8), np.array(starts)
+
+    common = [rng.integers(0, 3, n) for n in (40, 90, 700, 5000)]
+
+    def some(n):
+        return [np.concatenate([rng.integers(0, 3, 30), common[rng.integers(4)], rng.integers(0, 3, 30)]) for _ in range(n)]
+    q, qs = block(some(6), simsearch.OTHER - 1)
+    parts = [some(8) for _ in range(4)]
+    for L, k, most in ((12, 12, 3), (24, 12, 3), (40, 8, 2)):
+        whole = simsearch._longest(q, qs, *block([x for p in parts for x in p], simsearch.OTHER), L, k, most)
+        windows, found = simsearch._Windows(q, qs, k), []
+        for at, part in enumerate(parts):
+            got = simsearch._longest(q, qs, *block(part, simsearch.OTHER), L, k, most, windows)
+            found.append(got + np.array([0, 8 * at, 0, 0, 0])[:, None])
+        assert simsearch._best(np.concatenate(found, axis=1), most, len(qs))[0].tolist() == whole.tolist()
+        assert whole[2].max() >= 5000 and len(set(whole[0])) == 6
+        assert sum(f.shape[1] for f in found[1:]) < 18 * most
+
+
+def test_equal_letters_and_sparse_hashes():
+    from protea.operators import simsearch
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.full(8, 254), rng.integers(0, 26, 3000), np.full(9, 254)]).astype(np.uint8)
+    y = x.copy()
+    y[y == 254] = 255
+    cut = np.sort(rng.choice(np.arange(8, 3008), 25, replace=False))
+    y[cut] = 30
+    i = rng.integers(8, 3008, 400)
+    ends, begins = (np.append(cut, 3008), np.append(7, cut))
+    assert (simsearch._equal(x, i, y, i) == ends[np.searchsorted(ends, i)] - i).all()
+    assert (simsearch._equal(x, i, y, i, back=True) == i - 1 - begins[np.searchsorted(begins, i) - 1]).all()
+    assert (np.minimum(simsearch._equal(x, i, y, i, most=20), 20) == np.minimum(simsearch._equal(x, i, y, i), 20)).all()
+    for k, step, n in ((3, 4, 2), (12, 13, 500), (24, 25, 3017)):
+        assert (simsearch._hashes_at(x[:n], k, step) == simsearch._hashes(x[:n], k)[::step]).all()
+
+
 def test_search_writes_no_seeds(spark, tmpdir_path):
     """What a search leaves on disk is below two bytes a letter."""
     import os
